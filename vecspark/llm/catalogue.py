@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from vecspark.llm import exact_dedup, packing, secrets, simhash
+from vecspark.llm import exact_dedup, packing, secrets, simhash, substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op9_secret_scan": secrets.query,
     "op10_packing": packing.query,
 }
