@@ -1,11 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
-from vecspark.llm import exact_dedup, packing, secrets, simhash, substring_dedup
+from vecspark.llm import exact_dedup, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_exact_dedup": exact_dedup.query,
     "op4_substring_dedup": substring_dedup.query,
+    "op6_toxicity": toxicity.query,
+    "op7_mixing": mixing.query,
+    "op8_quality_classifier": quality.query,
     "op9_secret_scan": secrets.query,
     "op10_packing": packing.query,
 }
