@@ -9,6 +9,7 @@ smallest tier is ever padded, once per partition.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left
 from collections import deque
@@ -21,14 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Window lengths, each a power of two; the last is the longest.
 TIERS = (512, 1024, 2048, 4096)
+#: Marks that may stand behind a plain word.
+MARKS = '.,;:!?#$%&*()[]"'
 #: The id that ends each document.
 END_ID = 2
 #: Tokens that are routed and packed together; bounds a task's memory.
 BATCH_TOKENS = 1 << 21
 #: Tokens of a step group.
 STEP_TOKENS = 1 << 19
-#: Words whose ids are remembered in a task, and the longest word that is.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+#: Words whose ids a Python worker remembers, the longest word that is, and documents looked up together.
+CACHE_WORDS, CACHE_LENGTH, TOGETHER = 500_000, 64, 256
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -43,8 +46,11 @@ def default_vocabulary() -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts.  The vocabulary's model never joins across white space, so the ids of a
-    text are those of its white-space-separated words in turn, and words that come back are looked up.
+    """Ids of whole texts, as little-endian unsigned 32-bit numbers.
+
+    The vocabulary's model never joins across white space nor a letter with a mark, so the ids of a text
+    are those of its words in turn.  Words that come back are looked up; new plain words (letters, then
+    marks) are encoded many at a time, as each ends with a token that only ends words.
     """
 
     def __init__(self, vocabulary: str):
@@ -52,31 +58,72 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(vocabulary)
         self.model.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        words = text.split()
-        known = self.known
-        new = {w for w in words if w not in known}
-        extra: dict[str, tuple[int, ...]] = {}
-        if new:
-            new = list(new)
-            got = self.model.encode_batch(new, add_special_tokens=False)
-            fresh = {w: tuple(e.ids) for w, e in zip(new, got)}
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                fresh |= {w: tuple(self.model.encode(w, add_special_tokens=False).ids) for w in set(words) - fresh.keys()}
-            for w, v in fresh.items():
-                (known if len(w) <= CACHE_LENGTH else extra)[w] = v
-        out: list[int] = []
-        if extra:
-            for w in words:
-                out.extend(known[w] if w in known else extra[w])
-        else:
-            for w in words:
-                out.extend(known[w])
-        out.append(END_ID)
-        return np.array(out, dtype="<u4")
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def plain(word: str) -> tuple[str, str] | None:
+        """(letters in lower case, marks behind them), if the word is just that in any reading."""
+        stem = word.rstrip(MARKS)
+        if not stem.isalpha() or "\u03a3" in stem:  # a final capital sigma has two lower cases
+            return None
+        low = stem.lower()
+        if not low.isascii() and not (low.isalpha() and unicodedata.is_normalized("NFC", stem) and unicodedata.is_normalized("NFC", low)):
+            return None
+        return low, word[len(stem) :]
+
+    def _learn(self, words: list[str]) -> None:
+        parts = {w: self.plain(w) for w in words}
+        new = list({p[0] for p in parts.values() if p and p[0] not in self.stems})
+        for k in range(0, len(new), 10_000):
+            some = new[k : k + 10_000]
+            ids = self._encode([" ".join(some)])[0]
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                blob, at = ids.tobytes(), (cuts * 4).tolist()
+                self.stems.update((w, blob[i:j]) for w, i, j in zip(some, [0, *at], at))
+            else:
+                self.stems.update((w, x.tobytes()) for w, x in zip(some, self._encode(some)))
+        for tail in {p[1] for p in parts.values() if p and p[1] and p[1] not in self.tails}:
+            self.tails[tail] = self._encode([tail])[0].tobytes()
+        odd = [w for w, p in parts.items() if p is None]
+        self.known.update((w, x.tobytes()) for w, x in zip(odd, self._encode(odd) if odd else ()))
+        self.known.update((w, self.stems[p[0]] + self.tails.get(p[1], b"")) for w, p in parts.items() if p)
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, then the end id."""
+        # characters at which Python splits but the model does not
+        whole = {i: x for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f") for x in self._encode([t])}
+        words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
+        new = set().union(*words) - self.known.keys()
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear(), self.stems.clear(), self.tails.clear()
+            new = set().union(*words)
+        self._learn(list(new))
+        get, end = self.known.__getitem__, END_ID.to_bytes(4, "little")
+        out = [np.frombuffer((whole[i].tobytes() if i in whole else b"".join(map(get, w))) + end, "<u4") for i, w in enumerate(words)]
+        for w in new:
+            if len(w) > CACHE_LENGTH:
+                del self.known[w]
+                if p := self.plain(w):
+                    self.stems.pop(p[0], None)
+        return out
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(vocabulary: str) -> WordTokenizer:
+    """One for each Python worker, so that tasks find the words of tasks before."""
+    if vocabulary not in _tokenizers:
+        _tokenizers[vocabulary] = WordTokenizer(vocabulary)
+    return _tokenizers[vocabulary]
 
 
 class Piece:
@@ -167,7 +214,7 @@ def step_groups(sizes: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
 
 def _packer(vocabulary: str, id_col: str, text_col: str, tiers: tuple[int, ...], batch_tokens: int, step_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(vocabulary)
+        words = tokenizer(vocabulary)
         base = TaskContext.get().partitionId() << 36
         sequences = groups = 0
         ids: list[np.ndarray] = []
@@ -198,15 +245,16 @@ def _packer(vocabulary: str, id_col: str, text_col: str, tiers: tuple[int, ...],
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols.values(), types)], names=list(cols))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = tokenizer.ids(text.as_py() or "")
-                ids.append(x)
-                docs.append(doc)
-                starts.append(0)
-                totals.append(len(x))
-                held += len(x)
-                if held >= batch_tokens:
-                    yield from flush(False)
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(k, TOGETHER)
+                for doc, x in zip(part.column(0).to_pylist(), words.batch([t or "" for t in part.column(1).to_pylist()])):
+                    ids.append(x)
+                    docs.append(doc)
+                    starts.append(0)
+                    totals.append(len(x))
+                    held += len(x)
+                    if held >= batch_tokens:
+                        yield from flush(False)
         yield from flush(True)
 
     return run
