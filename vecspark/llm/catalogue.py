@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from vecspark.llm import exact_dedup, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity
+from vecspark.llm import exact_dedup, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_warc": warc.query,
     "op4_substring_dedup": substring_dedup.query,
     "op6_toxicity": toxicity.query,
     "op7_mixing": mixing.query,
@@ -15,4 +16,5 @@ QUERIES = {
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_warc": warc.ORACLE,
 }
