@@ -125,8 +125,8 @@ def survivors(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     verdict = deduplicate(docs, index, id_col, text_col)
     drop = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
     drop = scratch.write(drop.distinct(), "dropped")
-    tagged = docs.withColumn("_d", F.sha2(normalised(F.col(text_col)), 256))
-    return tagged.join(drop, F.col(id_col).eqNullSafe(drop["_id"]) & (tagged["_d"] == drop["_digest"]), "left_anti").drop("_d")
+    same = docs[id_col].eqNullSafe(drop["_id"]) & (F.sha2(normalised(docs[text_col]), 256) == drop["_digest"])
+    return docs.join(drop, same, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

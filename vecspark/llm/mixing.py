@@ -1,7 +1,7 @@
 """Mixing of sources to target weights with soft domain membership.
 
 A classifier learned from the table's own labelled rows gives each document a posterior over domains.
-Document rates r >= 0 minimise the weighted squared distance of the domains' expected token totals
+Document rates (not negative, and bounded) minimise the weighted squared distance of the domains' expected token totals
 from their targets, plus a small pull towards rate 1, by projected gradient: each step aggregates one
 number per domain over all documents, and a document's next rate needs only those numbers and its own
 posterior.
@@ -24,6 +24,8 @@ SAMPLE_ROWS, FEATURES = 20_000, 1 << 14
 EVIDENCE_WORDS = 30
 #: Pull towards rate 1, steps at most, steps that one expression may chain, and when to stop.
 PULL, STEPS, CHAIN, TOLERANCE = 1e-3, 60, 10, 1e-5
+#: Rates are held between 0 and this, so that targets out of reach do not repeat a few documents without end.
+MOST = 8.0
 #: The default domain column and the shares of all tokens that its values should get.
 DOMAIN, TARGETS = "lang", {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
 
@@ -57,7 +59,7 @@ def fit(docs: DataFrame, domain_col: str, domains: list[str], id_col: str = "doc
     """Log-probabilities (domain, feature) and, in the last column, log prior, from labelled rows."""
     known = F.col(domain_col).isin(domains)
     chosen = docs.filter(known & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(domain_col).alias("_domain"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).dropDuplicates(["_id"])
+    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).groupBy("_id").agg(F.min("_domain").alias("_domain"))
     # at most sample_rows ids and labels: a bounded broadcast
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_domain")
     counts = sample.mapInArrow(_count(domains), "d long, i long, n long").groupBy("d", "i").agg(F.sum("n").alias("n")).collect()  # at most domains x FEATURES rows
@@ -94,9 +96,9 @@ def posteriors(docs: DataFrame, logs: np.ndarray, id_col: str = "doc_id", text_c
 
 
 def _step(rate: Column, p: Column, push: list[float], pull: float) -> Column:
-    """One projected step: rate + push . posterior + pull (1 - rate), not below zero."""
+    """One projected step: rate + push . posterior + pull (1 - rate), held between 0 and MOST."""
     move = sum((F.lit(x) * p[k] for k, x in enumerate(push)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.lit(1 - pull) * rate + F.lit(pull) + move)
+    return F.greatest(F.lit(0.0), F.least(F.lit(MOST), F.lit(1 - pull) * rate + F.lit(pull) + move))
 
 
 def fit_rates(members: DataFrame, targets: list[float], total: float | None = None, pull: float = PULL, steps: int = STEPS) -> DataFrame:
@@ -137,14 +139,16 @@ def fit_rates(members: DataFrame, targets: list[float], total: float | None = No
 def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, domain_col: str = DOMAIN, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, tokens, domains, posterior, rate and copies of each row.
 
-    ``targets`` are shares by domain, scaled to sum to 1.  Copies are the rate rounded up or down at
+    ``targets`` are shares by domain; those of domains without a row are left out (unless all are), and
+    the rest are scaled to sum to 1.  Copies are the rate rounded up or down at
     random with the rate as their mean; the draw hangs on the id alone.  Rows without a known domain
     take no part in learning but get posteriors and rates as all others.  Null and empty texts have no
     tokens, an even posterior, and the rate that goes with it.  A null id draws as id 0; rows that
     repeat an id draw alike; an empty table gives an empty result.
     """
-    domains = sorted(targets)
-    weights = [targets[d] / sum(targets.values()) for d in domains]
+    present = {r[0] for r in docs.filter(F.col(domain_col).isin(list(targets))).select(domain_col).distinct().collect()}  # at most one row a target
+    domains = sorted(present or targets)
+    weights = [targets[d] / sum(targets[x] for x in domains) for d in domains]
     logs = fit(docs, domain_col, domains, id_col, text_col, sample_rows)
     members = scratch.write(posteriors(docs, logs, id_col, text_col), "posteriors")
     rates = fit_rates(members, weights, total)
@@ -157,8 +161,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     copies = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies != 1")
     copies = scratch.write(copies, "copies")
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]), "left").withColumn("_n", F.coalesce("_copies", F.lit(1)))
-    return joined.filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*(docs[c] for c in docs.columns))
+    times = F.coalesce(copies["_copies"], F.lit(1))
+    rows = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]), "left")
+    return rows.select(F.explode(F.array_repeat(F.struct(*(docs[c] for c in docs.columns)), times)).alias("r")).select("r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

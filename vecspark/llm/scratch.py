@@ -14,14 +14,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
     """The shared scratch folder, as a URI or path."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="vecspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="vecspark-"))
+        base = _own[0]
     return base.rstrip("/")
 
 

@@ -238,10 +238,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all their columns."""
-    drop = near_duplicates(docs, id_col, text_col).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    drop = scratch.write(drop.distinct(), "near-copies")
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["_id"]), "left_anti")
+    """The rows of ``docs`` whose id is the smallest of their component, with all their columns.
+
+    Rows that share an id stay if one of them does; rows without an id stay.
+    """
+    first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    drop = near_duplicates(docs, id_col, text_col).filter("doc_id is not null").groupBy("doc_id").agg(first.alias("first"))
+    drop = scratch.write(drop.filter("not first").select(F.col("doc_id").alias("_id")), "near-copies")
+    return docs.join(drop, docs[id_col] == drop["_id"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
