@@ -7,9 +7,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
-DATA = "/root/testdata/sf0.01"
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
@@ -23,7 +20,3 @@ def spark(tmp_path_factory):
     yield spark
     spark.stop()
 
-
-def vector_frame(spark, x, ids=None):
-    ids = range(len(x)) if ids is None else ids
-    return spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x)], "vec_id long, v array<double>")

@@ -1,6 +1,6 @@
 import duckdb
 import pytest
-from conftest import DATA
+from helpers import DATA
 
 from vecspark.plans.oracles import oracles
 from vecspark.plans.queries import QUERIES

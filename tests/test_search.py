@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import DATA, vector_frame
+from helpers import DATA, vector_frame
 from pyspark.sql import functions as F
 
 from vecspark.functions import kernels
