@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import kernels
@@ -108,7 +108,7 @@ def cascade(index: TwoLayerIndex, queries: DataFrame, p1: int, p2: int, both: bo
     if not diversified:
         s2 = rank_limit(scored, p2, ["query_id"], ["d", "c2"]).select("query_id", "c2")
     else:
-        ranked = rank_limit(scored, max(2 * p2, 1 << 12), ["query_id"], ["d", "c2"])
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "c2")))  # at most a shard's k2 rows a query
         near = index.neighbours.groupBy("c2").agg(F.array_sort(F.collect_list(F.struct("rank", "nbr"))).alias("n")).select("c2", F.col("n.nbr").alias("nbrs"))
         lists = ranked.join(near, "c2", "left")
 
