@@ -186,3 +186,10 @@ def test_streaming_encode(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "codes")).count() == 12
     got = {r["vec_id"]: r["label"] for r in spark.read.parquet(str(tmp_path / "out" / "postings")).collect()}
     assert [got[i] for i in range(12)] == clustering.nearest(x, c)[0].tolist()
+
+
+def test_latency_curve_and_warm_up(spark):
+    from vecspark.operators import harness
+
+    rows = harness.latency_curve(spark, [50, 100], 8).collect()
+    assert [r["n_vecs"] for r in rows] == [50, 100] and all(r["time_ms"] > 0 for r in rows)

@@ -136,3 +136,10 @@ def test_sql_functions(spark):
 def test_csv_sink(spark, tmp_path):
     src.write_csv(spark.createDataFrame([(1, 0.5)], "k int, recall double"), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).collect()[0]["recall"] == "0.5"
+
+
+def test_byte_codes(spark):
+    x = RNG.standard_normal((5, 20))
+    x[0, :3] = 0.0
+    got = rows(vector_frame(spark, x).select("vec_id", V.byte_code("v").alias("c")), "c")
+    assert [bytes(got[i]) for i in range(5)] == [np.packbits(r > 0).tobytes() for r in x]

@@ -99,3 +99,9 @@ def register(spark: SparkSession) -> None:
         ("vec_hamming(a ARRAY<BIGINT>, b ARRAY<BIGINT>)", "INT", "aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"),
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} RETURNS {out} RETURN {body}")
+
+
+def byte_code(a: str) -> Column:
+    """Bits x > 0 as bytes, highest bit first, padded with zeros to whole bytes."""
+    one = f"lpad(hex(aggregate(sequence(0, 7), 0, (acc, j) -> acc * 2 + int(coalesce(get({a}, b * 8 + j) > 0, false)))), 2, '0')"
+    return F.expr(f"unhex(array_join(transform(sequence(0, cast(ceil(size({a}) / 8) as int) - 1), b -> {one}), ''))")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import kernels
 from vecspark.operators.clustering import SHARD_ROWS, _read_shard, _shards, kcenter, kcenter_assign, nearest
-from vecspark.operators.topk import rank_limit, top_k
+from vecspark.operators.topk import rank_limit, rerank, top_k
 
 
 def probe(centers: DataFrame, queries: DataFrame, top: int, metric: str = "l2", col: str = "v") -> DataFrame:
@@ -344,3 +344,19 @@ def tree_probes(tree: KMeansTree, queries: DataFrame, beam: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["query_id", "rank", "center_id", *names])
 
     return queries.select("vec_id", "v").mapInArrow(run, "query_id long, rank int, center_id long, " + ", ".join(f"{n} int" for n in names))
+
+
+def clusters_of(labels: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(vec_id, v, shard, cluster) from ids that number clusters shard by shard, as ``chunked_kmeans`` gives them."""
+    return vectors.join(labels, "vec_id").select("vec_id", "v", F.expr(f"cast(center_id div {k} as int)").alias("shard"), (F.col("center_id") % k).cast("int").alias("cluster"))
+
+
+def stored_cluster_search(path: str, centers: DataFrame, queries: DataFrame, k_clusters: int, read: int, k: int) -> DataFrame:
+    """Top-k by inner product within the ``read`` clusters of the best centers, of which only the files are read."""
+    from vecspark.sources.vectors import read_clusters
+
+    near = probe(centers, queries, read, "ip").select(
+        "query_id", F.expr(f"cast(center_id div {k_clusters} as int)").alias("shard"), (F.col("center_id") % k_clusters).cast("int").alias("cluster"))
+    stored = read_clusters(queries.sparkSession, path, near.select("shard", "cluster"))
+    cand = near.join(stored, ["shard", "cluster"]).select("query_id", "vec_id")
+    return rerank(cand, stored, queries, k)

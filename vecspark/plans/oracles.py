@@ -300,4 +300,25 @@ def oracles() -> dict[str, str]:
         s["int8_pca_topk"] = with_(BASE, transformed(ROT, quantised=True), matrix("tm2", p8.components[:, :n]), f"mu2 AS (SELECT {array(p8.mean)} AS mean)", *(
             f"{t}3 AS MATERIALIZED (SELECT {i}, list(list_dot_product(list_transform(list_zip({v}, mean), lambda x: x[1] - x[2]), w) ORDER BY j) AS {v} FROM {t}2, tm2, mu2 GROUP BY {i})" for t, i, v in (("docs", "vec_id", "v"), ("qs", "query_id", "q"))),
             "p3 AS (SELECT query_id, vec_id, v, q FROM docs3, qs3)") + top("p3", DOT, K)
+    s["byte_codes"] = with_(BASE, "u AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS j FROM e)", "b AS (SELECT vec_id, j // 8 AS n, sum(CASE WHEN x > 0 THEN 1 << (7 - (j % 8))::INT ELSE 0 END)::INT AS byte FROM u GROUP BY 1, 2)") + "SELECT vec_id, string_agg(printf('%02X', byte), '' ORDER BY n) AS code FROM b GROUP BY vec_id"
+    s["random_normal"] = "SELECT range::INT AS pos, 2000::BIGINT AS n, true AS plausible FROM range(8)"
+    s["rotated_kmeans"] = s["ivf_assign"]
+    s["stored_clusters"] = chunked(225, 8, f""", near AS MATERIALIZED (SELECT query_id, chunk, label FROM (SELECT query_id, chunk, label, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk * 8 + label) AS r
+  FROM (SELECT query_id, chunk, label, round(list_dot_product(c, q), 6) AS s FROM c{Q.ROUNDS}, qs)) WHERE r <= 2),
+found AS (SELECT query_id, vec_id, v, q FROM near JOIN a USING (chunk, label) JOIN qs USING (query_id)) """ + top("found", DOT, K))
+    ip_probe = probe(2, "probe_ip").replace(f"round({l2('c', 'q')}, 6)", "-round(list_dot_product(c, q), 6)")
+    pick = "{0} AS MATERIALIZED (SELECT DISTINCT query_id, vec_id FROM {1} JOIN post USING (center_id))"
+    s["union_and_intersection"] = with_(BASE, KM, CENT, POST, probe(2), ip_probe, pick.format("x", "probe"), pick.format("y", "probe_ip"),
+        "u AS (SELECT query_id, count(*) AS appended, count(DISTINCT vec_id) AS in_either FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY 1)",
+        "i AS (SELECT query_id, count(*) AS in_both FROM (SELECT * FROM x INTERSECT SELECT * FROM y) GROUP BY 1)") + "SELECT query_id, appended, in_either, coalesce(in_both, 0) AS in_both FROM u LEFT JOIN i USING (query_id)"
+    for name in ("and", "or"):
+        sql = two(name)
+        at = sql.rindex("\nSELECT") if name == "and" else sql.rindex("\nSELECT query_id, vec_id FROM s1")
+        q = lambda c: f"round(quantile_cont({c}, 0.1), 6) AS {c}_p10, round(quantile_cont({c}, 0.5), 6) AS {c}_p50, round(quantile_cont({c}, 0.95), 6) AS {c}_p95, round(avg({c}), 6) AS {c}_mean"
+        exact5 = top("pairs", f"round(list_dot_product(v, q) / ({NORM.format('v')} * {NORM.format('q')}), 6) + 0.0", 5)
+        s[f"cascade_report_{name}"] = sql[:at] + f""",
+cand AS MATERIALIZED ({sql[at + 1:]}), {PAIRS}, exact AS MATERIALIZED ({exact5}),
+sh AS (SELECT query_id, round(count(c.vec_id) * 100.0 / (SELECT count(*) FROM docs), 6) AS share FROM qs LEFT JOIN cand c USING (query_id) GROUP BY query_id),
+rc AS (SELECT query_id, avg(CASE WHEN f.vec_id IS NULL THEN 0.0 ELSE 1.0 END) AS recall FROM exact LEFT JOIN cand f USING (query_id, vec_id) GROUP BY query_id)
+SELECT * FROM (SELECT {q('share')} FROM sh), (SELECT {q('recall')} FROM rc)"""
     return s

@@ -529,3 +529,55 @@ def knn_graph(spark, d):
 def graph_search(spark, d):
     docs, queries = _split(spark, d)
     return search.graph_search(_codes(docs), _codes(queries), GRAPH_TOP, GRAPH_M)
+
+
+# ---- stores, byte codes, reports
+
+
+@register()
+def byte_codes(spark, d):
+    return src.load(spark, d).select("vec_id", F.hex(V.byte_code("v")).alias("code"))
+
+
+@register()
+def random_normal(spark, d):
+    x = src.random_vectors(spark, 2000, 8, normal=True).select(F.posexplode("v").alias("pos", "x"))
+    return x.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), ((F.abs(F.avg("x")) < 0.1) & (F.abs(F.stddev("x") - 1) < 0.1)).alias("plausible"))
+
+
+@register()
+def rotated_kmeans(spark, d):
+    """Clusters of rotated vectors are those of the vectors."""
+    docs = compress.rotate(_split(spark, d)[0], DIM)
+    return clustering.assign(docs, _centroids(docs)).select("vec_id", "label")
+
+
+@register()
+def stored_clusters(spark, d):
+    """K-means of each shard, written by cluster; a query reads the files of its two best clusters."""
+    docs, queries = _split(spark, d)
+    centers, labels = clustering.chunked_kmeans(docs, 225, 8, ROUNDS)
+    path = src.shared_path(spark, "clusters")
+    src.write_clusters(search.clusters_of(labels, docs, 8), path)
+    return search.stored_cluster_search(path, centers, queries, 8, 2, K)
+
+
+@register()
+def union_and_intersection(spark, d):
+    """Candidates of two probes: in either, in both, appended."""
+    _, queries, centers, postings = _ivf(spark, d)
+    a = search.candidates(search.probe(centers, queries, 2), postings)
+    b = search.candidates(search.probe(centers, queries, 2, "ip"), postings)
+    return a.union(b).groupBy("query_id").agg(F.count(F.lit(1)).alias("appended"), F.countDistinct("vec_id").alias("in_either")).join(
+        a.intersect(b).groupBy("query_id").agg(F.count(F.lit(1)).alias("in_both")), "query_id", "left").select("query_id", "appended", "in_either", F.coalesce("in_both", F.lit(0)).alias("in_both"))
+
+
+@register("cascade_report_and", both=True)
+@register("cascade_report_or", both=False)
+def cascade_report(spark, d, both):
+    from vecspark.operators import harness
+
+    docs, queries = _split(spark, d)
+    index, q = search.two_layer_index(_codes(docs), TWO["k1"], TWO["k2"]), _codes(queries)
+    found = search.cascade(index, q, TWO["p1"], TWO["p2"], both)
+    return harness.report(top_k(docs, queries, 5, "cosine"), found, queries, docs.count())

@@ -81,3 +81,11 @@ def read_clusters(spark: SparkSession, path: str, wanted: DataFrame | None = Non
     """All clusters, or those of the (shard, cluster) rows ``wanted``; then partitions are pruned while running."""
     rows = spark.read.parquet(path)
     return rows if wanted is None else rows.join(wanted.distinct(), ["shard", "cluster"], "left_semi")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``, else the warehouse)."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/vecspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
