@@ -5,7 +5,7 @@ frequencies are counted over all documents; each example and each document is a
 those terms.  Neighbours are exact by cosine: examples are laid out in blocks, an inverted index keeps
 for each term and block the largest weight, and blocks are visited in order of their upper bound until
 none can hold a better neighbour.  Votes weighted by similarity are calibrated on the examples
-themselves, each without its own vote.
+themselves, each without its own vote.  Examples with one vector are one entry with their mean label.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from vecspark.llm import scratch
 
 #: Labelled rows that are learned from at most, and terms that are chosen at most.
-SAMPLE_ROWS, TERMS = 20_000, 2048
+SAMPLE_ROWS, TERMS = 20_000, 1024
 #: A term must occur in so many sample rows, and be so many times likelier among toxic ones.
 MIN_ROWS, MIN_LIFT = 3, 1.5
-NEIGHBOURS, BLOCK, SHARPNESS = 24, 64, 4.0
-PREFIXES = (5, 6, 7)
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, SHARPNESS = 24, 64, 8, 4.0
+PREFIXES = (6,)
 THRESHOLD = 0.3
 CACHE = 300_000
 
@@ -67,14 +67,19 @@ class Featurizer:
 
 @dataclass
 class BlockMaxIndex:
-    """An inverted index of unit vectors whose postings are grouped by blocks of ``BLOCK`` examples."""
+    """An inverted index of unit vectors whose postings are grouped by blocks of ``BLOCK`` entries.
+
+    An entry is a vector with the number of examples that have it, how many of them are toxic, and the
+    smallest of their ids.
+    """
 
     idf: np.ndarray
-    label: np.ndarray
+    count: np.ndarray
+    toxic: np.ndarray
     doc_id: np.ndarray
-    example: np.ndarray  # postings by term, then example
+    entry: np.ndarray  # postings by term, then entry
     weight: np.ndarray
-    offset: np.ndarray  # (terms, blocks + 1): where a term's postings of a block begin
+    offset: np.ndarray  # where a term's postings begin
     most: np.ndarray  # (terms, blocks): the largest weight there
 
     @staticmethod
@@ -85,51 +90,62 @@ class BlockMaxIndex:
         return ids, w / norm if norm else w
 
     @classmethod
-    def build(cls, rows: list[tuple], idf: np.ndarray) -> BlockMaxIndex:
-        """``rows``: (features, label, doc_id).  Examples with like leading terms go to one block."""
-        vectors = [cls.vector(f, idf) for f, _, _ in rows]
-        order = sorted(range(len(rows)), key=lambda r: ([int(x) for x in vectors[r][0][np.argsort(-vectors[r][1], kind="stable")][:3]], rows[r][0]))
-        blocks = max(1, -(-len(rows) // BLOCK))
-        term = np.concatenate([vectors[r][0] for r in order] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([vectors[r][1] for r in order] or [np.zeros(0)])
-        example = np.repeat(np.arange(len(order)), [len(vectors[r][0]) for r in order])
+    def build(cls, rows: list[tuple], idf: np.ndarray) -> tuple[BlockMaxIndex, dict]:
+        """From (features, label, doc_id) rows; also returns the entry of each vector.  Vectors with like leading terms share blocks."""
+        members: dict = {}
+        for f, y, d in rows:
+            members.setdefault(f, []).append((y, d))
+        vectors = {f: cls.vector(f, idf) for f in members}
+        order = sorted(members, key=lambda f: (vectors[f][0][np.argsort(-vectors[f][1], kind="stable")][:3].tolist(), f))
+        blocks = max(1, -(-len(order) // BLOCK))
+        term = np.concatenate([vectors[f][0] for f in order] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([vectors[f][1] for f in order] or [np.zeros(0)])
+        entry = np.repeat(np.arange(len(order)), [len(vectors[f][0]) for f in order])
         by = np.argsort(term, kind="stable")
-        term, weight, example = term[by], weight[by], example[by]
-        cell = term * blocks + example // BLOCK
+        term, weight, entry = term[by], weight[by], entry[by]
         most = np.zeros(len(idf) * blocks)
-        np.maximum.at(most, cell, weight)
-        offset = np.searchsorted(cell, np.arange(len(idf) * blocks + 1))
-        table = np.arange(len(idf))[:, None] * blocks + np.arange(blocks + 1)[None, :]
-        return cls(idf, np.array([rows[r][1] for r in order], float), np.array([rows[r][2] for r in order], np.int64), example, weight, offset[table], most.reshape(len(idf), blocks))
-
-    def nearest(self, features, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above zero (ties: the lower position) and their cosines."""
+        np.maximum.at(most, term * blocks + entry // BLOCK, weight)
+        index = cls(
+            idf, np.array([len(members[f]) for f in order], float), np.array([sum(y for y, _ in members[f]) for f in order], float),
+            np.array([min(d for _, d in members[f]) for f in order], np.int64), entry, weight, np.searchsorted(term, np.arange(len(idf) + 1)), most.reshape(len(idf), blocks))
+        return index, {f: i for i, f in enumerate(order)}
+
+    def _cosines(self, ids: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The cosines of all entries of the blocks that are marked."""
+        s = np.zeros(len(self.count))
+        for t, w in zip(ids.tolist(), q.tolist()):
+            at = slice(self.offset[t], self.offset[t + 1])
+            e = self.entry[at]
+            here = blocks[e // BLOCK]
+            s[e[here]] += w * self.weight[at][here]
+        return s
+
+    def nearest(self, features, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The k entries of the largest cosine above zero (ties: the lower position) and their cosines.
+
+        The blocks of the largest bounds are scored first; then all whose bound reaches the k-th cosine found.
+        """
         ids, q = self.vector(features, self.idf)
         bound = q @ self.most[ids]
-        found, scores, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found) >= k and bound[b] < floor - 1e-12):
-                break
-            s = np.zeros(BLOCK)
-            for t, w in zip(ids, q):
-                lo, hi = self.offset[t, b], self.offset[t, b + 1]
-                if hi > lo:
-                    s[self.example[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            if 0 <= without - b * BLOCK < BLOCK:
-                s[without - b * BLOCK] = 0
-            hit = np.flatnonzero(s > 0)
-            found, scores = np.append(found, hit + b * BLOCK), np.append(scores, s[hit])
-            if len(found) > k:
-                best = np.lexsort((found, -scores.round(12)))[:k]
-                found, scores = found[best], scores[best]
-            if len(found) >= k:
-                floor = scores.min()
-        best = np.lexsort((found, -scores.round(12)))[:k]
-        return found[best], scores[best]
-
-    def vote(self, found: np.ndarray, scores: np.ndarray) -> float:
-        w = scores**SHARPNESS
-        return float((w @ self.label[found] + 0.05 * self.label.mean()) / (w.sum() + 0.05))
+        first = np.zeros(len(bound), bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        s = self._cosines(ids, q, first)
+        floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else 0.0
+        rest = ~first & (bound > 0) & (bound >= floor - 1e-9)
+        if rest.any():
+            s += self._cosines(ids, q, rest)
+        hit = np.flatnonzero(s > 0)
+        if len(hit) > 4 * k:
+            hit = hit[s[hit] >= np.partition(s[hit], len(hit) - k)[len(hit) - k] - 1e-9]
+        best = hit[np.lexsort((hit, -s[hit].round(9)))[:k]]
+        return best, s[best]
+
+    def vote(self, found: np.ndarray, cosines: np.ndarray, own: int = -1, label: int = 0) -> float:
+        """The weighted share of toxic examples, drawn a little towards the share of all; without one example of entry ``own``."""
+        n, t = self.count[found], self.toxic[found]
+        n, t = n - (found == own), t - label * (found == own)
+        w = cosines**SHARPNESS
+        return float((w @ t + 0.05 * self.toxic.sum() / self.count.sum()) / (w @ n + 0.05))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,14 +168,15 @@ class Model:
     knots: tuple[np.ndarray, np.ndarray]
     without_terms: float  # the score of a text that has none of the terms
 
-    def score(self, features) -> tuple[float, list[tuple[int, float, int]]]:
+    def score(self, features) -> tuple[float, list[tuple[int, float, float]]]:
         if not features or self.index is None:
             return self.without_terms, []
         found, scores = self.index.nearest(features)
         if not len(found):
             return self.without_terms, []
         value = float(np.interp(self.index.vote(found, scores), *self.knots))
-        return value, [(int(self.index.doc_id[i]), float(s), int(self.index.label[i])) for i, s in zip(found[:5], scores[:5])]
+        x = self.index
+        return value, [(int(x.doc_id[i]), float(s), float(x.toxic[i] / x.count[i])) for i, s in zip(found[:5], scores[:5])]
 
 
 def is_held_out(doc_id):
@@ -199,84 +216,83 @@ def choose_terms(sample: DataFrame, most: int = TERMS) -> list[str]:
     return [r["term"] for r in chosen.collect()]
 
 
-def _featurize(terms: list[str], counted: bool):
+def _featurize(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, total = Featurizer(terms), np.zeros(len(terms), np.int64)
+        f = Featurizer(terms)
         for b in batches:
-            features = [f(t.as_py()) for t in b.column(1)]
-            if counted:
-                total += np.bincount(np.array([i for x in features for i, _ in x], np.int64), minlength=len(terms))
-            else:
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0), pa.array([[i for i, _ in x] for x in features], pa.list_(pa.int32())),
-                    pa.array([[n for _, n in x] for x in features], pa.list_(pa.int32()))], names=["doc_id", "ids", "counts"])
-        if counted:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), pa.array(total)], names=["id", "n"])
+            rows = [f(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([[i for i, _ in x] for x in rows], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in rows], pa.list_(pa.int32()))],
+                names=["doc_id", "ids", "counts"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, terms: int = TERMS) -> Model:
-    """Learns from at most ``sample_rows`` labelled rows outside the held-out fold (those of smallest hashed id)."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, text, toxic) of at most ``sample_rows`` labelled rows outside the held-out fold, those of smallest hashed id."""
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.filter(~is_held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # at most sample_rows ids and labels, 16 bytes each: a bounded broadcast
-    sample = scratch.write(_text(docs, id_col, text_col).join(F.broadcast(marked), "doc_id").select("doc_id", "text", "toxic"), "labelled")
-    chosen = choose_terms(sample, terms)
-    y = {r["doc_id"]: r["toxic"] for r in sample.select("doc_id", "toxic").collect()}
+    return scratch.write(_text(docs, id_col, text_col).join(F.broadcast(marked), "doc_id").select("doc_id", "text", "toxic"), "labelled")
+
+
+def fit(features: DataFrame, sample: DataFrame, terms: list[str]) -> Model:
+    """The index of the sample's vectors, weighted by document frequencies over all rows of ``features``."""
+    y = {r["doc_id"]: r["toxic"] for r in sample.select("doc_id", "toxic").collect()}  # bounded by the sample
     prior = (sum(y.values()) + 0.1) / (len(y) + 1)
-    if not chosen:
+    if not terms:
         return Model([], None, (np.array([0.0, 1.0]), np.array([prior, prior])), prior)
-    counted = _text(docs, id_col, text_col).mapInArrow(_featurize(chosen, True), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    df = np.zeros(len(chosen))
-    for r in counted.collect():  # one row for each chosen term
-        df[r["id"]] = r["n"]
-    total = docs.count()
-    idf = np.log((1 + total) / (1 + df)) + 0.1
-    got = sample.select("doc_id", "text").mapInArrow(_featurize(chosen, False), "doc_id long, ids array<int>, counts array<int>").collect()
-    got.sort(key=lambda r: r["doc_id"])
-    rows = [(tuple(zip(r["ids"], r["counts"])), y[r["doc_id"]], r["doc_id"]) for r in got if r["ids"]]
+    df = np.zeros(len(terms))
+    for r in features.select(F.explode("ids").alias("id")).groupBy("id").count().collect():  # a row a term
+        df[r["id"]] = r["count"]
+    idf = np.log((1 + features.count()) / (1 + df)) + 0.1
+    got = features.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").collect()  # bounded by the sample
+    rows = sorted(((tuple(zip(r["ids"], r["counts"])), y[r["doc_id"]], r["doc_id"]) for r in got if r["ids"]), key=lambda r: (r[2], r[0]))
     none = [y[r["doc_id"]] for r in got if not r["ids"]]
-    index = BlockMaxIndex.build(rows, idf)
-    own = {int(d): i for i, d in enumerate(index.doc_id)}
-    votes = np.array([index.vote(*index.nearest(f, without=own[d])) for f, _, d in rows])
+    index, entry = BlockMaxIndex.build(rows, idf)
+    near = {f: index.nearest(f) for f in entry}
+    votes = np.array([index.vote(*near[f], entry[f], t) for f, t, _ in rows])
     x, v = isotonic(votes, np.array([float(t) for _, t, _ in rows]))
-    return Model(chosen, index, (x, np.clip(v, 0.001, 0.999)), (sum(none) + 0.1) / (len(none) + 1))
+    return Model(terms, index, (x, np.clip(v, 0.001, 0.999)), (sum(none) + 0.1) / (len(none) + 1))
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        f = Featurizer(m.terms)
         known: dict = {}
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.float64())]))
         for b in batches:
             out = []
-            for t in b.column(1):
-                x = f(t.as_py())
+            for ids, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                x = tuple(zip(ids, counts))
                 if x not in known:
                     if len(known) > 20_000:
                         known.clear()
                     known[x] = m.score(x)
                 out.append(known[x])
             evidence = [[{"doc_id": d, "cosine": s, "toxic": y} for d, s, y in e] for _, e in out]
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted and evidence (the five nearest examples) of each row.
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, terms: int = TERMS) -> DataFrame:
+    """doc_id, held_out, score, predicted and evidence of each row; evidence is the five nearest entries
+    (an example's id, the cosine, the share of toxic examples with that vector).
 
-    A text without any of the terms, also a null or empty one, gets the share of toxic examples among
-    those without terms.  Repeated rows and null ids (never held out) are kept; an empty table gives an
-    empty result; only the two named columns are read.
+    Texts are read once for the terms and once, after choosing them, for all vectors; scoring reads only
+    those.  A text without any of the terms, also a null or empty one, gets the share of toxic examples
+    among those without terms.  Labels without an id or a value are not learned from; of several for one
+    id the toxic one counts; without labels of either kind every text gets the same score.  Repeated rows
+    and null ids (never held out) are kept; an empty table gives an empty result; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and the number of terms
-    rows = _text(docs, id_col, text_col).mapInArrow(_score(shared), "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
+    sample = labelled(docs, labels, id_col, text_col, sample_rows)
+    chosen = choose_terms(sample, terms)
+    features = scratch.write(_text(docs, id_col, text_col).mapInArrow(_featurize(chosen), "doc_id long, ids array<int>, counts array<int>"), "features")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(features, sample, chosen))  # bounded by the sample and the number of terms
+    rows = features.mapInArrow(_score(shared), "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: double>>")
     return rows.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
