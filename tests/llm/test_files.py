@@ -223,3 +223,15 @@ def test_media_edges(spark):
     assert set(got) == {0, 50, 200, 250}
     assert got[50]["class_id"] == 0 and got[200]["n_links"] == 0 and got[250]["class_id"] == 200
     assert media.find_copies(df.limit(0)).count() == 0
+
+
+def test_pgm_files(spark):
+    rng = np.random.default_rng(10)
+    images = media.render(rng.standard_normal((60, 64)) / 8)
+    pgm = lambda x: b"P5\n# made here\n%d %d\n255\n" % x.shape[::-1] + x.tobytes()
+    rows = [(i, pgm(x)) for i, x in enumerate(images)] + [(100, pgm(np.pad(images[3], 10))), (200, b"P5\n9 9\n255\nshort"), (300, b"no image"), (400, b""), (500, None)]
+    df = spark.createDataFrame(rows, "vec_id long, media binary")
+    got = {r["query_id"]: r for r in media.find_copies(df, media_col="media", decode=media.decode_pgm, every=10).collect()}
+    assert set(got) == {0, 10, 20, 30, 40, 50, 100}
+    assert np.mean([any(m["match_id"] == i for m in r["links"]) for i, r in got.items()]) >= 0.85
+    assert {m["match_id"] for m in got[100]["links"]} == {3, 100}

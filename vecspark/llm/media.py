@@ -1,6 +1,6 @@
 """Copy detection among images by local descriptors.
 
-Images are rendered from a column of numbers; corners are found at several
+A decoder turns a column into grey images (binary PGM, or rendered numbers); corners are found at several
 scales, each gets an orientation and a string of binary brightness tests turned with it.  Descriptors
 meet in Hamming tables: a descriptor is cut into chunks, and two descriptors that differ in fewer bits
 than there are chunks agree in one whole chunk.  What meets is checked bit by bit, and a pair of images
@@ -13,7 +13,8 @@ copies costs as much as one image.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,64 +115,96 @@ def render(vectors: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(128 + 60 * x), 0, 255).astype(np.uint8)
 
 
-def edited(images: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A cropped, turned, paler copy of each image; how hangs on its id."""
-    size = 76
-    h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    out = np.empty((len(images), size, size), np.uint8)
-    for i, (image, r) in enumerate(zip(images, h.tolist())):
-        y, x = r % (SIDE - size), (r >> 8) % (SIDE - size)
-        out[i] = np.rot90(image[y : y + size, x : x + size], (r >> 5) % 4) * 0.8 + 20
+#: Turns a column into grey images, or None where there is none.
+Decoder = Callable[[pa.Array], list[np.ndarray | None]]
+
+
+def decode_numbers(column: pa.Array) -> list[np.ndarray | None]:
+    """Images rendered from lists of 64 numbers; NaN counts as 0, other lists have no image."""
+    rows = column.to_pylist()
+    good = [i for i, v in enumerate(rows) if v is not None and len(v) == 64 and None not in v]
+    out: list[np.ndarray | None] = [None] * len(rows)
+    for at in range(0, len(good), 256):
+        part = good[at : at + 256]
+        for i, image in zip(part, render(np.nan_to_num(np.array([rows[i] for i in part], float)))):
+            out[i] = image
     return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=float).reshape(len(column), -1)
+_PGM = re.compile(rb"P5(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s")
+
+
+def decode_pgm(column: pa.Array) -> list[np.ndarray | None]:
+    """Images of binary PGM files of at most 255 grey levels; anything else has no image."""
+    out: list[np.ndarray | None] = []
+    for blob in column.to_pylist():
+        m = _PGM.match(blob[:1024]) if blob else None
+        w, h, most = map(int, m.groups()) if m else (0, 0, 0)
+        whole = m and w and h and 0 < most < 256 and len(blob) - m.end() >= w * h
+        out.append(np.frombuffer(blob, np.uint8, w * h, m.end()).reshape(h, w) if whole else None)
+    return out
+
 
+def edited(image: np.ndarray, ident: int) -> np.ndarray:
+    """A cropped (four fifths of each side), turned, paler copy of an image; how hangs on the id."""
+    r = (ident * 0x9E3779B97F4A7C15 % (1 << 64)) >> 40
+    h, w = (n * 4 // 5 for n in image.shape)
+    y, x = r % (image.shape[0] - h + 1), (r >> 8) % (image.shape[1] - w + 1)
+    return (np.rot90(image[y : y + h, x : x + w], (r >> 5) % 4) * 0.8 + 20).astype(np.uint8)
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        valid = [v is not None and len(v) == 64 and None not in v for v in b.column(1).to_pylist()]
-        rows = b.filter(pa.array(valid, pa.bool_()))
-        for at in range(0, rows.num_rows, 512):
-            part = rows.slice(at, 512)
-            images = render(np.nan_to_num(_matrix(part.column(1))))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.sha256(i.tobytes()).digest() for i in images], pa.binary())], names=["vec_id", "digest"])
+
+def _digest(decode: Decoder):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                found = [(i, hashlib.sha256(repr(x.shape).encode() + x.tobytes()).digest()) for i, x in zip(part.column(0).to_pylist(), decode(part.column(1))) if x is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], names=["id", "digest"])
+
+    return run
 
 
 CORNER = "id long, corner int, x double, y double, angle double, " + ", ".join(f"d{i} long" for i in range(TESTS // 64))
 
 
-def _corners(edit: bool):
+def _corners(decode: Decoder, edit: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                ids = part.column(0).to_numpy()
-                images = render(np.nan_to_num(_matrix(part.column(1))))
-                image, x, y, angle, _, bits = describe(edited(images, ids) if edit else images)
-                image = image.astype(int)
-                order = np.argsort(image, kind="stable")
-                corner = np.empty(len(image), np.int64)
-                corner[order] = np.arange(len(image)) - np.searchsorted(image[order], image[order])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[image]), pa.array(corner.astype(np.int32)), pa.array(x), pa.array(y), pa.array(angle), *(pa.array(bits[:, i].view(np.int64)) for i in range(bits.shape[1]))],
-                    names=[c.split()[0] for c in CORNER.split(", ")])
+                by_shape: dict[tuple, list] = {}
+                for i, x in zip(part.column(0).to_pylist(), decode(part.column(1))):
+                    if x is not None:
+                        x = edited(x, i) if edit else x
+                        by_shape.setdefault(x.shape, []).append((i, x))
+                for group in by_shape.values():
+                    ids = np.array([i for i, _ in group], np.int64)
+                    image, x, y, angle, _, bits = describe(np.stack([x for _, x in group]))
+                    image = image.astype(int)
+                    order = np.argsort(image, kind="stable")
+                    corner = np.empty(len(image), np.int32)
+                    corner[order] = np.arange(len(image)) - np.searchsorted(image[order], image[order])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[image]), pa.array(corner), pa.array(x), pa.array(y), pa.array(angle), *(pa.array(bits[:, i].view(np.int64)) for i in range(bits.shape[1]))],
+                        names=[c.split()[0] for c in CORNER.split(", ")])
 
     return run
 
 
-def corners(images: DataFrame, edit: bool = False) -> DataFrame:
-    """The corners of (id, embedding) rows, of their images or of edited copies of them."""
-    return images.select("id", "embedding").mapInArrow(_corners(edit), CORNER)
+def corners(images: DataFrame, decode: Decoder = decode_numbers, edit: bool = False) -> DataFrame:
+    """The corners of (id, media) rows, of their images or of edited copies of them."""
+    return images.select("id", "media").mapInArrow(_corners(decode, edit), CORNER)
+
 
+def _media(table: DataFrame, id_col: str, media_col: str) -> DataFrame:
+    return table.selectExpr(f"cast(`{id_col}` as long) as id", f"`{media_col}` as media")
 
-def classes(table: DataFrame, id_col: str = "vec_id", media_col: str = "embedding") -> DataFrame:
-    """(vec_id, class_id): rows with equal images share the smallest id; rows without an image have no row here."""
-    rows = table.selectExpr(f"cast(`{id_col}` as long) as vec_id", f"`{media_col}` as embedding").mapInArrow(_digest, "vec_id long, digest binary")
-    rows = scratch.write(rows, "image-digests")
-    first = rows.groupBy("digest").agg(F.min("vec_id").alias("class_id"))
-    return scratch.write(rows.join(first, "digest").select("vec_id", "class_id"), "image-classes")
+
+def classes(table: DataFrame, id_col: str = "vec_id", media_col: str = "embedding", decode: Decoder = decode_numbers) -> DataFrame:
+    """(id, class_id): rows with equal images share the smallest id; rows without an image have no row here."""
+    rows = scratch.write(_media(table, id_col, media_col).mapInArrow(_digest(decode), "id long, digest binary"), "image-digests")
+    first = rows.groupBy("digest").agg(F.min("id").alias("class_id"))
+    return scratch.write(rows.join(first, "digest").select("id", "class_id"), "image-classes")
 
 
 def _keys(table: DataFrame, names: tuple[str, str]) -> DataFrame:
@@ -212,24 +245,27 @@ def match(queries: DataFrame, base: DataFrame, max_bits: int = MAX_BITS, min_mat
     return votes.groupBy("query_id", "match_id").agg(F.max("n").alias("matches")).filter(F.col("matches") >= min_matches)
 
 
-def find_copies(table: DataFrame, id_col: str = "vec_id", media_col: str = "embedding", every: int = 50) -> DataFrame:
+def find_copies(table: DataFrame, id_col: str = "vec_id", media_col: str = "embedding", decode: Decoder = decode_numbers, every: int = 50) -> DataFrame:
     """query_id, class_id, n_links and links (match_id, matches) of each query: an edited copy of every row whose id is divisible by ``every``.
 
     All rows are searched.  Links name class representatives; ``classes`` has the members.  Rows whose
-    media are null, of another size or hold nulls have no image and no row; NaN counts as 0; a null id
-    is no query but its image is searched.  Images without corners link to nothing.  Repeated rows are
-    in one class.  An empty table gives an empty result.
+    media the decoder cannot read (null, another size or format) have no image and no row; a null id is
+    no query, and its image is searched only under another id that has it.  Images without corners link
+    to nothing.  Repeated rows are in one class.  An empty table gives an empty result.
     """
-    member = classes(table, id_col, media_col)
-    rows = table.selectExpr(f"cast(`{id_col}` as long) as id", f"`{media_col}` as embedding")
-    kept = member.select("class_id").distinct()
-    base = scratch.write(corners(rows.join(kept, rows["id"] == kept["class_id"], "left_semi").dropDuplicates(["id"])), "corners")
-    asked = member.filter((F.col("vec_id") % every == 0)).distinct()
-    ask = scratch.write(corners(rows.join(asked.select("vec_id"), rows["id"] == F.col("vec_id"), "left_semi").dropDuplicates(["id"]), edit=True), "query-corners")
+    member = classes(table, id_col, media_col, decode)
+    rows = _media(table, id_col, media_col)
+
+    def of(ids: DataFrame) -> DataFrame:
+        return rows.join(ids, rows["id"] == ids["_id"], "left_semi").dropDuplicates(["id"])
+
+    base = scratch.write(corners(of(member.select(F.col("class_id").alias("_id")).distinct()), decode), "corners")
+    asked = member.filter(F.col("id") % every == 0).distinct()
+    ask = scratch.write(corners(of(asked.select(F.col("id").alias("_id"))), decode, edit=True), "query-corners")
     found = match(ask, base).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("matches")).alias("n"), "match_id"))).alias("l"))
     links = F.transform("l", lambda x: F.struct(x["match_id"].alias("match_id"), (-x["n"]).alias("matches")))
-    return asked.join(found, asked["vec_id"] == found["query_id"], "left").select(
-        F.col("vec_id").alias("query_id"), "class_id", F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n_links"), F.coalesce(links, F.array().cast("array<struct<match_id: bigint, matches: bigint>>")).alias("links"))
+    return asked.join(found, asked["id"] == found["query_id"], "left").select(
+        F.col("id").alias("query_id"), "class_id", F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n_links"), F.coalesce(links, F.array().cast("array<struct<match_id: bigint, matches: bigint>>")).alias("links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
