@@ -1,5 +1,8 @@
 """What several tests use."""
 
+import os
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.01"
 
 
