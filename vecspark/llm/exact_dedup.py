@@ -121,11 +121,18 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 
 def survivors(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; the batch is appended to the index."""
+    """The rows of ``docs`` that stay, with all their columns; the batch is appended to the index.
+
+    Rows that go are looked up by id and 60 bits of the digest; texts move only where they are too many
+    to be broadcast.
+    """
+    def head(digest: Column) -> Column:
+        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
     verdict = deduplicate(docs, index, id_col, text_col)
-    drop = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    drop = scratch.write(drop.distinct(), "dropped")
-    same = docs[id_col].eqNullSafe(drop["_id"]) & (F.sha2(normalised(docs[text_col]), 256) == drop["_digest"])
+    drop = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), head(F.col("text_sha256")).alias("_digest"))
+    drop = scratch.lookup(scratch.write(drop.distinct(), "dropped"))
+    same = docs[id_col].eqNullSafe(drop["_id"]) & (head(F.sha2(normalised(docs[text_col]), 256)) == drop["_digest"])
     return docs.join(drop, same, "left_anti")
 
 

@@ -160,7 +160,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say."""
     id_col = options.get("id_col", "doc_id")
     copies = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies != 1")
-    copies = scratch.write(copies, "copies")
+    copies = scratch.lookup(scratch.write(copies, "copies"))
     times = F.coalesce(copies["_copies"], F.lit(1))
     rows = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]), "left")
     return rows.select(F.explode(F.array_repeat(F.struct(*(docs[c] for c in docs.columns)), times)).alias("r")).select("r.*")

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
@@ -56,3 +57,12 @@ def write(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a written table of two numbers a row that may go to every executor (some 100 MB when hashed).
+BROADCAST_ROWS = 1_000_000
+
+
+def lookup(table: DataFrame) -> DataFrame:
+    """``table`` (written, at most two numbers a row) marked to be broadcast if it is small enough, else to be merged."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")

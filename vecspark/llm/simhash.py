@@ -244,7 +244,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     drop = near_duplicates(docs, id_col, text_col).filter("doc_id is not null").groupBy("doc_id").agg(first.alias("first"))
-    drop = scratch.write(drop.filter("not first").select(F.col("doc_id").alias("_id")), "near-copies")
+    drop = scratch.lookup(scratch.write(drop.filter("not first").select(F.col("doc_id").alias("_id")), "near-copies"))
     return docs.join(drop, docs[id_col] == drop["_id"], "left_anti")
 
 
