@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +29,43 @@ KEEP = 0.5
 GOOD, BAD, NONE = 1, 0, 2
 
 _SYMBOLS = re.compile(r"[#$%&*@~^=<>{}\\]{2,}|[!?]{2,}")
+#: A word of lower-case Latin letters, perhaps a capital before and a mark behind.
+_COMMON = re.compile("([A-ZÀ-ÖØ-Þ]?)([a-zß-öø-ÿ]+)([.,;:!?]?)")
+#: What a word can be, as bits.
+SYMBOLS, CAPITALS, SEPARATOR, END, PLAIN = 1, 2, 4, 8, 16
+CACHE_WORDS = 300_000
+_kinds: dict[str, int] = {}
+
+
+def kinds(w: str) -> int:
+    """SYMBOLS: runs of symbols.  CAPITALS: throughout.  SEPARATOR: no letter or digit.  END: ends a clause or
+    sentence.  PLAIN: lower-case letters, but for the first and last character."""
+    if _COMMON.fullmatch(w):  # as below, sooner
+        return PLAIN | (END if w[-1] in ".,;:" else 0)
+    return (
+        SYMBOLS * bool(_SYMBOLS.search(w)) | CAPITALS * (len(w) > 1 and w.isupper()) | SEPARATOR * (not any(map(str.isalnum, w)))
+        | END * (w[-1] in ".,;:" and w[:-1].isalpha()) | PLAIN * (w[0].isalpha() and (len(w) < 3 or w[1:-1].isalpha() and w[1:-1].islower()))
+    )
 
 
 class Text:
-    """What labellers look at."""
+    """What labellers look at: the words, how often each occurs, and the share of words of each kind."""
 
     def __init__(self, text: str | None):
-        self.text = text or ""
-        self.words = self.text.split()
+        self.words = (text or "").split()
         self.n = len(self.words)
         self.counts = Counter(self.words)
-
-    def share(self, hits: int) -> float:
-        return hits / self.n
+        if len(_kinds) > CACHE_WORDS:
+            _kinds.clear()
+        total: Counter = Counter()
+        known = _kinds.get
+        for w, n in self.counts.items():
+            k = known(w)
+            if k is None:
+                k = _kinds[w] = kinds(w)
+            total[k] += n
+        self.shares = {b: sum(n for k, n in total.items() if k & b) / max(self.n, 1) for b in (SYMBOLS, CAPITALS, SEPARATOR, END, PLAIN)}
+        self.again = sum(map(eq, self.words, self.words[1:])) / max(self.n, 1)
 
 
 def _between(x: float, bad: float, good: float) -> int:
@@ -50,28 +75,27 @@ def _between(x: float, bad: float, good: float) -> int:
 
 def symbols(t: Text) -> int:
     """Words with runs of symbols."""
-    return _between(t.share(sum(n for w, n in t.counts.items() if _SYMBOLS.search(w))), 0.15, 0.02)
+    return _between(t.shares[SYMBOLS], 0.15, 0.02)
 
 
 def capitals(t: Text) -> int:
     """Words in capitals throughout."""
-    return _between(t.share(sum(n for w, n in t.counts.items() if len(w) > 1 and w.isupper())), 0.3, 0.05)
+    return _between(t.shares[CAPITALS], 0.3, 0.05)
 
 
 def separators(t: Text) -> int:
     """Words without a letter or digit, as in tables and menus."""
-    return _between(t.share(sum(n for w, n in t.counts.items() if not any(map(str.isalnum, w)))), 0.12, 0.02)
+    return _between(t.shares[SEPARATOR], 0.12, 0.02)
 
 
 def repeats(t: Text) -> int:
     """Words that repeat the word before."""
-    return _between(t.share(sum(a == b for a, b in zip(t.words, t.words[1:]))), 0.2, 0.06)
+    return _between(t.again, 0.2, 0.06)
 
 
 def sentences(t: Text) -> int:
     """Words that end a clause or sentence."""
-    ends = sum(n for w, n in t.counts.items() if w[-1] in ".,;:" and w[:-1].isalpha())
-    return GOOD if 0.03 <= t.share(ends) <= 0.4 else BAD if t.n >= 40 and t.share(ends) < 0.01 else NONE
+    return GOOD if 0.03 <= t.shares[END] <= 0.4 else BAD if t.n >= 40 and t.shares[END] < 0.01 else NONE
 
 
 def vocabulary(t: Text) -> int:
@@ -83,16 +107,15 @@ def vocabulary(t: Text) -> int:
 
 def plain_words(t: Text) -> int:
     """Words of lower-case letters only, but for a capital before and one mark behind."""
-    plain = sum(n for w, n in t.counts.items() if w[0].isalpha() and (len(w) < 3 or w[1:-1].isalpha() and w[1:-1].islower()))
-    return GOOD if t.share(plain) >= 0.9 else BAD if t.share(plain) < 0.6 else NONE
+    return GOOD if t.shares[PLAIN] >= 0.9 else BAD if t.shares[PLAIN] < 0.6 else NONE
 
 
 LABELLERS = (symbols, capitals, separators, repeats, sentences, vocabulary, plain_words)
 
 
-def votes(text: str | None) -> str:
+def votes(text: str | None | Text) -> str:
     """One digit per labeller: 1 good, 0 bad, 2 abstains."""
-    t = Text(text)
+    t = text if isinstance(text, Text) else Text(text)
     return "".join(str(f(t) if t.n >= FEW_WORDS else NONE) for f in LABELLERS)
 
 
@@ -127,6 +150,8 @@ def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[np.ndarray
 
 def _shape(word: str) -> str:
     """Letters become x or X, digits 0; runs are cut to three, marks stay."""
+    if m := _COMMON.fullmatch(word):  # as below, sooner
+        return (m[1] and "X") + "xxx"[: len(m[2])] + m[3]
     out = []
     for c in word:
         k = "x" if c.islower() else "X" if c.isupper() else "0" if c.isdigit() else "l" if c.isalpha() else c
@@ -142,14 +167,13 @@ class Hasher:
         self.size = size
         self.known: dict[str, str] = {}
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: str | None | Text) -> tuple[np.ndarray, np.ndarray]:
         import xxhash
 
-        words = (text or "").split()
-        known = self.known
-        if len(known) > 300_000:
+        t = text if isinstance(text, Text) else Text(text)
+        words, counts, known = t.words, t.counts, self.known
+        if len(known) > CACHE_WORDS:
             known.clear()
-        counts = Counter(words)
         shapes: Counter = Counter()
         for w, n in counts.items():
             s = known.get(w)
@@ -159,7 +183,7 @@ class Hasher:
         n = max(len(words), 1)
         marks = {
             f"words:{len(words).bit_length()}": n, f"kinds:{int(10 * len(counts) / n)}": n,
-            f"again:{min(9, int(20 * sum(a == b for a, b in zip(words, words[1:])) / n))}": n,
+            f"again:{min(9, int(20 * t.again))}": n,
         }
         f: dict[int, float] = {}
         for s, c in (shapes | marks).items():
@@ -212,9 +236,10 @@ def _scorer(shared):
         for b in batches:
             rows = []
             for t in b.column(1):
-                v = votes(t.as_py())
-                ids, x = h(t.as_py())
-                s = 1 / (1 + float(np.exp(-np.clip(x @ w[ids] + w[-1], -50, 50)))) if t.is_valid and t.as_py().strip() else 0.0
+                seen = Text(t.as_py())
+                v = votes(seen)
+                ids, x = h(seen)
+                s = 1 / (1 + float(np.exp(-np.clip(x @ w[ids] + w[-1], -50, 50)))) if seen.n else 0.0
                 rows.append((v, posterior.get(v, 0.5), s))
             cols = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=["doc_id", "votes", "posterior", "score"])
@@ -253,8 +278,9 @@ def _filter(shared, at: int, keep: float):
         for b in batches:
             good = []
             for t in b.column(at):
-                ids, x = h(t.as_py())
-                good.append(t.is_valid and bool(t.as_py().strip()) and 1 / (1 + float(np.exp(-np.clip(x @ w[ids] + w[-1], -50, 50)))) >= keep)
+                seen = Text(t.as_py())
+                ids, x = h(seen)
+                good.append(seen.n > 0 and 1 / (1 + float(np.exp(-np.clip(x @ w[ids] + w[-1], -50, 50)))) >= keep)
             yield b.filter(pa.array(good, pa.bool_()))
 
     return run
