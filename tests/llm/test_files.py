@@ -215,6 +215,34 @@ def test_descriptors_turn_with_the_image():
     assert len(media.describe(np.zeros((1, 10, 10)))[0]) == 0
 
 
+def spread_flips(rng, bits, n):
+    """Copies of descriptors with ``n`` bits changed, evenly spread."""
+    flips = np.zeros((len(bits), 256), np.uint8)
+    for row in flips:
+        row[(np.arange(n) * 256 // n + rng.integers(256)) % 256] = 1
+    return bits ^ np.packbits(flips, axis=1, bitorder="little").view("<u8")
+
+
+def test_match_meets_all_pairs_within_the_stated_bits(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 64, (400, 4), dtype=np.uint64)
+    base[200:300] = spread_flips(rng, base[:100], 30)  # near each other too
+    ask = np.concatenate([spread_flips(rng, base[i * 50 : i * 50 + 50], n) for i, n in enumerate((1, 3, 8, 16, 24, 32, 33))])
+    bits = np.bitwise_count(ask[:, None] ^ base[None]).sum(2)
+
+    def table(x):
+        rows = [(i // 10, i % 10, float(i % 10 * 7), float(i % 10 * 5), 0.0, *(int(w) for w in d.view(np.int64))) for i, d in enumerate(x)]
+        return spark.createDataFrame(rows, media.CORNER)
+
+    got = {(r["query_id"], r["match_id"]): r["matches"] for r in media.match(table(ask), table(base), min_matches=1).collect()}
+    want = {(i // 10, j // 10) for i, j in np.argwhere(bits <= media.MAX_BITS)}
+    assert set(got) == want
+    assert all(got[i, i] == 10 for i in range(30)) and all((i, i) not in got for i in range(30, 35))
+    for most in (0, 7, 32, 40):
+        pairs = [p for i, j in media.near_pairs(ask, base, most) for p in zip(i.tolist(), j.tolist())]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == set(map(tuple, np.argwhere(bits <= most).tolist()))
+
+
 def test_media_edges(spark):
     v = np.random.default_rng(9).standard_normal(64).tolist()
     rows = [(0, v, 1), (0, v, 1), (50, v, 1), (None, v, 1), (100, None, 1), (150, [1.0], 1), (200, [0.0] * 64, 1), (250, [float("nan")] * 64, 1), (300, [None] * 64, 1)]

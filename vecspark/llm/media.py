@@ -2,9 +2,10 @@
 
 A decoder turns a column into grey images (binary PGM, or rendered numbers); corners are found at several
 scales, each gets an orientation and a string of binary brightness tests turned with it.  Descriptors
-meet in Hamming tables: a descriptor is cut into chunks, and two descriptors that differ in fewer bits
-than there are chunks agree in one whole chunk.  What meets is checked bit by bit, and a pair of images
-is reported when enough of its matches agree on one shift, turn and scale.
+meet in Hamming tables: a descriptor is cut into chunks, and of two descriptors within MAX_BITS bits some
+chunk differs in at most MAX_BITS / chunks bits, so looking up all keys that near finds every such pair.
+What meets is checked bit by bit, and a pair of images is reported when enough of its matches agree on
+one shift and turn.
 
 Equal images are one class, described once, and pairs are between class representatives, so a group of
 copies costs as much as one image.
@@ -15,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,13 @@ from vecspark.llm import scratch
 SIDE = 96
 #: Corners of a scale at most (largest response first), halvings of the image, and the margin that tests need.
 CORNERS, LEVELS, MARGIN = (24, 8), 2, 13
-TESTS, CHUNKS, TURNS = 256, 4, 32
+TESTS, CHUNKS, TURNS = 256, 11, 32
 #: Bits in which matching descriptors differ at most, and matches that must agree.
 MAX_BITS, MIN_MATCHES = 32, 4
 #: Bins of the consensus: turn (parts of a circle), shift in pixels.
 TURN_BINS, SHIFT_BIN = 16, 24.0
+#: Base and query descriptors that meet at once, keys looked up at once, and pairs checked at once.
+BASE_BLOCK, QUERY_BLOCK, KEYS_AT_ONCE, PAIRS_AT_ONCE = 1 << 18, 1 << 17, 1 << 20, 1 << 20
 
 
 def _pattern() -> np.ndarray:
@@ -207,16 +212,108 @@ def classes(table: DataFrame, id_col: str = "vec_id", media_col: str = "embeddin
     return scratch.write(rows.join(first, "digest").select("id", "class_id"), "image-classes")
 
 
-def _keys(table: DataFrame, names: tuple[str, str]) -> DataFrame:
-    """(chunk, key, id, corner): the chunks of each descriptor."""
-    per = TESTS // CHUNKS  # a part of a word, or a word
+def _chunk_keys(bits: np.ndarray, start: int, width: int) -> np.ndarray:
+    """The ``width`` bits from ``start`` of each descriptor, as a number."""
+    word, shift = divmod(start, 64)
+    key = bits[:, word] >> np.uint64(shift)
+    if shift + width > 64:
+        key = key | bits[:, word + 1] << np.uint64(64 - shift)
+    return (key & np.uint64((1 << width) - 1)).astype(np.int64)
 
-    def key(i: int):
-        word = F.col(f"d{i * per // 64}")
-        return word if per == 64 else F.shiftrightunsigned(word, i * per % 64).bitwiseAND(F.lit((1 << per) - 1))
 
-    cells = [F.struct(F.lit(i).cast("byte").alias("chunk"), key(i).alias("key")) for i in range(CHUNKS)]
-    return table.select(F.col("id").alias(names[0]), F.col("corner").alias(names[1]), F.explode(F.array(*cells)).alias("c")).select("c.chunk", "c.key", *names)
+def near_pairs(queries: np.ndarray, base: np.ndarray, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query row, base row) of all pairs of descriptors that differ in at most ``max_bits`` bits, each pair once.
+
+    With m chunks and radius r a pair farther than r in every chunk differs in at least m (r + 1) > max_bits bits.
+    """
+    chunks = max(CHUNKS, -(-(max_bits + 1) // 3))
+    radius = -(-(max_bits + 1) // chunks) - 1
+    edges = [TESTS * i // chunks for i in range(chunks + 1)]
+    for c in range(chunks):
+        width = edges[c + 1] - edges[c]
+        masks = np.array([sum(1 << i for i in x) for r in range(radius + 1) for x in combinations(range(width), r)], np.int64)
+        keys = _chunk_keys(base, edges[c], width)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        present = np.zeros(1 << width, bool)
+        present[keys] = True
+        step = max(1, KEYS_AT_ONCE // len(masks))
+        for at in range(0, len(queries), step):
+            probes = _chunk_keys(queries[at : at + step], edges[c], width)[:, None] ^ masks
+            q, k = np.nonzero(present[probes])
+            low = np.searchsorted(keys, probes[q, k], "left")
+            n = np.searchsorted(keys, probes[q, k], "right") - low
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            for first in range(0, total, PAIRS_AT_ONCE):
+                pair = np.arange(first, min(first + PAIRS_AT_ONCE, total))
+                probe = np.searchsorted(ends, pair, "right")
+                i, j = q[probe] + at, order[low[probe] + pair - (ends[probe] - n[probe])]
+                differ = queries[i] ^ base[j]
+                good = np.bitwise_count(differ).sum(1, dtype=np.int64) <= max_bits
+                i, j, differ = i[good], j[good], differ[good]
+                new = np.ones(len(i), bool)
+                for e in range(c):  # met in an earlier chunk
+                    new &= np.bitwise_count(_chunk_keys(differ, edges[e], edges[e + 1] - edges[e])) > radius
+                if new.any():
+                    yield i[new], j[new]
+
+
+def _words(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([table.column(f"d{i}").to_numpy().view(np.uint64) for i in range(TESTS // 64)])
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[pa.Table]:
+    """Query corners in blocks of about QUERY_BLOCK, by ranges of ids."""
+    n = queries.count()
+    blocks = -(-n // QUERY_BLOCK)
+    edges = [] if blocks < 2 else sorted(set(queries.select(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], 10_000)).first()[0]))
+    for low, high in zip([None, *edges], [*edges, None]):
+        part = queries if low is None else queries.filter(F.col("id") > low)
+        block = (part if high is None else part.filter(F.col("id") <= high)).toArrow()
+        if block.num_rows:
+            yield block
+
+
+PAIR = "query_id long, match_id long, qc int, turn double, ox double, oy double"
+
+
+def _meet(shared, max_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = shared.value
+        q_bits = _words(ask)
+        q_id, qc, qx, qy, qa = (ask.column(c).to_numpy() for c in ("id", "corner", "x", "y", "angle"))
+
+        def meet(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = pa.Table.from_batches(parts)
+            b_id, bx, by, ba = (block.column(c).to_numpy() for c in ("id", "x", "y", "angle"))
+            for i, j in near_pairs(q_bits, _words(block), max_bits):
+                turn = ba[j] - qa[i]
+                # where the query's origin would lie in the other image
+                ox = bx[j] - (np.cos(turn) * qx[i] - np.sin(turn) * qy[i])
+                oy = by[j] - (np.sin(turn) * qx[i] + np.cos(turn) * qy[i])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_id[i], b_id[j], qc[i], turn, ox, oy)], names=[c.split()[0] for c in PAIR.split(", ")])
+
+        waiting: list[pa.RecordBatch] = []
+        for b in batches:
+            waiting.append(b)
+            if sum(x.num_rows for x in waiting) >= BASE_BLOCK:
+                yield from meet(waiting)
+                waiting = []
+        if waiting:
+            yield from meet(waiting)
+
+    return run
+
+
+def met(queries: DataFrame, base: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(query_id, match_id, qc, turn, ox, oy) of all pairs of corners whose descriptors differ in at most ``max_bits`` bits.
+
+    Base corners stay where they are read; query corners go to every task in blocks of bounded size.
+    """
+    context = base.sparkSession.sparkContext
+    parts = [base.mapInArrow(_meet(context.broadcast(block), max_bits), PAIR) for block in _query_blocks(queries)]
+    return reduce(DataFrame.union, parts) if parts else base.sparkSession.createDataFrame([], PAIR)
 
 
 def match(queries: DataFrame, base: DataFrame, max_bits: int = MAX_BITS, min_matches: int = MIN_MATCHES) -> DataFrame:
@@ -224,18 +321,7 @@ def match(queries: DataFrame, base: DataFrame, max_bits: int = MAX_BITS, min_mat
 
     Corner tables as ``corners`` makes them.  ``matches`` counts the query's corners in the fullest bin.
     """
-    met = _keys(queries, ("query_id", "qc")).join(_keys(base, ("match_id", "bc")), ["chunk", "key"]).select("query_id", "qc", "match_id", "bc").distinct()
-
-    def named(t: DataFrame, side: str, ident: str, corner: str) -> DataFrame:
-        return t.select(F.col("id").alias(ident), F.col("corner").alias(corner), *(F.col(c).alias(f"{side}_{c}") for c in t.columns[2:]))
-
-    full = met.join(named(queries, "q", "query_id", "qc"), ["query_id", "qc"]).join(named(base, "b", "match_id", "bc"), ["match_id", "bc"])
-    bits = sum((F.bit_count(F.col(f"q_d{i}").bitwiseXOR(F.col(f"b_d{i}"))) for i in range(TESTS // 64)), F.lit(0))
-    turn = F.col("b_angle") - F.col("q_angle")
-    # where the query's origin would lie in the other image
-    ox = F.col("b_x") - (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
-    oy = F.col("b_y") - (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
-    good = full.filter(bits <= max_bits).select("query_id", "match_id", "qc", turn.alias("turn"), ox.alias("ox"), oy.alias("oy"))
+    good = scratch.write(met(queries, base, max_bits), "corner-pairs")
     # bins twice, half a bin apart, so that no agreement is cut by an edge
     binned = good.withColumn("h", F.explode(F.array(*(F.struct(F.lit(i / 2).alias("t"), F.lit(j / 2).alias("s")) for i in (0, 1) for j in (0, 1))))).select(
         "query_id", "match_id", "qc", "h",
