@@ -82,6 +82,22 @@ def test_toxicity_edges(spark, edges, empty):
     assert toxicity.score(docs, odd).count() == 60
 
 
+def test_toxicity_knows_all_beginnings_and_many_terms(spark):
+    rng = random.Random(2)
+    docs, labels = [], []
+    for i in range(400):
+        text = [f"word{rng.randrange(60)}" for _ in range(30)]
+        if i % 5 == 0:  # five letters in common and no more
+            text[3] = "snarl" + rng.choice("abcdefghijklmnopqrstuvwxyz") + str(i)
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(i % 5 == 0)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = [(r["predicted"], int(r["doc_id"] % 5 == 0)) for r in toxicity.score(docs, labels).collect() if r["held_out"]]
+    assert np.mean([p == y for p, y in held]) > 0.97
+    many = spark.createDataFrame([(" ".join(f"t{j}" for j in range(1500)) if i < 10 else "other", int(i < 10)) for i in range(50)], "text string, toxic int")
+    assert len(toxicity.choose_terms(many)) == 1500
+
+
 def test_toxicity_on_held_out_rows(spark, documents):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = toxicity.score(documents, labels).join(labels, "doc_id").filter("held_out").collect()
