@@ -164,6 +164,17 @@ def test_rates_reach_the_targets_and_match_a_dense_solution(spark):
     assert np.abs(rate - r).mean() < 0.05
 
 
+def test_a_scarce_domain_reaches_its_target(spark):
+    goal = [0.5, 0.2, 0.18, 0.12]
+    domain = np.repeat([0, 1, 2, 3], [500, 300, 190, 10])
+    for soft in (0.0, 0.15):
+        p = np.full((1000, 4), soft / 4) + (1 - soft) * np.eye(4)[domain]
+        members = spark.createDataFrame([(i, 50, q.tolist()) for i, q in enumerate(p)], "doc_id long, tokens long, posterior array<double>")
+        got = mixing.fit_rates(members, goal).orderBy("doc_id").collect()
+        share = np.array([r["rate"] for r in got]) @ p / 1000
+        assert np.abs(share - goal).max() < 2e-3 and np.allclose(share - goal, got[0]["residual"], atol=1e-9)
+
+
 def test_unreachable_targets_stop_at_zero(spark):
     members = spark.createDataFrame([(0, 10, [1.0, 0.0]), (1, 10, [0.0, 1.0])], "doc_id long, tokens long, posterior array<double>")
     rate = {r["doc_id"]: r["rate"] for r in mixing.fit_rates(members, [0.0, 1.0]).collect()}

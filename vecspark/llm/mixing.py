@@ -1,10 +1,10 @@
 """Mixing of sources to target weights with soft domain membership.
 
 A classifier learned from the table's own labelled rows gives each document a posterior over domains.
-Document rates (not negative, and bounded) minimise the weighted squared distance of the domains' expected token totals
-from their targets, plus a small pull towards rate 1, by projected gradient: each step aggregates one
-number per domain over all documents, and a document's next rate needs only those numbers and its own
-posterior.
+Document rates (not negative, and without an upper bound) minimise the weighted squared distance of the
+domains' expected token totals from their targets, plus a small pull towards rate 1.  At the minimum a
+document's rate needs only its own posterior and one number per domain; those are found by Newton's
+method, each step of which aggregates a few numbers per domain over all documents.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ from vecspark.llm import scratch
 SAMPLE_ROWS, FEATURES = 20_000, 1 << 14
 #: Words of a document beyond which evidence counts for no more; keeps posteriors soft.
 EVIDENCE_WORDS = 30
-#: Pull towards rate 1, steps at most, steps that one expression may chain, and when to stop.
-PULL, STEPS, CHAIN, TOLERANCE = 1e-3, 60, 10, 1e-5
-#: Rates are held between 0 and this, so that targets out of reach do not repeat a few documents without end.
-MOST = 8.0
+#: Pull towards rate 1, steps at most (an error beyond), and the gradient at which the fit has converged, as a share of tokens.
+PULL, STEPS, TOLERANCE = 1e-3, 200, 1e-7
 #: The default domain column and the shares of all tokens that its values should get.
 DOMAIN, TARGETS = "lang", {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
 
@@ -95,49 +93,58 @@ def posteriors(docs: DataFrame, logs: np.ndarray, id_col: str = "doc_id", text_c
         _posteriors(shared), "doc_id long, tokens long, posterior array<double>")
 
 
-def _step(rate: Column, p: Column, push: list[float], pull: float) -> Column:
-    """One projected step: rate + push . posterior + pull (1 - rate), held between 0 and MOST."""
-    move = sum((F.lit(x) * p[k] for k, x in enumerate(push)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(MOST), F.lit(1 - pull) * rate + F.lit(pull) + move))
+def _rate(p: Column, level: np.ndarray, pull: float) -> Column:
+    """The best rate under one number per domain."""
+    return F.greatest(F.lit(0.0), sum((F.lit(float(x / pull)) * p[k] for k, x in enumerate(level)), F.lit(1.0)))
 
 
 def fit_rates(members: DataFrame, targets: list[float], total: float | None = None, pull: float = PULL, steps: int = STEPS) -> DataFrame:
-    """(doc_id, tokens, posterior, rate): rates whose expected domain totals come nearest to ``targets`` x total tokens.
+    """(doc_id, tokens, posterior, rate, residual): rates whose expected domain totals come nearest to ``targets`` x total tokens.
 
-    ``members`` is read once a step; every CHAIN steps the rates are written.
+    ``residual`` is each domain's expected total less its target, as a share of all tokens.  ``members``
+    is read once a step.  A fit that has not converged after ``steps`` is an error.
     """
     n = len(targets)
     p, tokens = F.col("posterior"), F.col("tokens").cast("double")
-    # the uncentred second moments of the posteriors, by token: n x n numbers
-    moments = members.agg(F.sum(tokens).alias("all"), *(F.sum(tokens * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(n) for j in range(n)), *(F.sum(tokens * p[i]).alias(f"t{i}") for i in range(n))).first()
-    have = moments["all"] or 0.0
-    state = members.withColumn("rate", F.lit(1.0))
+    sums = members.agg(F.sum(tokens).alias("all"), *(F.sum(tokens * p[i]).alias(f"t{i}") for i in range(n))).first()
+    have = sums["all"] or 0.0
     if not have:
-        return state
-    total = have if total is None else total
-    goal = np.array(targets) * total / have
-    share = np.array([moments[f"t{i}"] for i in range(n)]) / have
-    weight = 1 / np.maximum(share, 1e-6)
-    m = np.array([[moments[f"m{i}_{j}"] for j in range(n)] for i in range(n)]) / have
-    root = np.sqrt(weight)
-    rate = 1 / (np.linalg.eigvalsh(root[:, None] * m * root[None, :]).max() + pull)
-    now, last = share, np.inf
-    for t in range(steps):
-        push = (rate * weight * (goal - now)).tolist()
-        state = state.withColumn("rate", _step(F.col("rate"), p, push, rate * pull))
-        if (t + 1) % CHAIN == 0:
-            state = scratch.write(state, "rates")
-        row = state.agg(*(F.sum(tokens * F.col("rate") * p[i]).alias(f"t{i}") for i in range(n))).first()
+        return members.withColumn("rate", F.lit(1.0)).withColumn("residual", F.array(*(F.lit(0.0) for _ in range(n))))
+    goal = np.array(targets) * (have if total is None else total) / have
+    inverse = np.maximum(np.array([sums[f"t{i}"] for i in range(n)]) / have, 1e-6)  # of the domains' weights
+
+    def at(level: np.ndarray):
+        """The dual function, its gradient and second derivative, and the expected totals."""
+        rate = _rate(p, level, pull)
+        used = F.when(rate > 0, tokens).otherwise(0.0)
+        row = members.agg(
+            F.sum(tokens * rate * rate).alias("q"), *(F.sum(tokens * rate * p[i]).alias(f"t{i}") for i in range(n)),
+            *(F.sum(used * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(n) for j in range(i + 1))).first()
         now = np.array([row[f"t{i}"] for i in range(n)]) / have
-        error = float(np.abs(goal - now).max())
-        if error < TOLERANCE or abs(last - error) < TOLERANCE / 10:
+        second = np.array([[row[f"m{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)]) / have / pull + np.diag(inverse)
+        return level @ (inverse * level) / 2 - goal @ level + pull * row["q"] / have / 2, inverse * level - goal + now, second, now
+
+    level = np.zeros(n)
+    value, slope, second, now = at(level)
+    for _ in range(steps):
+        if np.abs(slope).max() <= TOLERANCE:
             break
-        last = error
-    return scratch.write(state, "rates")
+        move = -np.linalg.solve(second, slope)
+        size = 1.0
+        while True:
+            new = at(level + size * move)
+            if new[0] <= value + 1e-4 * size * (slope @ move) or np.abs(new[1]).max() <= TOLERANCE or size < 1e-6:
+                break
+            size /= 2
+        level = level + size * move
+        value, slope, second, now = new
+    if np.abs(slope).max() > TOLERANCE:
+        raise RuntimeError(f"rates have not converged after {steps} steps: gradient {np.abs(slope).max():.1e}")
+    return scratch.write(members.withColumn("rate", _rate(p, level, pull)).withColumn("residual", F.array(*(F.lit(float(x)) for x in now - goal))), "rates")
 
 
 def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, domain_col: str = DOMAIN, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, tokens, domains, posterior, rate and copies of each row.
+    """doc_id, tokens, domains, posterior, rate, residual and copies of each row.
 
     ``targets`` are shares by domain; those of domains without a row are left out (unless all are), and
     the rest are scaled to sum to 1.  Copies are the rate rounded up or down at
@@ -153,7 +160,7 @@ def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, domain_col: str =
     members = scratch.write(posteriors(docs, logs, id_col, text_col), "posteriors")
     rates = fit_rates(members, weights, total)
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    return rates.select("doc_id", "tokens", F.array(*map(F.lit, domains)).alias("domains"), "posterior", "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
+    return rates.select("doc_id", "tokens", F.array(*map(F.lit, domains)).alias("domains"), "posterior", "rate", "residual", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
