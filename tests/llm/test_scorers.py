@@ -249,6 +249,13 @@ def test_weak_parts_need_their_complements():
     assert kinds("https://db.example.com password: s3cretpass") == {"assign"}
 
 
+def test_opaque_values_may_be_long():
+    for n in (128, 129, 5000):
+        value = ("aB3dE5gH7" * n)[:n]
+        text = f"user=someone then {value} end"
+        assert [(k, text[a:b]) for a, b, k in secrets.spans(text)] == [("identifier", "user=someone"), ("value", value)]
+
+
 def test_scopes_match_a_slow_interval_join():
     rng = np.random.default_rng(6)
     for _ in range(50):

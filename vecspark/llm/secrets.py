@@ -25,7 +25,7 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 6, 20
 #: Weak parts. An opaque value must look random, see _opaque.
 IDENTIFIER = re.compile(r"""(?ai)\b(?:user(?:name)?|login|account|client_?id|access_?key_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{3,})""")
 ENDPOINT = re.compile(r"""(?ai)\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]+(?::[0-9]+)?)""")
-OPAQUE = re.compile(r"(?a)(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?a)(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 #: Code points around a part within which its complements must lie.
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "identifier", "endpoint", "value")
