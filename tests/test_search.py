@@ -193,3 +193,14 @@ def test_latency_curve_and_warm_up(spark):
 
     rows = harness.latency_curve(spark, [50, 100], 8).collect()
     assert [r["n_vecs"] for r in rows] == [50, 100] and all(r["time_ms"] > 0 for r in rows)
+
+
+def test_knn_graph_crosses_ranges_of_ids(spark):
+    rng = np.random.default_rng(12)
+    c = rng.integers(0, 1 << 6, (40, 1))
+    ids = np.arange(40) * 5000  # several shards
+    df = spark.createDataFrame([(int(i), [int(v) for v in r]) for i, r in zip(ids, c)], "vec_id long, code array<long>")
+    d = np.bitwise_count(c[:, None, 0] ^ c[None, :, 0]).astype(int)
+    want = {(int(ids[i]), r + 1, int(ids[j]), int(d[i, j])) for i in range(40) for r, j in enumerate(sorted((j for j in range(40) if j != i), key=lambda j: (d[i, j], j))[:4])}
+    got = [tuple(r) for r in search.knn_graph(df, 4).select("vec_id", "rank", "nbr", "distance").collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -189,19 +189,11 @@ def local_cascade(index: LocalIndex, queries: DataFrame, p1: int, p2: int, both:
     return index.assigned.join(s2, "c2").select("query_id", "vec_id").distinct()
 
 
-def knn_graph(codes: DataFrame, m: int = 16, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, rank, nbr, distance): the ``m`` nearest others of each code within its shard."""
-    def run(key, table):
-        ids, x = _read_shard(table, "code", "hamming")
-        out = []
-        for at in range(0, len(x), 512):
-            d = kernels.hamming(x[at : at + 512], x)
-            d[np.arange(len(d)), at + np.arange(len(d))] = np.iinfo(np.int32).max
-            order = np.argsort(d, axis=1, kind="stable")[:, : min(m, len(x) - 1)]
-            out.append((np.repeat(ids[at : at + 512], order.shape[1]), np.tile(np.arange(1, order.shape[1] + 1, dtype=np.int32), len(d)), ids[order].ravel(), np.take_along_axis(d, order, 1).ravel()))
-        return pa.table(dict(zip(("vec_id", "rank", "nbr", "distance"), map(np.concatenate, zip(*out)))))
-
-    return _shards(codes, "code", shard_rows).applyInArrow(run, "vec_id long, rank int, nbr long, distance int")
+def knn_graph(codes: DataFrame, m: int = 16) -> DataFrame:
+    """(vec_id, rank, nbr, distance): the ``m`` nearest others of each code, among all codes."""
+    near = top_k(codes, codes, m + 1, "hamming", "code").filter("query_id <> vec_id").drop("rank")
+    near = rank_limit(near, m, ["query_id"], ["score", "vec_id"])
+    return near.select(F.col("query_id").alias("vec_id"), "rank", F.col("vec_id").alias("nbr"), F.col("score").cast("int").alias("distance"))
 
 
 def graph_search(codes: DataFrame, queries: DataFrame, k: int = 3, m: int = 16, beam: int = 64, entries: int = 8, shard_rows: int = SHARD_ROWS) -> DataFrame:
