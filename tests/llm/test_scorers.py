@@ -256,12 +256,39 @@ def test_opaque_values_may_be_long():
         assert [(k, text[a:b]) for a, b, k in secrets.spans(text)] == [("identifier", "user=someone"), ("value", value)]
 
 
-def test_scopes_match_a_slow_interval_join():
-    rng = np.random.default_rng(6)
-    for _ in range(50):
-        a, b = (np.sort(rng.integers(0, 500, (rng.integers(0, 8), 2)), axis=1) for _ in range(2))
-        got = secrets._in_scope(a, b, 20)
-        assert got.tolist() == [any(s < y + 20 and e > x - 20 for s, e in b) for x, y in a]
+def test_a_part_is_not_its_own_complement():
+    for text in ("user=abcdefg123456789", "client_id=myapp0001 something", "key_id: abcDEF123ghiJKL456==", "https://user1234abcd:pass5678efgh@db.example.com/x"):
+        assert secrets.spans(text) == []
+
+
+def slow_spans(text, scope):
+    """Every weak part against every other part, from the patterns' own matches."""
+    base = brute_base(text)
+    apart = lambda x, y: x[1] <= y[0] or y[1] <= x[0]
+    near = lambda x, y: apart(x, y) and max(x[0] - y[1], y[0] - x[1]) < scope
+    parts = [(m.start(), m.end(), k) for k, p in (("identifier", secrets.IDENTIFIER), ("endpoint", secrets.ENDPOINT)) for m in p.finditer(text)]
+    parts = [x for x in parts if all(apart(x, b) for b in base)]
+    values = [(m.start(), m.end(), "value") for m in secrets.OPAQUE.finditer(text) if secrets._opaque(m[0])]
+    parts += [v for v in values if all(apart(v, x) for x in base + [p for p in parts if p[2] == "identifier"])]
+    out = base + [x for x in parts if all(any(y[2] in group and near(x, y) for y in base + parts) for group in secrets.NEEDS[x[2]])]
+    order = {k: i for i, k in enumerate(secrets.KINDS)}
+    return sorted(out, key=lambda s: (s[0], order[s[2]]))
+
+
+def test_spans_match_a_slow_interval_join():
+    rng = random.Random(6)
+    atoms = [
+        "user=alice", "login: bob99", 'client_id="myapp0001xyzQ77aa"', "key_id=" + "Zz9" * 8, "https://db.example.com/a?b=1", "host: db.internal:5432", "postgres://u:p4ssw0rd99xyzABC12@h/db",
+        "password = hunter2222", "token:abc", "AKIA" + "Q7" * 8, "deadbeef" * 3, "wJ4lrXUtnFEMI7K9MDENGbPx", "aaaaaaaaaaaaaaaaaaaa", "aB3dE5gH7kL9mN1pQ==", "word", "日本語 \U0001f600", "=", "x" * 30, "\n", "\"", "12345678901234567890",
+    ]
+    linked = 0
+    for _ in range(400):
+        text = "".join(rng.choice(atoms) + rng.choice([" ", "", "  ", ", "]) for _ in range(rng.randrange(1, 14)))
+        for scope in (1, 10, 40, secrets.SCOPE):
+            got = secrets.spans(text, scope)
+            assert got == slow_spans(text, scope)
+            linked += sum(s[2] in secrets.KINDS[3:] for s in got)
+    assert linked > 500
 
 
 def test_scan_edges(edges, empty):

@@ -2,7 +2,8 @@
 
 Strong patterns stand on their own.  Weak parts (an identifier, an endpoint, an opaque value) are
 reported only where complementary parts fall into one scope: an interval join of each part's
-surroundings with the other kinds' places.  Parts of one document only ever meet parts of the same
+surroundings with the other kinds' places.  A part is no complement of what it overlaps, and an
+identifier's own content is no value.  Parts of one document only ever meet parts of the same
 document, so the join runs where the text was read, as a merge of sorted places, and needs no shuffle.
 """
 
@@ -25,7 +26,7 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 6, 20
 #: Weak parts. An opaque value must look random, see _opaque.
 IDENTIFIER = re.compile(r"""(?ai)\b(?:user(?:name)?|login|account|client_?id|access_?key_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{3,})""")
 ENDPOINT = re.compile(r"""(?ai)\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]+(?::[0-9]+)?)""")
-OPAQUE = re.compile(r"(?a)(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?a)[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Code points around a part within which its complements must lie.
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "identifier", "endpoint", "value")
@@ -54,38 +55,47 @@ def _opaque(s: str) -> bool:
     return digits >= 3 and letters >= 3 and len(set(s)) >= 8
 
 
-def _in_scope(places: np.ndarray, others: np.ndarray, scope: int) -> np.ndarray:
-    """For each [start, end) of ``places``, whether one of ``others`` (by start) lies within ``scope`` of it."""
-    if not len(others):
-        return np.zeros(len(places), bool)
+def _places(found: list[tuple[int, int]]) -> np.ndarray:
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def _overlaps(places: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each [start, end) of ``places``, whether one of ``others`` shares a code point with it."""
+    starts, ends = np.sort(others[:, 0]), np.sort(others[:, 1])
+    return np.searchsorted(starts, places[:, 1], "left") > np.searchsorted(ends, places[:, 0], "right")
+
+
+def _beside(places: np.ndarray, others: np.ndarray, scope: int) -> np.ndarray:
+    """For each [start, end) of ``places``, whether one of ``others`` lies before or behind it, fewer than ``scope`` code points away."""
     starts, ends = np.sort(others[:, 0]), np.sort(others[:, 1])
-    # as many starts before the far edge as ends before the near edge: nothing in between
-    return np.searchsorted(starts, places[:, 1] + scope, "left") - np.searchsorted(ends, places[:, 0] - scope, "right") > 0
+    before = np.searchsorted(ends, places[:, 0], "right") > np.searchsorted(ends, places[:, 0] - scope, "right")
+    behind = np.searchsorted(starts, places[:, 1] + scope, "left") > np.searchsorted(starts, places[:, 1], "left")
+    return before | behind
 
 
 def spans(text: str | None, scope: int = SCOPE) -> list[Span]:
     """All spans (start, end, kind) of a text: the base ones, and weak parts whose complements are in scope."""
     text = text or ""
     found = base_spans(text)
+    keyed = ":" in text or "=" in text
     weak = {
-        "identifier": [m.span() for m in IDENTIFIER.finditer(text)] if (":" in text or "=" in text) else [],
-        "endpoint": [m.span() for m in ENDPOINT.finditer(text)] if (":" in text or "=" in text) else [],
+        "identifier": [m.span() for m in IDENTIFIER.finditer(text)] if keyed else [],
+        "endpoint": [m.span() for m in ENDPOINT.finditer(text)] if keyed else [],
         "value": [],
     }
     if weak["identifier"] or found["access"]:
         weak["value"] = [m.span() for m in OPAQUE.finditer(text) if _opaque(m[0])]
     if any(weak.values()):
-        taken = np.array(sorted(x for v in found.values() for x in v), np.int64).reshape(-1, 2)
-        places = {k: np.array(v, np.int64).reshape(-1, 2) for k, v in (found | weak).items()}
-        for k in ("value", "endpoint", "identifier"):  # what a base span covers is reported as such already
-            p = places[k]
-            places[k] = p[~_in_scope(p, taken, 0)] if len(p) else p
+        places = {k: _places(v) for k, v in (found | weak).items()}
+        base = np.concatenate([places[k] for k in KINDS[:3]])
+        for k in ("identifier", "endpoint", "value"):  # what a base span covers is reported as such already
+            places[k] = places[k][~_overlaps(places[k], base)]
+        places["value"] = places["value"][~_overlaps(places["value"], places["identifier"])]
         for k, needs in NEEDS.items():
-            p = places[k]
-            ok = np.ones(len(p), bool)
+            ok = np.ones(len(places[k]), bool)
             for group in needs:
-                ok &= _in_scope(p, np.concatenate([places[g] for g in group]), scope)
-            found[k] = [tuple(x) for x in p[ok].tolist()]
+                ok &= _beside(places[k], np.concatenate([places[g] for g in group]), scope)
+            found[k] = [tuple(x) for x in places[k][ok].tolist()]
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(((a, b, k) for k, v in found.items() for a, b in v), key=lambda s: (s[0], order[s[2]]))
 
