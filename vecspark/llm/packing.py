@@ -9,6 +9,7 @@ smallest tier is ever padded, once per partition.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left
@@ -57,7 +58,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary)
-        self.model.encode_special_tokens = True
+        added = {a.content for a in self.model.get_added_tokens_decoder().values()}
+        # characters at which Python splits but the model does not, and tokens that words do not end
+        self.whole = re.compile("|".join(map(re.escape, ["\x1c", "\x1d", "\x1e", "\x1f", *sorted(added)])))
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
@@ -98,8 +101,7 @@ class WordTokenizer:
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, then the end id."""
-        # characters at which Python splits but the model does not
-        whole = {i: x for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f") for x in self._encode([t])}
+        whole = {i: x for i, t in enumerate(texts) if self.whole.search(t) for x in self._encode([t])}
         words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
         new = set().union(*words) - self.known.keys()
         if len(self.known) + len(new) > CACHE_WORDS:
