@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vecspark.llm import media, packing, scratch, warc
@@ -81,7 +82,6 @@ def check_pieces(rows, texts):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(packing.default_vocabulary())
-    model.encode_special_tokens = True
     want = Counter()
     for (i, t), n in texts.items():
         ids = np.array(model.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
@@ -125,6 +125,7 @@ def test_pieces_of_documents(spark, documents):
 
 
 def test_packing_edges(edges, empty):
+    edges = edges.select("doc_id", "text").union(edges.sparkSession.createDataFrame([(20, "<|endoftext|>"), (21, "one<|startoftext|>two <|endoftext|>")], "doc_id long, text string"))
     texts = Counter((r["doc_id"], r["text"]) for r in edges.collect())
     check_pieces(packing.pack_documents(edges).collect(), texts)
     check_pieces(packing.pack_documents(edges, batch_tokens=100).collect(), texts)
@@ -163,7 +164,7 @@ def test_step_groups_are_even():
 
 
 ODD = [
-    "a\x1fb c", "ΑΣ Σ, İstanbul don't we'll 'S x² ½ 12ab a1 —dash “q” étude É́ Å naïve!!!", "<|endoftext|> x<|endoftext|>y z q ​ 日本語、テスト",
+    "a\x1fb c", "ΑΣ Σ, İstanbul don't we'll 'S x² ½ 12ab a1 —dash “q” étude É́ Å naïve!!!", "<|endoftext|> x<|endoftext|>y z q ​ 日本語、テスト", "a<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endof text|> <|endoftext", "<|endoftext|>" * 3 + "Σ\x1f<|startoftext|>",
     "re're's 'll", "A" * 100 + " b " + "q" * 70 + "..", "ŉ ǅ ﬁ ß ẞ", "",
 ]
 
@@ -172,7 +173,6 @@ def test_words_are_encoded_as_in_their_text(documents):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(packing.default_vocabulary())
-    model.encode_special_tokens = True
     texts = ODD + [r["text"] for r in documents.limit(200).collect()]
     got = packing.WordTokenizer(packing.default_vocabulary()).batch(texts)
     assert [g.tolist() for g in got] == [model.encode(t, add_special_tokens=False).ids + [2] for t in texts]
@@ -189,60 +189,122 @@ def test_memory_of_words_is_bounded(monkeypatch):
 # ---- images
 
 
+def image_table(ids, images):
+    rows = [(i, *x.shape, media.describe(x[None])[0].tobytes()) for i, x in zip(ids, images)]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["id", "height", "width", "corners"])
+
+
+def unit_vectors(rng, n):
+    x = rng.standard_normal((n, 64))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_edited_copies_are_found_and_others_are_not(spark):
-    rng = np.random.default_rng(7)
-    x = rng.standard_normal((300, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit_vectors(np.random.default_rng(7), 300)
     x[201] = x[200]  # equal images
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(float))], "vec_id long, embedding array<double>")
-    got = {r["query_id"]: r for r in media.find_copies(df, every=10).collect()}
-    assert set(got) == set(range(0, 300, 10))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["query_id"]: r for r in media.find_copies(df, every=4).collect()}
+    assert set(got) == set(range(0, 300, 4))
     hit = np.mean([any(m["match_id"] == r["class_id"] for m in r["links"]) for r in got.values()])
     wrong = sum(m["match_id"] != r["class_id"] for r in got.values() for m in r["links"])
-    assert hit >= 0.9 and wrong <= 2
+    assert hit >= 0.95 and wrong <= 5
     classes = dict(media.classes(df).collect())
     assert classes[201] == 200 and classes[5] == 5
 
 
-def test_descriptors_turn_with_the_image():
-    rng = np.random.default_rng(8)
-    image = media.render(rng.standard_normal((1, 64)) / 8)[0]
-    a, b = (media.describe(np.rot90(image, k)[None]) for k in (0, 1))
-    near = np.bitwise_count(a[5][:, None, :] ^ b[5][None, :, :]).sum(2).min(1)
-    assert np.mean(near <= media.MAX_BITS) > 0.6
-    flat = media.describe(np.full((1, 96, 96), 7, np.uint8))
-    assert len(flat[0]) == 0
-    assert len(media.describe(np.zeros((1, 10, 10)))[0]) == 0
+RNG = np.random.default_rng(3)
+STRONG = {
+    "noise": lambda x: x + RNG.normal(0, 8, x.shape), "5 degrees": lambda x: media.turned(x, 5), "10 degrees": lambda x: media.turned(x, 10), "20 degrees": lambda x: media.turned(x, 20),
+    "30 degrees": lambda x: media.turned(x, 30), "0.7": lambda x: media.turned(x, 0, 0.7), "0.8": lambda x: media.turned(x, 0, 0.8), "1.2": lambda x: media.turned(x, 0, 1.2),
+    "1.4": lambda x: media.turned(x, 0, 1.4), "coarse": lambda x: media.coarsened(x, 8), "crop": lambda x: media.cropped(x, 0.7, 777), "mirrored contrast": lambda x: x * 0.5 + 90,
+}
+
+
+@pytest.mark.parametrize("edit", STRONG)
+def test_recall_under_an_edit(edit):
+    images = media.render(unit_vectors(np.random.default_rng(21), 40))
+    base = media.Images(image_table(range(40), images))
+    ask = media.Images(image_table(range(40), [np.clip(np.rint(STRONG[edit](x)), 0, 255).astype(np.uint8) for x in images]))
+    found = {(int(i), int(j)) for rows in media.linked(ask, base, media.Tables(base.bits)) for i, j in zip(*rows[:2])}
+    assert sum((i, i) in found for i in range(40)) >= 36 and sum(i != j for i, j in found) <= 4
 
 
-def spread_flips(rng, bits, n):
-    """Copies of descriptors with ``n`` bits changed, evenly spread."""
-    flips = np.zeros((len(bits), 256), np.uint8)
-    for row in flips:
-        row[(np.arange(n) * 256 // n + rng.integers(256)) % 256] = 1
-    return bits ^ np.packbits(flips, axis=1, bitorder="little").view("<u8")
+def test_links_against_all_pairs_of_descriptors():
+    rng = np.random.default_rng(22)
+    x = unit_vectors(rng, 250)
+    x[150:] = x[:100] + rng.normal(0, 0.02, (100, 64))  # near copies
+    images = media.render(x)
+    base = media.Images(image_table(range(250), images))
+    ask = media.Images(image_table(range(0, 250, 3), [media.edited(images[i], i) for i in range(0, 250, 3)]))
+    bits = np.bitwise_count(ask.bits[:, None] ^ base.bits[None]).sum(2)
 
+    def votes(most):
+        return {(int(ask.id[u]), int(v)): int(n) for u, v, n in zip(*media._votes(ask, base, *np.nonzero(bits <= most)))}
 
-def test_match_meets_all_pairs_within_the_stated_bits(spark):
+    seeds, size = votes(media.SEED_BITS), dict(zip(ask.id.tolist(), (ask.end - ask.start).tolist()))
+    want = {k: n for k, n in votes(media.MAX_BITS).items() if n >= max(media.MIN_MATCHES, media.MIN_SHARE * size[k[0]]) and seeds.get(k, 0) >= media.SEEDS}
+    tables = media.Tables(base.bits)
+    exact, quick = ({(int(u), int(v)): int(n) for rows in media.linked(ask, base, tables, radius=r) for u, v, n in zip(*rows)} for r in (1, 0))
+    assert exact == want and len(want) > 100
+    assert set(quick.items()) <= set(want.items()) and len(quick) >= 0.98 * len(want)
+
+
+def test_tables_meet_all_pairs_within_the_stated_bits():
     rng = np.random.default_rng(11)
     base = rng.integers(0, 1 << 64, (400, 4), dtype=np.uint64)
-    base[200:300] = spread_flips(rng, base[:100], 30)  # near each other too
-    ask = np.concatenate([spread_flips(rng, base[i * 50 : i * 50 + 50], n) for i, n in enumerate((1, 3, 8, 16, 24, 32, 33))])
-    bits = np.bitwise_count(ask[:, None] ^ base[None]).sum(2)
 
-    def table(x):
-        rows = [(i // 10, i % 10, float(i % 10 * 7), float(i % 10 * 5), 0.0, *(int(w) for w in d.view(np.int64))) for i, d in enumerate(x)]
-        return spark.createDataFrame(rows, media.CORNER)
+    def flipped(bits, n):
+        flips = np.zeros((len(bits), 256), np.uint8)
+        for row in flips:
+            row[(np.arange(n) * 256 // max(n, 1) + rng.integers(256)) % 256] = 1  # evenly spread
+        return bits ^ np.packbits(flips, axis=1, bitorder="little").view("<u8")
 
-    got = {(r["query_id"], r["match_id"]): r["matches"] for r in media.match(table(ask), table(base), min_matches=1).collect()}
-    want = {(i // 10, j // 10) for i, j in np.argwhere(bits <= media.MAX_BITS)}
-    assert set(got) == want
-    assert all(got[i, i] == 10 for i in range(30)) and all((i, i) not in got for i in range(30, 35))
-    for most in (0, 7, 32, 40):
-        pairs = [p for i, j in media.near_pairs(ask, base, most) for p in zip(i.tolist(), j.tolist())]
+    base[200:300] = flipped(base[:100], 30)  # near each other too
+    ask = np.concatenate([flipped(base[k * 40 : k * 40 + 40], n) for k, n in enumerate((0, 1, 8, 15, 16, 24, 31, 32))])
+    bits = np.bitwise_count(ask[:, None] ^ base[None]).sum(2)
+    tables = media.Tables(base)
+    for radius, most in ((0, 15), (1, 31), (1, 20), (0, 0)):
+        pairs = [p for i, j in tables.near(ask, most, radius) for p in zip(i.tolist(), j.tolist())]
         assert len(pairs) == len(set(pairs)) and set(pairs) == set(map(tuple, np.argwhere(bits <= most).tolist()))
 
 
+def test_pairs_in_pieces_give_the_same(monkeypatch):
+    images = media.render(unit_vectors(np.random.default_rng(23), 40))
+    base = media.Images(image_table(range(40), images))
+    whole = sorted(p for i, j in media.Tables(base.bits).near(base.bits, radius=1) for p in zip(i.tolist(), j.tolist()))
+    monkeypatch.setattr(media, "PAIRS_AT_ONCE", 97)
+    assert sorted(p for i, j in media.Tables(base.bits).near(base.bits, radius=1) for p in zip(i.tolist(), j.tolist())) == whole
+
+
+def test_query_blocks_and_base_blocks_give_the_same(spark, monkeypatch):
+    x = unit_vectors(np.random.default_rng(24), 120)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    table = media.corners(df.selectExpr("vec_id as id", "embedding as media"))
+    whole = set(map(tuple, media.match(table, table).collect()))
+    monkeypatch.setattr(media, "QUERY_BLOCK", 2000)
+    assert set(map(tuple, media.match(table, table).collect())) == whole and {(i, i) for i in range(120)} <= {p[:2] for p in whole}
+
+
+def test_strips_of_large_images_give_the_same(monkeypatch):
+    rng = np.random.default_rng(25)
+    image = np.kron(media.render(unit_vectors(rng, 1))[0], np.ones((2, 3)))[:, :200] + rng.integers(0, 9, (192, 200))
+    whole = media.describe(image[None])[0]
+    monkeypatch.setattr(media, "STRIP", 37)
+    pieces = media.describe(image[None])[0]
+    assert len(whole) > 100 and np.array_equal(np.sort(whole, order=["level", "y", "x"]), np.sort(pieces, order=["level", "y", "x"]))
+
+
+def test_descriptors_turn_with_the_image():
+    rng = np.random.default_rng(8)
+    image = media.render(rng.standard_normal((1, 64)) / 8)[0]
+    a, b = (media.describe(np.rot90(image, k)[None])[0]["bits"] for k in (0, 1))
+    assert np.mean(np.bitwise_count(a[:, None] ^ b[None]).sum(2).min(1) <= media.MAX_BITS) > 0.6
+    assert len(media.describe(np.full((1, 96, 96), 7, np.uint8))[0]) == 0
+    assert len(media.describe(np.zeros((1, 10, 10)))[0]) == 0
+    wide = media.describe(np.stack([np.kron(image, np.ones((1, 3)))] * 2))
+    assert len(wide) == 2 and np.array_equal(*wide) and wide[0]["x"].max() > 96
+
+
 def test_media_edges(spark):
     v = np.random.default_rng(9).standard_normal(64).tolist()
     rows = [(0, v, 1), (0, v, 1), (50, v, 1), (None, v, 1), (100, None, 1), (150, [1.0], 1), (200, [0.0] * 64, 1), (250, [float("nan")] * 64, 1), (300, [None] * 64, 1)]
