@@ -9,6 +9,7 @@ smallest tier is ever padded, once per partition.
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 import zlib
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 TIERS = (512, 1024, 2048, 4096)
 #: Marks that may stand behind a plain word.
 MARKS = '.,;:!?#$%&*()[]"'
+PLAIN = re.compile(rf"(?m)^(([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*))$")
 #: The id that ends each document.
 END_ID = 2
 #: Tokens that are routed and packed together; bounds a task's memory.
@@ -55,17 +57,19 @@ class WordTokenizer:
     """
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(vocabulary)
-        added = {a.content for a in self.model.get_added_tokens_decoder().values()}
+        # for letters in lower case the steps before the model come to this
+        self.bare = Tokenizer(self.model.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         # characters at which Python splits but the model does not, and tokens that words do not end
-        self.whole = re.compile("|".join(map(re.escape, ["\x1c", "\x1d", "\x1e", "\x1f", *sorted(added)])))
+        self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *sorted(a.content for a in self.model.get_added_tokens_decoder().values())]
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,35 +85,46 @@ class WordTokenizer:
             return None
         return low, word[len(stem) :]
 
-    def _learn(self, words: list[str]) -> None:
-        parts = {w: self.plain(w) for w in words}
-        new = list({p[0] for p in parts.values() if p and p[0] not in self.stems})
+    def _learn(self, words: set[str]) -> None:
+        # plain words in letters of Western languages are told by one search over all words, others one by one
+        parts = [(w, stem.lower(), tail) for w, stem, tail in PLAIN.findall("\n".join(words))]
+        odd = []
+        for w in words.difference([p[0] for p in parts]):
+            if (p := self.plain(w)) is not None:
+                parts.append((w, *p))
+            else:
+                odd.append(w)
+        new = list({p[1] for p in parts}.difference(self.stems))
         for k in range(0, len(new), 10_000):
             some = new[k : k + 10_000]
-            ids = self._encode([" ".join(some)])[0]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
                 blob, at = ids.tobytes(), (cuts * 4).tolist()
-                self.stems.update((w, blob[i:j]) for w, i, j in zip(some, [0, *at], at))
+                self.stems.update({w: blob[i:j] for w, i, j in zip(some, [0, *at], at)})
             else:
-                self.stems.update((w, x.tobytes()) for w, x in zip(some, self._encode(some)))
-        for tail in {p[1] for p in parts.values() if p and p[1] and p[1] not in self.tails}:
+                self.stems.update((w, x.tobytes()) for w, x in zip(some, self._encode(some)))  # not met so far
+        for tail in {p[2] for p in parts}.difference(self.tails):
             self.tails[tail] = self._encode([tail])[0].tobytes()
-        odd = [w for w, p in parts.items() if p is None]
+        stems, tails = self.stems, self.tails
+        self.known.update({w: stems[stem] + tails[tail] for w, stem, tail in parts})
         self.known.update((w, x.tobytes()) for w, x in zip(odd, self._encode(odd) if odd else ()))
-        self.known.update((w, self.stems[p[0]] + self.tails.get(p[1], b"")) for w, p in parts.items() if p)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, then the end id."""
-        whole = {i: x for i, t in enumerate(texts) if self.whole.search(t) for x in self._encode([t])}
+        whole = {i: x for i, t in enumerate(texts) if any(c in t for c in self.odd) for x in self._encode([t])}
         words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        new = set().union(*words) - self.known.keys()
+        seen = set().union(*words)
+        new = seen.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear(), self.stems.clear(), self.tails.clear()
-            new = set().union(*words)
-        self._learn(list(new))
-        get, end = self.known.__getitem__, END_ID.to_bytes(4, "little")
-        out = [np.frombuffer((whole[i].tobytes() if i in whole else b"".join(map(get, w))) + end, "<u4") for i, w in enumerate(words)]
+            self.known.clear(), self.stems.clear()
+            self.tails, new = {"": b""}, seen
+        self._learn(new)
+        self.known[""] = END_ID.to_bytes(4, "little")  # stands behind the words of each text
+        get = self.known.__getitem__
+        for w in words:
+            w.append("")
+        out = [np.frombuffer(whole[i].tobytes() + get("") if i in whole else b"".join(map(get, w)), "<u4") for i, w in enumerate(words)]
         for w in new:
             if len(w) > CACHE_LENGTH:
                 del self.known[w]
@@ -246,18 +261,22 @@ def _packer(vocabulary: str, id_col: str, text_col: str, tiers: tuple[int, ...],
                 types = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols.values(), types)], names=list(cols))
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(k, TOGETHER)
-                for doc, x in zip(part.column(0).to_pylist(), words.batch([t or "" for t in part.column(1).to_pylist()])):
-                    ids.append(x)
-                    docs.append(doc)
-                    starts.append(0)
-                    totals.append(len(x))
-                    held += len(x)
-                    if held >= batch_tokens:
-                        yield from flush(False)
-        yield from flush(True)
+        gc.disable()  # words are many small objects and none of them refer in a circle
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, TOGETHER):
+                    part = batch.slice(k, TOGETHER)
+                    for doc, x in zip(part.column(0).to_pylist(), words.batch([t or "" for t in part.column(1).to_pylist()])):
+                        ids.append(x)
+                        docs.append(doc)
+                        starts.append(0)
+                        totals.append(len(x))
+                        held += len(x)
+                        if held >= batch_tokens:
+                            yield from flush(False)
+            yield from flush(True)
+        finally:
+            gc.enable()
 
     return run
 
