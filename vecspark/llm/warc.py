@@ -143,16 +143,20 @@ def _writer(folder: str, archive_bytes: int):
 def with_revisits(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, digest, refers_to, revisit): equal payloads of some length refer to the one of smallest id.
 
-    Only digests that occur more than once meet the pages in the join; a digest of very many pages is
-    split by the adaptive join.
+    Pages do not move: digests that occur more than once, as two numbers and the first id, are looked up,
+    and only where they are too many to be broadcast are pages and digests merged.
     """
+    def half(k: int):
+        return F.conv(F.substring("digest", 1 + 16 * k, 15), 16, 10).cast("long")  # 120 of the 256 bits in all
+
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"), F.sha2(html, 256).alias("digest"))
-    large = F.octet_length(F.coalesce("html", F.lit(""))) >= REVISIT_BYTES
-    first = rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").select(F.col("digest").alias("_digest"), "first")
+    large = F.octet_length(html) >= REVISIT_BYTES
+    first = rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
+    first = scratch.lookup(scratch.write(first.select(half(0).alias("_d0"), half(1).alias("_d1"), "first"), "repeated-payloads"))
     revisit = F.col("first").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(first, rows["digest"] == first["_digest"], "left").select(
-        "page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
+    joined = rows.withColumn("_h0", half(0)).withColumn("_h1", half(1)).join(first, (F.col("_h0") == F.col("_d0")) & (F.col("_h1") == F.col("_d1")), "left")
+    return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
