@@ -3,11 +3,13 @@
 Each labeller votes good, bad or abstains.  Rows are counted by vote pattern, at most three to the
 power of the number of labellers whatever the input, and EM over the counts estimates how often each
 labeller says what of good and bad texts.  The posterior labels of a bounded sample train a logistic
-scorer over hashed word shapes, which then scores every text.
+scorer over hashed word shapes, which then scores every text.  Texts are read once: votes and features,
+some twenty numbers a text, are written, and fitting and scoring read those.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -15,7 +17,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm import scratch
@@ -161,7 +163,7 @@ def _shape(word: str) -> str:
 
 
 class Hasher:
-    """Hashed counts of word shapes, neighbouring shapes and text-level marks, scaled to unit length."""
+    """Hashed counts of word shapes and text-level marks, scaled to unit length."""
 
     def __init__(self, size: int = FEATURES):
         self.size = size
@@ -212,84 +214,71 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], size: int = FEATURES
     return w
 
 
-def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
+#: What is kept of each text: votes, features, and whether it has a word at all.
+FEATURE_COLUMNS = "_votes string, _ids array<int>, _x array<double>, _blank boolean"
 
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([votes(t.as_py()) for t in b.column(1)], pa.string())], names=["doc_id", "votes"])
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    h = Hasher()
-    for b in batches:
-        rows = [h(t.as_py()) for t in b.column(0)]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float64())), b.column(1)], names=["ids", "x", "votes"])
-
-
-def _scorer(shared):
+def _features(text_at: int, keep: list[int]):
+    """Columns ``keep`` of a batch and the features of the text in column ``text_at``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, posterior = shared.value
         h = Hasher()
         for b in batches:
             rows = []
-            for t in b.column(1):
+            for t in b.column(text_at):
                 seen = Text(t.as_py())
-                v = votes(seen)
-                ids, x = h(seen)
-                s = 1 / (1 + float(np.exp(-np.clip(x @ w[ids] + w[-1], -50, 50)))) if seen.n else 0.0
-                rows.append((v, posterior.get(v, 0.5), s))
-            cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=["doc_id", "votes", "posterior", "score"])
+                rows.append((votes(seen), *h(seen), seen.n == 0))
+            v, ids, x, blank = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([
+                *(b.column(i) for i in keep), pa.array(v, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64())), pa.array(blank, pa.bool_())],
+                names=[*(b.schema.names[i] for i in keep), "_votes", "_ids", "_x", "_blank"])
 
     return run
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, dict[str, float]]:
-    """The scorer's weights and the posterior of each vote pattern."""
-    texts = _text(docs, id_col, text_col)
-    voted = scratch.write(texts.mapInArrow(_vote, "doc_id long, votes string"), "votes")
-    counts = {r["votes"]: r["count"] for r in voted.groupBy("votes").count().collect()}  # at most 3 ** len(LABELLERS) rows
+def fit(seen: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, dict[str, float]]:
+    """The scorer's weights and the posterior of each vote pattern, from written features (_id, FEATURE_COLUMNS)."""
+    counts = {r["_votes"]: r["count"] for r in seen.groupBy("_votes").count().collect()}  # at most 3 ** len(LABELLERS) rows
     _, _, posterior = estimate(counts)
-    chosen = voted.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", "votes")
-    # at most sample_rows ids and patterns of a few bytes: a bounded broadcast
-    got = texts.join(F.broadcast(chosen), "doc_id").select("text", "votes").mapInArrow(_features, "ids array<int>, x array<double>, votes string").collect()
-    rows = sorted(((tuple(r["ids"]), tuple(r["x"]), posterior[r["votes"]]) for r in got if r["ids"]))
-    return train([(np.array(i), np.array(x), y) for i, x, y in rows]), posterior
+    chosen = seen.filter("_id is not null").select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).distinct()
+    # at most sample_rows ids: a bounded broadcast, and as many rows
+    got = seen.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min(F.struct("_ids", "_x", "_votes")).alias("f")).select("f.*").collect()
+    rows = sorted((tuple(r["_ids"]), tuple(r["_x"]), posterior[r["_votes"]]) for r in got)
+    return train([(np.array(i, np.int64), np.array(x), y) for i, x, y in rows]), posterior
+
+
+def _score(w: np.ndarray) -> Column:
+    """The scorer's verdict on the columns _ids and _x, 0 for texts without a word."""
+    weights = F.from_json(F.lit(json.dumps(w[:-1].tolist())), "array<double>")  # a constant
+    z = F.aggregate(F.zip_with("_ids", "_x", lambda i, x: x * F.element_at(weights, i + 1)), F.lit(float(w[-1])), lambda s, x: s + x)
+    return F.when(F.col("_blank"), 0.0).otherwise(1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(50.0)), F.lit(-50.0)))))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, keep: float = KEEP) -> DataFrame:
     """doc_id, votes, posterior (of good, from the votes alone), score (of the scorer) and kept (score >= ``keep``) of each row.
 
-    Null, empty and blank texts score 0.  Repeated rows and null ids are kept as rows; an empty table
-    gives an empty result; only the two named columns are read.
+    Null, empty and blank texts score 0.  Repeated rows and null ids are kept as rows, ids that are null
+    train nothing; an empty table gives an empty result; only the two named columns are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, sample_rows))
-    rows = _text(docs, id_col, text_col).mapInArrow(_scorer(shared), "doc_id long, votes string, posterior double, score double")
-    return rows.withColumn("kept", F.col("score") >= keep)
-
-
-def _filter(shared, at: int, keep: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, _ = shared.value
-        h = Hasher()
-        for b in batches:
-            good = []
-            for t in b.column(at):
-                seen = Text(t.as_py())
-                ids, x = h(seen)
-                good.append(seen.n > 0 and 1 / (1 + float(np.exp(-np.clip(x @ w[ids] + w[-1], -50, 50)))) >= keep)
-            yield b.filter(pa.array(good, pa.bool_()))
-
-    return run
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) as _id", f"`{text_col}` as _text")
+    seen = scratch.write(rows.mapInArrow(_features(1, [0]), f"_id long, {FEATURE_COLUMNS}"), "features")
+    w, posterior = fit(seen, sample_rows)
+    by_votes = F.create_map(*(F.lit(v) for kv in sorted(posterior.items()) for v in kv)) if posterior else F.lit(None).cast("map<string,double>")
+    out = seen.select(F.col("_id").alias("doc_id"), F.col("_votes").alias("votes"), by_votes[F.col("_votes")].alias("posterior"), _score(w).alias("score"))
+    return out.withColumn("kept", F.col("score") >= keep)
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all their columns, in one pass after fitting."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, sample_rows))
-    return docs.mapInArrow(_filter(shared, docs.columns.index(text_col), keep), docs.schema)
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns.
+
+    Rows are written once with their features, so that a verdict is found beside its row and no text moves.
+    Columns of ``docs`` may have any names.
+    """
+    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    columns, at = named.columns, docs.columns.index(text_col)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
+    seen = scratch.write(named.mapInArrow(_features(at, list(range(len(columns)))), f"{kinds}, {FEATURE_COLUMNS}"), "documents-with-features")
+    w, _ = fit(seen.select(F.col(columns[docs.columns.index(id_col)]).cast("long").alias("_id"), "_votes", "_ids", "_x"), sample_rows)
+    return seen.filter(_score(w) >= keep).select(*columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
