@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = scratch.write(small.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, scratch.write(small.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        scratch.drop(last)
         after = _state(e)
         if after == before:
             break

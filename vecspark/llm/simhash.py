@@ -2,8 +2,8 @@
 
 Distinct fingerprints form a trie.  Its upper part, down to nodes of at most ``leaf_rows``
 fingerprints, is a table; a frontier of node pairs is taken down level by level, adding up the bits
-in which two nodes differ and dropping a pair once they exceed the budget.  The surviving pairs of
-leaves are tasks in which the same traversal goes on to single fingerprints.  A task reports a
+in which two nodes differ and dropping a pair once they exceed the budget.  A leaf meets the leaves it
+survived with in one task, where the same traversal goes on to single fingerprints.  A task reports a
 spanning forest of its links, never all pairs, so large groups stay linear.
 """
 
@@ -148,13 +148,19 @@ def _pack_leaf(key, table):
 
 
 def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (a, b, blob) sorted by a, then b: a leaf's own blob (b null), then those of the leaves it meets.  Holds one leaf."""
     def unpack(blob):
         x = np.frombuffer(blob.as_buffer(), np.uint64)
         return x[: len(x) // 2], x[len(x) // 2 :].view(np.int64)
 
+    own = ()
     for batch in batches:
-        for p, q, x, y in zip(*(batch.column(i) for i in range(4))):
-            u, v = forest(*unpack(x)) if p.as_py() == q.as_py() else forest(*unpack(x), *unpack(y))
+        for b, blob in zip(batch.column(1), batch.column(2)):
+            if b.is_valid:
+                u, v = forest(*own, *unpack(blob))
+            else:
+                own = tuple(x.copy() for x in unpack(blob))
+                u, v = forest(*own)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
@@ -205,7 +211,9 @@ def node_pairs(spark: SparkSession, edges: DataFrame, levels: int, max_bits: int
             F.coalesce("a_child", "a").alias("x"), F.coalesce("b_child", "b").alias("y"), (F.col("a") == F.col("b")).alias("own"),
             (F.col("diff") + F.coalesce(F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))), F.lit(0))).cast("int").alias("diff"))
         nxt = nxt.filter((F.col("diff") <= max_bits) & (~F.col("own") | (F.col("x") <= F.col("y")))).select(F.col("x").alias("a"), F.col("y").alias("b"), "diff")
-        pairs = scratch.write(nxt, "node-pairs")
+        last, pairs = pairs, scratch.write(nxt, "node-pairs")
+        if hasattr(last, "_scratch_path"):
+            scratch.drop(last)
     return pairs
 
 
@@ -213,11 +221,11 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int = LEAF_ROW
     """Edges (u, v) over the ids ``rep`` of distinct fingerprints ``fp`` that span every class of linked ones."""
     edges, members, levels = upper_trie(points, leaf_rows)
     blobs = scratch.write(members.groupBy("node").applyInArrow(_pack_leaf, "node long, blob binary"), "leaves")
-    pairs = node_pairs(points.sparkSession, edges, levels, max_bits).select("a", "b")
-    tasks = pairs.join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("x")), "a").join(
-        blobs.select(F.col("node").alias("b"), F.col("blob").alias("y")), "b").select("a", "b", "x", "y")
+    pairs = node_pairs(points.sparkSession, edges, levels, max_bits).select("a", "b").filter("a <> b")
+    met = pairs.join(blobs.select(F.col("node").alias("b"), "blob"), "b").select("a", "b", "blob")
+    own = blobs.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "blob")
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tasks.repartition(n, "a", "b").mapInArrow(_traverse, "u long, v long")
+    return own.union(met).repartition(n, "a").sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(_traverse, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
