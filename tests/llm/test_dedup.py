@@ -54,6 +54,21 @@ def test_index_survives_reopening_and_later_batches_lose(spark):
     assert again.read().count() == 3
 
 
+def test_a_compacted_index_has_one_file_a_bucket(spark):
+    path = scratch.new_path(spark, "i")
+    index = exact_dedup.DigestIndex(spark, path, buckets=3)
+    for k in range(4):
+        exact_dedup.deduplicate(frame(spark, [f"text {k} {i}" for i in range(40)], 100 * k), index)
+    before = sorted(map(tuple, index.read().collect()))
+    assert len(index.read().inputFiles()) > 3
+    index.compact()
+    assert len(index.read().inputFiles()) <= 3 and sorted(map(tuple, index.read().collect())) == before
+    again = {r["doc_id"]: r["kept"] for r in exact_dedup.deduplicate(frame(spark, ["text 2 7", "new"], 900), index).collect()}
+    assert again == {900: False, 901: True}
+    index.close()
+    assert exact_dedup.DigestIndex(spark, path).read().count() == 161
+
+
 def test_index_side_of_the_join_is_not_shuffled(spark):
     index = exact_dedup.DigestIndex(spark, scratch.new_path(spark, "i"), buckets=4)
     groups = exact_dedup.winners(exact_dedup.digests(frame(spark, ["a"])))

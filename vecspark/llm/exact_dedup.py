@@ -1,13 +1,15 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a parquet table bucketed and sorted by digest.  A batch is reduced to one row per
-digest, compared with the index by a sort-merge anti-join in which the index side is neither
-shuffled nor sorted, and what is new is appended bucket by bucket.  Everything is DataFrame code.
+The index is a parquet table bucketed by digest, each file sorted.  A batch is reduced to one row per
+digest, compared with the index by a sort-merge anti-join for which the index is not shuffled, and what is
+new is appended, a file a bucket.  Spark does not rely on the order of files and sorts a bucket's rows once
+more for the join; ``compact`` keeps buckets from having many files.  Everything is DataFrame code.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,8 +77,7 @@ class DigestIndex:
 
     def _stored_buckets(self) -> int | None:
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/meta/_SUCCESS")
-        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        if not scratch.filesystem(self.spark, self.path).exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/meta/_SUCCESS")):
             return None
         return self.spark.read.parquet(f"{self.path}/meta").first()["buckets"]
 
@@ -93,6 +94,24 @@ class DigestIndex:
         new.repartition(self.buckets, "digest").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
+    def compact(self) -> None:
+        """Rewrites each bucket's files as one, beside the old ones, which go when the new ones are whole."""
+        beside = DigestIndex(self.spark, f"{self.path}.{uuid.uuid4().hex[:8]}", self.buckets)
+        self.read().repartition(self.buckets, "digest").write.insertInto(beside.table)
+        beside.close()
+        fs = scratch.filesystem(self.spark, self.path)
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        scratch.remove(self.spark, f"{self.path}/old")
+        fs.rename(at(f"{self.path}/data"), at(f"{self.path}/old"))
+        fs.rename(at(f"{beside.path}/data"), at(f"{self.path}/data"))
+        scratch.remove(self.spark, f"{self.path}/old")
+        scratch.remove(self.spark, beside.path)
+        self.spark.catalog.refreshTable(self.table)
+
+    def close(self) -> None:
+        """Takes the index out of the session's catalogue; the files stay, and opening it again finds them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Decides each row of a batch against the index and the batch itself, and appends what is new.
@@ -138,7 +157,9 @@ def survivors(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, scratch.new_path(spark, "digest-index"))
-    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), index)
+    out = deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), index)
+    index.close()
+    return out
 
 
 ORACLE = r"""
