@@ -12,27 +12,50 @@ from vecspark.llm import exact_dedup, mixing, packing, quality, scratch, simhash
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality scorer rejects go."""
+    """Documents that the quality scorer rejects go.
+
+    Null, empty and blank texts go too; rows that repeat an id, or have none, are judged one by one.  An
+    empty table stays empty.
+    """
     return quality.survivors(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space one stays."""
-    return exact_dedup.survivors(docs, exact_dedup.DigestIndex(spark, scratch.new_path(spark, "digest-index")))
+    """Of documents equal but for white space one stays: the longest, then that of the smallest id.
+
+    Null texts are empty ones, and empty ones are equal; a null id counts as the largest; rows that repeat
+    id and text stand or fall together.  An empty table stays empty.
+    """
+    index = exact_dedup.DigestIndex(spark, scratch.new_path(spark, "digest-index"))
+    kept = exact_dedup.survivors(docs, index)
+    index.close()
+    return kept
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints the one of smallest id stays."""
+    """Of documents linked by their fingerprints the one of smallest id stays.
+
+    Texts without a word link to each other; rows without an id stay, and rows that share one stay or go
+    together.  An empty table stays empty.
+    """
     return simhash.survivors(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are dropped or repeated so that languages get their target shares of words."""
+    """Documents are dropped or repeated so that languages get their target shares of words.
+
+    Languages without a row get no share, rows of unknown language the rate of their words' languages; rows
+    without an id draw as id 0, and rows that share one draw alike.  An empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are tokenised and packed into windows."""
+    """Documents are tokenised and packed into windows: a row a piece.
+
+    A null or empty text is its end token alone; rows that repeat an id are documents of their own, and a
+    null id stays null.  An empty table gives no pieces.
+    """
     return packing.pack_documents(docs)
 
 
