@@ -10,6 +10,8 @@ SQL = oracles()
 NAMES = [
     "scan_split", "row_normalize", "dim_means", "exact_topk_l2", "int8_topk", "lsh_codes_16", "binary_recall_curve", "pca_topk_full", "ivf_rerank",
     "recall_quantiles", "chunked_ivf", "kcenter_l2", "kcenter_majority", "two_layer_or", "two_layer_neighbors", "local_l2_and", "knn_graph",
+    "fp16_topk", "variant_matrix", "vector_functions", "wide_hamming_topk", "ivf_recall_curve_binary", "chunked_ivf_search", "kcenter_many_passes",
+    "two_layer_diversified", "kmeans_tree_levels", "kmeans_tree_search", "tree_stats", "graph_search_shards", "csv_results", "union_and_intersection",
 ]
 
 

@@ -72,8 +72,10 @@ def test_kmeans_converges_and_keeps_empty_clusters(spark):
     x = np.vstack([RNG.normal(c, 0.1, (30, 2)) for c in (0, 5, 10)])
     df = vector_frame(spark, x)
     for init in ("k-means++", "random"):
-        c, inertia = clustering.kmeans(df, 3, init=init, reseed=True, max_iter=30)
-        assert inertia == pytest.approx(clustering.inertia(df, c), rel=0.5) and c.shape == (3, 2)
+        c, inertia = clustering.kmeans(df, 3, init=init, reseed=True, max_iter=30, tol=0.0)
+        label, d = clustering.nearest(x, c)
+        assert c.shape == (3, 2) and clustering.inertia(df, c) == pytest.approx(d.sum()) and inertia == pytest.approx(d.sum())
+        assert all(np.allclose(c[j], x[label == j].mean(0)) for j in range(3))  # nothing is left to move
     c, _ = clustering.kmeans(df, 3, init="k-means++")
     assert sorted(np.round(c[:, 0]).tolist()) == [0, 5, 10]
     same = vector_frame(spark, np.ones((6, 2)))
@@ -99,17 +101,50 @@ def test_greedy_centers_repeat_the_first_when_points_run_out():
 def test_kcenter_radius_never_grows(spark):
     c = kernels.pack_bits(RNG.standard_normal((50, 64)) >= 0)
     df = code_frame(spark, c).repartition(5)
-    radius = [clustering.kcenter_assign(df, k).agg(F.max("distance")).first()[0] for k in (1, 4, 16, 60)]
+    radius = [clustering.kcenter(df, k).assign(df).agg(F.max("distance")).first()[0] for k in (1, 4, 16, 60)]
     assert radius == sorted(radius, reverse=True) and radius[-1] == 0
 
 
-def test_kcenter_shards_are_independent(spark):
-    c = kernels.pack_bits(RNG.standard_normal((40, 64)) >= 0)
-    got = clustering.kcenter(code_frame(spark, c), 3, shard_rows=20).collect()
-    assert sorted(r["center_id"] for r in got) == list(range(6))
-    assert all((r["vec_id"] < 20) == (r["center_id"] < 3) for r in got)
-    post = clustering.kcenter_assign(code_frame(spark, c), 3, top=9, shard_rows=20)
-    assert post.count() == 40 * 3
+@pytest.mark.parametrize("bits", [4, 64, 130])  # many ties, few, two and a half words
+def test_kcenter_in_passes_is_the_greedy_choice(spark, bits):
+    x = RNG.standard_normal((90, bits)) >= 0
+    c = kernels.pack_bits(x)
+    ids = RNG.permutation(500)[:90]
+    order = np.argsort(ids)
+    want = kernels.greedy_centers(lambda i: kernels.hamming(c[order][i : i + 1], c[order])[0], 90, 24)
+    for most in (1, 7, 40, 1000):
+        got = clustering.kcenter(code_frame(spark, c, ids).repartition(4), 24, pass_points=most)
+        assert got.ids.tolist() == ids[order][want].tolist() and np.array_equal(got.points, c[order][want])
+    v = np.round(RNG.standard_normal((60, 3)), 1)
+    want = kernels.greedy_centers(lambda i: np.round(kernels.squared_l2(v[i : i + 1], v)[0], 9), 60, 12, 5)
+    assert clustering.kcenter(vector_frame(spark, v).repartition(3), 12, "l2", "v", start=5, pass_points=8).ids.tolist() == want
+
+
+def test_kcenter_edges(spark):
+    c = np.array([[7], [7], [7], [9]])
+    df = code_frame(spark, c)
+    assert clustering.kcenter(df, 9).ids.tolist() == [0, 3, 0, 0]
+    assert clustering.kcenter(df.limit(0), 3).ids.tolist() == [] and clustering.kcenter(df, 0).ids.tolist() == []
+    assert clustering.kcenter(df, 3, start=99).ids.tolist()[0] == 3
+
+
+def test_kcenter_of_groups(spark):
+    c = kernels.pack_bits(RNG.standard_normal((80, 64)) >= 0)
+    group = lambda x: (x[:, 0] & 3).astype(np.int64)
+    for most in (8, 10_000):
+        got = clustering.farthest_first(code_frame(spark, c).repartition(3), 30, group=group, pass_points=most)
+        for g in range(4):
+            at = np.flatnonzero(group(c) == g)
+            want = kernels.greedy_centers(lambda i: kernels.hamming(c[at][i : i + 1], c[at])[0], len(at), 30)
+            assert got[g][0].tolist() == at[want].tolist()
+
+
+def test_majority_counts_all_members(spark):
+    c = kernels.pack_bits(RNG.standard_normal((70, 100)) >= 0)
+    centers = clustering.kcenter(code_frame(spark, c), 5)
+    label = clustering.nearest(c, centers.points, "hamming")[0]
+    got = centers.majority(code_frame(spark, c).repartition(3)).points
+    assert all(np.array_equal(got[j], kernels.majority(c[label == j])) for j in range(5))
 
 
 def test_majority_breaks_ties_upwards():
@@ -166,14 +201,83 @@ def test_tree_opens_more_with_a_wider_beam(spark):
     assert recalls == sorted(recalls) and recalls[-1] == 1.0
 
 
-def test_graph_finds_itself_and_nearly_all(spark):
+def test_tree_round_trip(spark, tmp_path):
+    docs, queries = src.load_split(spark, DATA)
+    tree = search.kmeans_tree(docs, 16, 4, 2)
+    tree.save(str(tmp_path / "tree"))
+    again = search.KMeansTree.load(spark, str(tmp_path / "tree"))
+    assert again.search(queries, 60, 5).collect() and set(again.search(queries, 60, 5).collect()) == set(tree.search(queries, 60, 5).collect())
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_search_in_lists_is_the_same_as_fetching(spark, metric):
+    x, q = RNG.standard_normal((200, 5)).round(1), RNG.standard_normal((30, 5)).round(1)
+    docs, queries = vector_frame(spark, x).repartition(5), vector_frame(spark, q, range(500, 530))
+    centers = x[:12]
+    for lists in (1, 3):
+        members = search.members(docs, centers, lists)
+        probes = search.probe(clustering.centroid_frame(spark, centers).withColumnRenamed("vec_id", "center_id"), queries, 4)
+        listed = found(topk.list_top_k(members, probes, queries, 7, metric, lists))
+        assert listed == found(topk.rerank(search.candidates(probes, members), docs, queries, 7, metric)) and len(listed) == 30
+
+
+def test_list_index_round_trip(spark, tmp_path):
+    docs, queries = src.load_split(spark, DATA)
+    index = search.list_index(docs, clustering.kmeans(docs, 8, max_iter=2, tol=-1, init="first")[0])
+    index.save(str(tmp_path / "lists"))
+    assert set(search.ListIndex.load(spark, str(tmp_path / "lists")).search(queries, 2, 5).collect()) == set(index.search(queries, 2, 5).collect())
+
+
+def test_many_scores_are_cut_as_they_come(monkeypatch):
+    best = topk.Best(3, 4)
+    monkeypatch.setattr(best, "room", 20)
+    rows = []
+    for _ in range(40):
+        part = [(int(r), float(d), int(i)) for r, d, i in zip(RNG.integers(0, 3, 9), RNG.integers(0, 5, 9), RNG.integers(0, 10_000, 9))]
+        rows += part
+        best.add(*(np.array(c) for c in zip(*part)))
+        assert best.held <= 29
+    want = [x for r in range(3) for x in sorted(p for p in rows if p[0] == r)[:4]]
+    assert list(zip(*(c.tolist() for c in best.cut()))) == want
+
+
+def test_graph_finds_itself_and_nearly_all(spark, tmp_path):
     docs, _ = src.load_split(spark, DATA)
     codes = compress.binary_codes(docs, 64)
-    got = found(search.graph_search(codes, codes, 3, 16, beam=64), "distance")
-    assert all(g[0][1] == 0 for g in got.values()) and len(got) == docs.count()
     exact = topk.hamming_top_k(codes, codes, 3)
-    walked = search.graph_search(codes, codes, 3, 16, beam=64)
-    assert metrics.recall(exact, walked).agg(F.avg("recall")).first()[0] > 0.9
+    for rows in (10_000, 100):  # one graph, several
+        index = search.graph_index(codes, rows=rows)
+        got = search.graph_search(index, codes, 3)
+        hits = found(got, "distance")
+        assert len(hits) == docs.count() and all(h[0][1] == 0 for h in hits.values())
+        assert metrics.recall(exact, got).agg(F.avg("recall")).first()[0] > 0.97
+    index.save(str(tmp_path / "graph"))
+    assert set(search.graph_search(search.GraphIndex.load(spark, str(tmp_path / "graph")), codes, 3).collect()) == set(got.collect())
+
+
+def test_graph_layers_and_links():
+    x = kernels.pack_bits(RNG.standard_normal((600, 128)) >= 0)
+    level, layers = search.layered_graph(np.arange(600), x, 8)
+    assert len(layers) == level.max() + 1 > 1 and 600 / 16 < (level > 0).sum() < 600 / 4
+    for k, links in enumerate(layers):
+        assert set(links) == set(np.flatnonzero(level >= k).tolist())
+        assert all(len(n) <= (16 if k == 0 else 8) and len(set(n)) == len(n) and i not in n for i, n in links.items())
+    d = kernels.hamming(x, x)
+    hit = 0
+    for i in range(0, 600, 5):
+        walk = search.walk_graph(x[i], x, layers, int(level.argmax()), 40)
+        assert walk == sorted(walk) and len(walk) == 40 and all(d[i, j] == e for e, j in walk)
+        hit += len({j for _, j in walk[:5]} & set(np.lexsort((np.arange(600), d[i]))[:5].tolist()))
+    assert hit / (120 * 5) > 0.9
+
+
+def test_codes_can_be_added_to_a_graph(spark):
+    x = kernels.pack_bits(RNG.standard_normal((90, 64)) >= 0)
+    index = search.graph_index(code_frame(spark, x[:60]), rows=25)
+    more = search.add(index, code_frame(spark, x[60:], range(60, 90)))
+    assert more.nodes.count() == 90 and more.nodes.select("shard").distinct().count() > index.nodes.select("shard").distinct().count()
+    hits = found(search.graph_search(more, code_frame(spark, x), 1), "distance")
+    assert all(hits[i][0] == (i, 0) for i in range(90))
 
 
 def test_streaming_encode(spark, tmp_path):

@@ -1,23 +1,26 @@
 """K-means and greedy k-center.
 
-K-means keeps its centroids on the driver (they are few by definition) and adds up partial sums over
-all documents in each round.  Greedy k-center is sequential, so it runs per shard: a shard is a range of
-ids of bounded length, and shards are independent.
+Both keep their centers on the driver (they are few by definition).  K-means adds up partial sums over
+all documents in each round.  Greedy k-center reads the documents in passes: a pass brings the farthest
+ones to the driver, a bounded number, which then picks centers among them for as long as none of those
+left behind could be farther.  The result is that of picking one by one over the whole table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import kernels
+from vecspark.sources.vectors import shared_path
 
-#: Rows of a shard at most, and decimals on which squared distances to centroids are compared.
-SHARD_ROWS, DECIMALS = 32_760, 9
+#: Decimals on which squared distances to centroids are compared, and points that a pass of k-center brings to the driver at most.
+DECIMALS, PASS_POINTS = 9, 1 << 14
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, metric: str = "l2") -> tuple[np.ndarray, np.ndarray]:
@@ -138,81 +141,212 @@ def _lloyd(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     return c, nearest(x, c)[0]
 
 
-def chunked_kmeans(vectors: DataFrame, chunk_rows: int, k: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """K-means of each chunk of ids on its own.
+def chunked_kmeans(vectors: DataFrame, chunk_rows: int, k: int, rounds: int = 3, vectors_too: bool = False) -> tuple[DataFrame, DataFrame]:
+    """K-means of each chunk of ids on its own, run once and written.
 
-    Returns (center_id, v) and (vec_id, center_id) with center_id = chunk * k + local number.  A chunk is
-    a range of ``chunk_rows`` ids, which bounds what a task holds.
+    Returns (center_id, v) and (vec_id, center_id), or with ``vectors_too`` (vec_id, center_id, v), with
+    center_id = chunk * k + local number.  A chunk is a range of ``chunk_rows`` ids, which bounds what a task
+    holds.
     """
     chunked = vectors.withColumn("chunk", F.expr(f"cast(vec_id div {chunk_rows} as int)"))
 
-    def sort(table):
-        order = np.argsort(table.column("vec_id").to_numpy())
-        table = table.take(pa.array(order))
-        return table.column("vec_id"), kernels.matrix(table.column("v").combine_chunks())
-
-    def labels(key, table):
-        ids, x = sort(table)
-        return pa.table({"vec_id": ids, "center_id": pa.array((key[0].as_py() * k + _lloyd(x, k, rounds)[1]).astype(np.int32))})
-
-    def centers(key, table):
-        c = _lloyd(sort(table)[1], k, rounds)[0]
-        return pa.table({"center_id": pa.array(key[0].as_py() * k + np.arange(len(c)), pa.int64()), "v": kernels.lists(c)})
-
-    groups = chunked.groupBy("chunk")
-    return groups.applyInArrow(centers, "center_id long, v array<double>"), groups.applyInArrow(labels, "vec_id long, center_id int")
-
-
-def _distances(points: np.ndarray, metric: str, unit: bool):
+    def run(key, table):
+        table = table.take(pa.array(np.argsort(table.column("vec_id").to_numpy())))
+        x = kernels.matrix(table.column("v").combine_chunks())
+        c, label = _lloyd(x, k, rounds)
+        first = key[0].as_py() * k
+        center = np.concatenate([first + label, first + np.arange(len(c))])
+        ids = pa.concat_arrays([table.column("vec_id").combine_chunks(), pa.nulls(len(c), pa.int64())])
+        return pa.table({"vec_id": ids, "center_id": pa.array(center.astype(np.int64)), "v": kernels.lists(np.vstack([x, c]))})
+
+    path = shared_path(vectors.sparkSession, "chunks")
+    chunked.groupBy("chunk").applyInArrow(run, "vec_id long, center_id long, v array<double>").write.parquet(path)
+    rows = vectors.sparkSession.read.parquet(path)
+    labels = rows.filter("vec_id is not null")
+    return rows.filter("vec_id is null").select("center_id", "v"), labels if vectors_too else labels.select("vec_id", F.col("center_id").cast("int").alias("center_id"))
+
+
+def _between(metric: str, unit: bool) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Distances of the rows of two blocks, as k-center compares them."""
     if metric == "hamming":
-        return lambda i: kernels.hamming(points[i : i + 1], points)[0]
+        return kernels.hamming
     if unit:
-        return lambda i: np.round(2.0 - 2.0 * (points @ points[i]), DECIMALS)
-    return lambda i: np.round(kernels.squared_l2(points[i : i + 1], points)[0], DECIMALS)
+        return lambda a, b: np.round(2.0 - 2.0 * (a @ b.T), DECIMALS)
+    return lambda a, b: np.round(kernels.squared_l2(a, b), DECIMALS)
 
 
-def _read_shard(table, col: str, metric: str):
-    table = table.take(pa.array(np.argsort(table.column("vec_id").to_numpy())))
-    x = kernels.matrix(table.column(col).combine_chunks(), np.int64 if metric == "hamming" else np.float64)
-    return table.column("vec_id").to_numpy(), np.ascontiguousarray(x)
+def _farthest(chosen: dict[int, np.ndarray], group: Callable[[np.ndarray], np.ndarray], between, dtype, most: int):
+    """Sends on each group's ``most`` points of this task that are farthest from the centers chosen so far."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
+        def cut(d, ids, x):
+            order = np.lexsort((ids, -d))[:most]
+            return d[order], ids[order], x[order]
 
-def _shards(points: DataFrame, col: str, shard_rows: int):
-    return points.select("vec_id", col, F.expr(f"cast(vec_id div {shard_rows} as int)").alias("shard")).groupBy("shard")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, x = b.column(0).to_numpy(), kernels.matrix(b.column(1), dtype)
+            label = group(x)
+            for g in np.unique(label).tolist():
+                at = np.flatnonzero(label == g)
+                d = between(x[at], chosen[g]).min(1).astype(float) if g in chosen else np.full(len(at), np.inf)
+                new = (d, ids[at], x[at])
+                best[g] = cut(*(np.concatenate(p) for p in zip(best[g], new))) if g in best else cut(*new)
+        for g, (d, ids, x) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), g, np.int64)), pa.array(d), pa.array(ids), kernels.lists(np.ascontiguousarray(x))], names=["g", "d", "vec_id", "x"])
+
+    return run
 
 
-def kcenter(points: DataFrame, k: int, metric: str = "hamming", col: str = "code", start: int = 0, shard_rows: int = SHARD_ROWS, unit: bool = False, refine: bool = False) -> DataFrame:
-    """(center_id, vec_id, code or v): k centers of each shard in order of selection, center_id = shard * k + position.
+def farthest_first(
+    points: DataFrame, k: int, metric: str = "hamming", col: str = "code", start: int = 0, unit: bool = False,
+    group: Callable[[np.ndarray], np.ndarray] | None = None, pass_points: int = PASS_POINTS,
+) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, points) of up to ``k`` farthest-first centers of each group of points, exactly as if picked one by one.
 
-    With ``refine`` (codes only) a center becomes the bitwise majority of the codes nearest to it.
+    The first center is the one of smallest id (or, without groups, the one at position ``start``); each next
+    one is farthest from all before, the smallest id on ties.  Groups (numbers that ``group`` gives a block of
+    points; all are one without it) are few and share a pass's points.  On fewer than ``k`` distinct points the
+    smallest id is picked again and again, as all distances are 0 then.
     """
+    dtype = np.int64 if metric == "hamming" else np.float64
     kind = "array<long>" if metric == "hamming" else "array<double>"
-
-    def run(key, table):
-        ids, x = _read_shard(table, col, metric)
-        chosen = kernels.greedy_centers(_distances(x, metric, unit), len(x), k, min(start, len(x) - 1))
-        c = x[chosen].copy()
-        if refine:
-            label, _ = nearest(x, x[chosen], metric)
-            for j in range(len(c)):
-                if (label == j).any():
-                    c[j] = kernels.majority(x[label == j])
-        return pa.table({"center_id": pa.array(key[0].as_py() * k + np.arange(len(chosen)), pa.int64()), "vec_id": pa.array(ids[chosen]), col: kernels.lists(c)})
-
-    return _shards(points, col, shard_rows).applyInArrow(run, f"center_id long, vec_id long, {col} {kind}")
-
-
-def kcenter_assign(points: DataFrame, k: int, top: int = 1, metric: str = "hamming", col: str = "code", start: int = 0, shard_rows: int = SHARD_ROWS, unit: bool = False) -> DataFrame:
-    """(vec_id, slot, center_id, distance): the ``top`` nearest centers of each point's shard, by (distance, center)."""
-    def run(key, table):
-        ids, x = _read_shard(table, col, metric)
-        chosen = kernels.greedy_centers(_distances(x, metric, unit), len(x), k, min(start, len(x) - 1))
-        d = kernels.hamming(x, x[chosen]) if metric == "hamming" else np.round(kernels.squared_l2(x, x[chosen]), DECIMALS)
-        n = min(top, len(chosen))
-        order = np.argsort(d, axis=1, kind="stable")[:, :n]
-        return pa.table({
-            "vec_id": pa.array(np.repeat(ids, n)), "slot": pa.array(np.tile(np.arange(n, dtype=np.int32), len(ids))),
-            "center_id": pa.array((key[0].as_py() * k + order).ravel().astype(np.int64)),
-            "distance": pa.array(np.take_along_axis(d, order, 1).ravel().astype(float))})
-
-    return _shards(points, col, shard_rows).applyInArrow(run, "vec_id long, slot int, center_id long, distance double")
+    between, one = _between(metric, unit), group is None
+    label = group or (lambda x: np.zeros(len(x), np.int64))
+    if k <= 0:
+        return {}
+    sizes: dict[int, int] = {}
+    picked: dict[int, tuple[list[int], np.ndarray]] = {}
+    if one:
+        first = points.select("vec_id", col).orderBy("vec_id").limit(start + 1).collect()
+        if not first:
+            return {}
+        picked[0] = ([first[-1][0]], np.array([first[-1][1]], dtype))
+        sizes[0] = points.count() if k > 1 else 1
+    else:
+        sizes = _group_sizes(points, col, label, dtype)
+    open_ = bool(sizes)
+    most = max(1, pass_points // max(1, len(sizes)))
+    while open_ and not (one and min(k, sizes[0]) == 1):
+        def by_group(batches: Iterator[pa.RecordBatch], done=frozenset(g for g, (i, _) in picked.items() if len(i) >= min(k, sizes[g]))) -> Iterator[pa.RecordBatch]:
+            run = _farthest({g: x for g, (_, x) in picked.items()}, label, between, dtype, most)
+            for b in run(batches):
+                if b.column(0)[0].as_py() not in done:
+                    yield b
+
+        found = points.select("vec_id", col).mapInArrow(by_group, f"g long, d double, vec_id long, x {kind}")
+        if one:
+            found = found.orderBy(F.desc("d"), "vec_id").limit(most)
+        else:
+            found = found.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("d"), "vec_id"))).filter(F.col("r") <= most).drop("r")
+        rows = found.toArrow()
+        g_col = rows.column("g").to_numpy()
+        open_ = False
+        for g in np.unique(g_col).tolist():
+            part = rows.filter(pa.array(g_col == g))
+            d, ids = part.column("d").to_numpy().copy(), part.column("vec_id").to_numpy()
+            x = kernels.matrix(part.column("x").combine_chunks(), dtype)
+            whole = len(ids) == sizes[g]
+            order = np.lexsort((ids, -d))
+            last = (-d[order[-1]], ids[order[-1]])  # nothing left behind is better than this
+            chosen, centers = picked.get(g, ([], np.zeros((0, x.shape[1]), dtype)))
+            new = []
+            while len(chosen) < min(k, sizes[g]):
+                top = np.flatnonzero(d == d.max())
+                i = top[ids[top].argmin()]
+                if not whole and (-d[i], ids[i]) > last:
+                    break
+                chosen.append(int(ids[i]))
+                new.append(x[i])
+                d = np.minimum(d, between(x[i : i + 1], x)[0])
+            picked[g] = (chosen, np.vstack([centers, *new]).astype(dtype))
+            open_ |= len(chosen) < min(k, sizes[g])
+    return {g: (np.array(i, np.int64), x) for g, (i, x) in picked.items()}
+
+
+def _group_sizes(points: DataFrame, col: str, label, dtype) -> dict[int, int]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                g, n = np.unique(label(kernels.matrix(b.column(0), dtype)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
+
+    return {r["g"]: r["n"] for r in points.select(col).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}  # a row a group
+
+
+def slots(x: np.ndarray, centers: np.ndarray, top: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(position, distance) of the ``top`` nearest centers of each row, by (distance, position)."""
+    d = kernels.hamming(x, centers) if metric == "hamming" else np.round(kernels.squared_l2(x, centers), DECIMALS)
+    order = np.argsort(d, axis=1, kind="stable")[:, : min(top, len(centers))]
+    return order, np.take_along_axis(d, order, 1)
+
+
+@dataclass
+class Centers:
+    """Chosen centers, in order of selection: the points' ids and the centers themselves (few, on the driver)."""
+
+    ids: np.ndarray
+    points: np.ndarray
+    metric: str = "hamming"
+    col: str = "code"
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """(center_id, vec_id, code or v)."""
+        kind = "array<long>" if self.metric == "hamming" else "array<double>"
+        return spark.createDataFrame([(i, int(v), c.tolist()) for i, (v, c) in enumerate(zip(self.ids, self.points))], f"center_id long, vec_id long, {self.col} {kind}")
+
+    def first(self, k: int) -> Centers:
+        """The first ``k``: what a selection of ``k`` would have given."""
+        return Centers(self.ids[:k], self.points[:k], self.metric, self.col)
+
+    def assign(self, points: DataFrame, top: int = 1) -> DataFrame:
+        """(vec_id, slot, center_id, distance): the ``top`` nearest centers of each point, by (distance, center)."""
+        centers, metric = self.points, self.metric
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows and len(centers):
+                    order, d = slots(kernels.matrix(b.column(1), centers.dtype), centers, top, metric)
+                    n = order.shape[1]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), b.num_rows)),
+                        pa.array(order.ravel().astype(np.int64)), pa.array(d.ravel().astype(float))], names=["vec_id", "slot", "center_id", "distance"])
+
+        return points.select("vec_id", self.col).mapInArrow(run, "vec_id long, slot int, center_id long, distance double")
+
+    def majority(self, points: DataFrame) -> Centers:
+        """Each center as the bitwise majority of the codes nearest to it, ties set; counted by task and added up."""
+        centers = self.points
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, n = np.zeros((len(centers), centers.shape[1] * 64), np.int64), np.zeros(len(centers), np.int64)
+            for b in batches:
+                if b.num_rows:
+                    x = kernels.matrix(b.column(0), np.int64)
+                    label = nearest(x, centers, "hamming")[0]
+                    np.add.at(bits, label, np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little"))
+                    n += np.bincount(label, minlength=len(n))
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used]), kernels.lists(bits[used])], names=["label", "n", "bits"])
+
+        parts = points.select(self.col).mapInArrow(run, "label long, n long, bits array<long>")
+        bit = F.element_at(F.col("bits"), F.col("pos") + 1)
+        counted = parts.select("label", "n", F.explode(F.sequence(F.lit(0), F.size("bits") - 1)).alias("pos"), "bits").groupBy("label", "pos").agg((F.sum(bit) * 2 >= F.sum("n")).alias("set"))
+        rows = counted.toArrow()  # a row a center and bit
+        out = centers.copy()
+        label, pos, is_set = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("label", "pos", "set"))
+        new = np.zeros((len(centers), centers.shape[1] * 64), bool)
+        new[label, pos] = is_set
+        used = np.unique(label)
+        out[used] = kernels.pack_bits(new[used])
+        return Centers(self.ids, out, self.metric, self.col)
+
+
+def kcenter(points: DataFrame, k: int, metric: str = "hamming", col: str = "code", start: int = 0, unit: bool = False, pass_points: int = PASS_POINTS) -> Centers:
+    """``k`` greedy centers of all points (vec_id, code or v); see ``farthest_first``."""
+    found = farthest_first(points, k, metric, col, start, unit, pass_points=pass_points)
+    if not found:
+        return Centers(np.zeros(0, np.int64), np.zeros((0, 1), np.int64 if metric == "hamming" else np.float64), metric, col)
+    return Centers(*found[0], metric, col)

@@ -1,7 +1,8 @@
-"""Candidate search: inverted lists, k-center probes and two-layer cascades.
+"""Candidate search: inverted lists, k-center probes, two-layer cascades, a k-means tree and layered graphs.
 
-An index is a set of tables: centers (center_id, vector or code) and postings (center_id, vec_id).  A
-search probes the centers, joins the chosen ones with the postings, and ranks what comes out.
+An index is a set of tables, built once and kept by ``save``: centers (center_id, vector or code), few by
+definition, and postings (center_id, vec_id), which for inverted lists hold the vectors too, list by list.
+A search probes the centers, meets the postings of the chosen ones, and ranks what comes out.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import kernels
-from vecspark.operators.clustering import SHARD_ROWS, _read_shard, _shards, kcenter, kcenter_assign, nearest
-from vecspark.operators.topk import rank_limit, rerank, top_k
+from vecspark.operators.clustering import centroid_frame, farthest_first, kcenter, kmeans, nearest
+from vecspark.operators.topk import list_top_k, over_blocks, rank_limit, top_k
+from vecspark.sources.vectors import shared_path
 
 
 def probe(centers: DataFrame, queries: DataFrame, top: int, metric: str = "l2", col: str = "v") -> DataFrame:
@@ -38,8 +40,58 @@ def candidate_curve(probes: DataFrame, postings: DataFrame, steps: list[int]) ->
     return wide.join(postings.select("center_id", "vec_id"), "center_id").select("top", "query_id", "vec_id").distinct()
 
 
+class Tables:
+    """An index of which every field is a table, kept as one folder a table."""
+
+    def save(self, path: str) -> None:
+        for name, table in vars(self).items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str):
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in cls.__dataclass_fields__))
+
+
+@dataclass
+class ListIndex(Tables):
+    """Inverted lists: centroids (center_id, v) and members (vec_id, center_id, v)."""
+
+    centers: DataFrame
+    members: DataFrame
+
+    def save(self, path: str) -> None:
+        """Members are written list by list, so that a batch of rows holds few lists."""
+        self.centers.write.mode("overwrite").parquet(f"{path}/centers")
+        self.members.repartitionByRange("center_id", "vec_id").sortWithinPartitions("center_id").write.mode("overwrite").parquet(f"{path}/members")
+
+    def probe(self, queries: DataFrame, top: int, metric: str = "l2") -> DataFrame:
+        return probe(self.centers, queries, top, metric)
+
+    def search(self, queries: DataFrame, top: int, k: int, metric: str = "ip") -> DataFrame:
+        """(query_id, rank, vec_id, score): the k best members of the ``top`` nearest lists of each query."""
+        return list_top_k(self.members, self.probe(queries, top), queries, k, metric)
+
+
+def members(vectors: DataFrame, centroids: np.ndarray, top: int = 1) -> DataFrame:
+    """(vec_id, center_id, v): each vector under its ``top`` nearest centroids (the lower number on ties)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = kernels.matrix(b.column(1))
+                d = np.round(kernels.squared_l2(x, centroids), 9)
+                order = np.argsort(d, axis=1, kind="stable")[:, :top] if top > 1 else d.argmin(1)[:, None]
+                n = order.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(order.ravel().astype(np.int64)), kernels.lists(np.repeat(x, n, axis=0))], names=["vec_id", "center_id", "v"])
+
+    return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, center_id long, v array<double>")
+
+
+def list_index(vectors: DataFrame, centroids: np.ndarray) -> ListIndex:
+    return ListIndex(centroid_frame(vectors.sparkSession, centroids).withColumnRenamed("vec_id", "center_id"), members(vectors, centroids))
+
+
 @dataclass
-class TwoLayerIndex:
+class TwoLayerIndex(Tables):
     """Two k-center layers over the same codes: centers, postings, which lists of one layer meet which of the other, neighbours."""
 
     centers1: DataFrame
@@ -48,28 +100,33 @@ class TwoLayerIndex:
     adjacency: DataFrame  # (c1, c2)
     neighbours: DataFrame  # (c2, rank, nbr)
 
-    def save(self, path: str) -> None:
-        for name, table in vars(self).items():
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
 
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> TwoLayerIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in cls.__dataclass_fields__))
+NEIGHBOURS = 4
 
 
-NEIGHBOURS = 4
+def two_layer_index(codes: DataFrame, k1: int, k2: int, neighbours: int = NEIGHBOURS) -> TwoLayerIndex:
+    """Both layers are chosen from all codes, in one selection: the smaller is the beginning of the larger."""
+    spark = codes.sparkSession
+    both = kcenter(codes, max(k1, k2))
+    one, two = both.first(k1), both.first(k2)
+    assigned = _labels(codes, {"c1": one.points, "c2": two.points})
+    d = kernels.hamming(two.points, two.points)
+    rows = []
+    for i, row in enumerate(d):  # few by definition
+        order = [int(j) for j in np.argsort(row, kind="stable") if j != i][:neighbours]
+        rows += [(i, r, j) for r, j in enumerate(order, 1)]
+    return TwoLayerIndex(one.frame(spark), two.frame(spark), assigned, assigned.select("c1", "c2").distinct(), spark.createDataFrame(rows, "c2 long, rank int, nbr long"))
 
 
-def two_layer_index(codes: DataFrame, k1: int, k2: int, neighbours: int = NEIGHBOURS, shard_rows: int = SHARD_ROWS) -> TwoLayerIndex:
-    """Both layers are chosen from all codes of a shard."""
-    centers1, centers2 = kcenter(codes, k1, shard_rows=shard_rows), kcenter(codes, k2, shard_rows=shard_rows)
-    one = kcenter_assign(codes, k1, shard_rows=shard_rows).select("vec_id", F.col("center_id").alias("c1"))
-    two = kcenter_assign(codes, k2, shard_rows=shard_rows).select("vec_id", F.col("center_id").alias("c2"))
-    assigned = one.join(two, "vec_id")
-    as_codes = centers2.select(F.col("center_id").alias("vec_id"), "code")
-    near = top_k(as_codes, as_codes, neighbours + 1, "hamming", "code").filter("query_id <> vec_id")
-    near = rank_limit(near.drop("rank"), neighbours, ["query_id"], ["score", "vec_id"])
-    return TwoLayerIndex(centers1, centers2, assigned, assigned.select("c1", "c2").distinct(), near.select(F.col("query_id").alias("c2"), "rank", F.col("vec_id").alias("nbr")))
+def _labels(codes: DataFrame, layers: dict[str, np.ndarray]) -> DataFrame:
+    """(vec_id, the nearest center in each layer), in one reading of the codes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = kernels.matrix(b.column(1), np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(nearest(x, c, "hamming")[0].astype(np.int64)) for c in layers.values())], names=["vec_id", *layers])
+
+    return codes.select("vec_id", "code").mapInArrow(run, "vec_id long, " + ", ".join(f"{name} long" for name in layers))
 
 
 def diversify(ranked: list[int], p: int, neighbours: dict[int, list[int]], alpha: float = 0.8, expand: int = 2) -> list[int]:
@@ -108,7 +165,7 @@ def cascade(index: TwoLayerIndex, queries: DataFrame, p1: int, p2: int, both: bo
     if not diversified:
         s2 = rank_limit(scored, p2, ["query_id"], ["d", "c2"]).select("query_id", "c2")
     else:
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "c2")))  # at most a shard's k2 rows a query
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "c2")))  # at most k2 rows a query
         near = index.neighbours.groupBy("c2").agg(F.array_sort(F.collect_list(F.struct("rank", "nbr"))).alias("n")).select("c2", F.col("n.nbr").alias("nbrs"))
         lists = ranked.join(near, "c2", "left")
 
@@ -127,51 +184,33 @@ def cascade(index: TwoLayerIndex, queries: DataFrame, p1: int, p2: int, both: bo
 
 
 @dataclass
-class LocalIndex:
+class LocalIndex(Tables):
     """A second k-center layer inside each first-layer list."""
 
-    centers1: DataFrame  # (center_id, code)
+    centers1: DataFrame  # (center_id, vec_id, code)
     centers2: DataFrame  # (c1, local, center_id, code)
     assigned: DataFrame  # (vec_id, c1, c2)
 
-    def save(self, path: str) -> None:
-        for name, table in vars(self).items():
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> LocalIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in cls.__dataclass_fields__))
-
 
-def local_index(codes: DataFrame, k1: int, k2: int, shard_rows: int = SHARD_ROWS) -> LocalIndex:
+def local_index(codes: DataFrame, k1: int, k2: int) -> LocalIndex:
     """min(k2, size) second-layer centers in each list; their ids are list * k2 + position."""
-    def build(table, k1_ids):
-        ids, x = _read_shard(table, "code", "hamming")
-        chosen = kernels.greedy_centers(lambda i: kernels.hamming(x[i : i + 1], x)[0], len(x), k1)
-        label, _ = nearest(x, x[chosen], "hamming")
-        for j in range(len(chosen)):
-            member = np.flatnonzero(label == j)
-            if len(member):
-                y = x[member]
-                inner = kernels.greedy_centers(lambda i, y=y: kernels.hamming(y[i : i + 1], y)[0], len(y), k2)
-                yield k1_ids + j, ids[member], y, inner, nearest(y, y[inner], "hamming")[0]
-
-    def centers(key, table):
-        rows = [(c1, i, c1 * k2 + i, y[m].tolist()) for c1, _, y, inner, _ in build(table, key[0].as_py() * k1) for i, m in enumerate(inner)]
-        c1, local, center, code = zip(*rows)
-        return pa.table({"c1": pa.array(c1, pa.int64()), "local": pa.array(local, pa.int32()), "center_id": pa.array(center, pa.int64()), "code": pa.array(code, pa.list_(pa.int64()))})
-
-    def members(key, table):
-        parts = list(build(table, key[0].as_py() * k1))
-        return pa.table({
-            "vec_id": pa.array(np.concatenate([ids for _, ids, *_ in parts])),
-            "c1": pa.array(np.concatenate([np.full(len(ids), c1, np.int64) for c1, ids, *_ in parts])),
-            "c2": pa.array(np.concatenate([c1 * k2 + label for c1, *_, label in parts]).astype(np.int64))})
+    spark = codes.sparkSession
+    outer = kcenter(codes, k1)
+    inner = farthest_first(codes, k2, group=lambda x: nearest(x, outer.points, "hamming")[0])
+    rows = [(g, i, g * k2 + i, c.tolist()) for g, (_, x) in sorted(inner.items()) for i, c in enumerate(x)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = kernels.matrix(b.column(1), np.int64)
+                c1 = nearest(x, outer.points, "hamming")[0]
+                c2 = np.zeros(len(x), np.int64)
+                for g in np.unique(c1).tolist():
+                    c2[c1 == g] = g * k2 + nearest(x[c1 == g], inner[g][1], "hamming")[0]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c1.astype(np.int64)), pa.array(c2)], names=["vec_id", "c1", "c2"])
 
-    shards = _shards(codes, "code", shard_rows)
-    return LocalIndex(
-        kcenter(codes, k1, shard_rows=shard_rows), shards.applyInArrow(centers, "c1 long, local int, center_id long, code array<long>"),
-        shards.applyInArrow(members, "vec_id long, c1 long, c2 long"))
+    assigned = codes.select("vec_id", "code").mapInArrow(run, "vec_id long, c1 long, c2 long")
+    return LocalIndex(outer.frame(spark), spark.createDataFrame(rows, "c1 long, local int, center_id long, code array<long>"), assigned)
 
 
 def local_cascade(index: LocalIndex, queries: DataFrame, p1: int, p2: int, both: bool) -> DataFrame:
@@ -196,66 +235,206 @@ def knn_graph(codes: DataFrame, m: int = 16) -> DataFrame:
     return near.select(F.col("query_id").alias("vec_id"), "rank", F.col("vec_id").alias("nbr"), F.col("score").cast("int").alias("distance"))
 
 
-def graph_search(codes: DataFrame, queries: DataFrame, k: int = 3, m: int = 16, beam: int = 64, entries: int = 8, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, distance) by a greedy beam walk over each shard's neighbour graph, made symmetric.
+#: Codes of a layered graph at most, neighbours a node is linked to, and candidates they are chosen from.
+GRAPH_ROWS, GRAPH_LINKS, GRAPH_CHOICE = 1 << 14, 16, 400
+
+
+def _spread(ranked: np.ndarray, distance: np.ndarray, x: np.ndarray, most: int) -> list[int]:
+    """Of candidates ranked by distance those that are nearer to the node than to any taken before, then the next best, ``most`` in all."""
+    apart = np.full(len(ranked), np.iinfo(np.int64).max)  # from what has been taken
+    taken: list[int] = []
+    at = 0
+    while len(taken) < most:
+        later = np.flatnonzero(apart[at:] > distance[at:])
+        if not len(later):
+            break
+        at += int(later[0])
+        taken.append(at)
+        apart = np.minimum(apart, kernels.hamming(x[ranked[at : at + 1]], x[ranked])[0])
+        at += 1
+    if len(taken) < most:
+        left = np.ones(len(ranked), bool)
+        left[taken] = False
+        taken += np.flatnonzero(left)[: most - len(taken)].tolist()
+    return ranked[taken].tolist()
+
+
+def layered_graph(ids: np.ndarray, x: np.ndarray, m: int = GRAPH_LINKS, choice: int = GRAPH_CHOICE) -> tuple[np.ndarray, list[dict[int, list[int]]]]:
+    """(level of each code, links by layer) of a navigable graph that codes enter one by one.
+
+    A code is in layer l with probability m ** -l, drawn by its id.  Entering, it is linked in each of its
+    layers to ``m`` of the ``choice`` nearest codes that are there already, and they to it; a code that then
+    has more than 2 m links in the lowest layer (m above it) keeps a spread of the nearest.
+    """
+    n = len(ids)
+    u = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) + 0.5
+    level = np.minimum((-np.log(u / 2.0**53) / math.log(max(m, 2))).astype(int), 16)
+    layers: list[dict[int, list[int]]] = []
+    for layer in range(int(level.max(initial=0)) + 1):
+        here = np.flatnonzero(level >= layer)
+        most = 2 * m if layer == 0 else m
+        links: dict[int, list[int]] = {int(here[0]): []} if n else {}
+        for k in range(1, len(here)):
+            i, before = int(here[k]), here[:k]
+            d = kernels.hamming(x[i : i + 1], x[before])[0]
+            near = np.argpartition(d, choice)[:choice] if k > choice else np.arange(k)
+            near = near[np.lexsort((before[near], d[near]))]
+            links[i] = _spread(before[near], d[near], x, m)
+            for j in links[i]:
+                links[j].append(i)
+                if len(links[j]) > most:
+                    other = np.array(links[j])
+                    dj = kernels.hamming(x[j : j + 1], x[other])[0]
+                    order = np.lexsort((other, dj))
+                    links[j] = _spread(other[order], dj[order], x, most)
+        layers.append(links)
+    return level, layers
+
+
+def walk_graph(q: np.ndarray, x: np.ndarray, layers: list[dict[int, list[int]]], entry: int, beam: int) -> list[tuple[int, int]]:
+    """(distance, node) of the ``beam`` nearest codes that a walk from the top layer down finds, nearest first."""
+    import heapq
+
+    def far(nodes: list[int]) -> list[int]:
+        return kernels.hamming(q[None], x[nodes])[0].tolist()
+
+    at = (far([entry])[0], entry)
+    for links in reversed(layers[1:]):
+        while True:
+            near = links.get(at[1], [])
+            best = min(zip(far(near), near), default=at) if near else at
+            if best[0] >= at[0]:
+                break
+            at = best
+    seen, open_, pool = {at[1]}, [at], [(-at[0], -at[1])]
+    while open_:
+        d, i = heapq.heappop(open_)
+        if len(pool) >= beam and d > -pool[0][0]:
+            break
+        new = [j for j in layers[0].get(i, ()) if j not in seen]
+        if new:
+            seen.update(new)
+            for e, j in zip(far(new), new):
+                if len(pool) < beam:
+                    heapq.heappush(pool, (-e, -j))
+                elif (-e, -j) > pool[0]:
+                    heapq.heapreplace(pool, (-e, -j))
+                else:
+                    continue
+                heapq.heappush(open_, (e, j))
+    return sorted((-d, -i) for d, i in pool)
+
+
+@dataclass
+class GraphIndex(Tables):
+    """Layered graphs over shards of codes: nodes (shard, vec_id, level, code) and links (shard, layer, vec_id, nbr)."""
+
+    nodes: DataFrame
+    links: DataFrame
+
+
+def graph_index(codes: DataFrame, m: int = GRAPH_LINKS, choice: int = GRAPH_CHOICE, rows: int = GRAPH_ROWS, first_shard: int = 0) -> GraphIndex:
+    """Graphs of shards of about ``rows`` codes at most (by hashed id), each built in one task and written.
 
-    Walks start at ``entries`` spread-out codes and end when the nearest unvisited code is farther than
-    the beam's worst.  Queries go to every shard in blocks of bounded size.
+    Codes that come later are added as shards of their own: ``add``.
     """
-    from functools import reduce
-
-    from vecspark.operators.topk import query_blocks
-
-    def walk(ids, qs):
-        def run(key, table):
-            doc_ids, x = _read_shard(table, "code", "hamming")
-            n = len(x)
-            near: list[set[int]] = [set() for _ in range(n)]
-            for at in range(0, n, 512):
-                d = kernels.hamming(x[at : at + 512], x)
-                d[np.arange(len(d)), at + np.arange(len(d))] = np.iinfo(np.int32).max
-                for i, row in enumerate(np.argsort(d, axis=1, kind="stable")[:, : min(m, n - 1)].tolist(), at):
-                    near[i].update(row)
-                    for j in row:
-                        near[j].add(i)
-            start = kernels.greedy_centers(lambda i: kernels.hamming(x[i : i + 1], x)[0], n, entries)
-            rows = []
-            for q, code in zip(ids, qs):
-                seen = set(start)
-                pool = sorted(zip(kernels.hamming(code[None], x[start])[0].tolist(), start))
-                open_ = list(pool)
-                while open_:
-                    d, i = open_.pop(0)
-                    if len(pool) >= beam and d > pool[min(beam, len(pool)) - 1][0]:
-                        break
-                    new = [j for j in near[i] if j not in seen]
-                    if new:
-                        seen.update(new)
-                        found = list(zip(kernels.hamming(code[None], x[new])[0].tolist(), new))
-                        pool = sorted(pool + found)[:beam]
-                        open_ = sorted(open_ + found)[:beam]
-                rows += [(q, int(doc_ids[i]), d) for d, i in pool[:k]]
-            return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "distance": pa.array([r[2] for r in rows], pa.int32())})
-
-        return run
-
-    parts = [_shards(codes, "code", shard_rows).applyInArrow(walk(ids.tolist(), qs.astype(np.int64)), "query_id long, vec_id long, distance int") for ids, qs in query_blocks(queries, "code")]
-    if not parts:
-        return codes.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
-    return rank_limit(reduce(DataFrame.union, parts), k, ["query_id"], ["distance", "vec_id"]).select("query_id", "rank", "vec_id", "distance")
+    spark = codes.sparkSession
+    shards = max(1, -(-codes.count() // rows))
+    path = shared_path(spark, "graph")
+    dealt = codes.select("vec_id", "code", (F.pmod(F.xxhash64("vec_id"), F.lit(shards)) + first_shard).cast("int").alias("shard"))
+
+    def build(key, table):
+        table = table.sort_by("vec_id").combine_chunks()
+        ids, x = table.column("vec_id").to_numpy(), np.ascontiguousarray(kernels.matrix(table.column("code").combine_chunks(), np.int64))
+        level, layers = layered_graph(ids, x, m, choice)
+        near = [[(k, [int(ids[j]) for j in links[i]]) for k, links in enumerate(layers) if i in links] for i in range(len(ids))]
+        kind = pa.list_(pa.struct([("layer", pa.int32()), ("nbrs", pa.list_(pa.int64()))]))
+        return pa.table({
+            "shard": pa.array([key[0].as_py()] * len(ids), pa.int32()), "vec_id": pa.array(ids), "level": pa.array(level.astype(np.int32)), "code": kernels.lists(x),
+            "links": pa.array([[{"layer": k, "nbrs": n} for k, n in node] for node in near], kind)})
+
+    dealt.groupBy("shard").applyInArrow(build, "shard int, vec_id long, level int, code array<long>, links array<struct<layer: int, nbrs: array<long>>>").write.parquet(path)
+    graph = spark.read.parquet(path)
+    layers = graph.select("shard", "vec_id", F.explode("links").alias("l")).select("shard", F.col("l.layer").alias("layer"), "vec_id", F.explode("l.nbrs").alias("nbr"))
+    return GraphIndex(graph.select("shard", "vec_id", "level", "code"), layers)
+
+
+def add(index: GraphIndex, codes: DataFrame, **options) -> GraphIndex:
+    """The index with more codes, as shards of their own."""
+    last = index.nodes.agg(F.max("shard")).first()[0]
+    more = graph_index(codes, first_shard=0 if last is None else last + 1, **options)
+    return GraphIndex(index.nodes.union(more.nodes), index.links.union(more.links))
+
+
+def graph_search(index: GraphIndex, queries: DataFrame, k: int = 3, beam: int = 64) -> DataFrame:
+    """(query_id, rank, vec_id, distance) by a walk over each shard's graph: down the layers, then over the lowest
+    until the nearest open code is farther than the worst of the ``beam`` best.
+
+    Every shard is walked, so that recall does not fall as shards are added.
+    """
+    def one(ids: np.ndarray, qs: np.ndarray) -> DataFrame:
+        def walk(key, nodes, links):
+            nodes = nodes.sort_by("vec_id").combine_chunks()
+            doc, x = nodes.column("vec_id").to_numpy(), np.ascontiguousarray(kernels.matrix(nodes.column("code").combine_chunks(), np.int64))
+            level = nodes.column("level").to_numpy()
+            layers: list[dict[int, list[int]]] = [{} for _ in range(int(level.max(initial=0)) + 1)]
+            a, b = (np.searchsorted(doc, links.column(c).to_numpy()).tolist() for c in ("vec_id", "nbr"))
+            for layer, i, j in zip(links.column("layer").to_pylist(), a, b):
+                layers[layer].setdefault(i, []).append(j)
+            entry = int(level.argmax())
+            rows = [(int(q), d, int(doc[i])) for q, code in zip(ids, qs) for d, i in walk_graph(code, x, layers, entry, max(beam, k))[:k]]
+            cols = list(zip(*rows)) or [(), (), ()]
+            return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[2], pa.int64()), "distance": pa.array(cols[1], pa.int32())})
+
+        found = index.nodes.groupBy("shard").cogroup(index.links.groupBy("shard")).applyInArrow(walk, "query_id long, vec_id long, distance int")
+        return rank_limit(found, k, ["query_id"], ["distance", "vec_id"]).select("query_id", "rank", "vec_id", "distance")
+
+    return over_blocks(queries, "code", one, "query_id long, rank int, vec_id long, distance int")
 
 
 @dataclass
 class KMeansTree:
-    """Three levels of centroids (few, on the driver) and postings (center_id, vec_id) under the lowest."""
+    """Three levels of centroids (few, on the driver), the members (vec_id, center_id, v) of the lowest, and their numbers."""
 
     c1: np.ndarray
     c2: np.ndarray
     c3: np.ndarray
     parent1: np.ndarray
     parent2: np.ndarray
-    postings: DataFrame
+    members: DataFrame
     metric: str
+    lists: int = 2
+    sizes: np.ndarray | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        """(center_id, vec_id)."""
+        return self.members.select("center_id", "vec_id")
+
+    def save(self, path: str) -> None:
+        """Members list by list, and centroids by level."""
+        spark = self.members.sparkSession
+        self.members.repartitionByRange("center_id", "vec_id").sortWithinPartitions("center_id").write.mode("overwrite").parquet(f"{path}/members")
+        parents = (self.parent1, self.parent2, np.full(len(self.c3), -1))
+        rows = [(level, i, int(p), c.tolist(), self.metric, self.lists) for level, (x, up) in enumerate(zip((self.c1, self.c2, self.c3), parents), 1) for i, (c, p) in enumerate(zip(x, up))]
+        spark.createDataFrame(rows, "level int, id int, parent int, v array<double>, metric string, lists int").write.mode("overwrite").parquet(f"{path}/centroids")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> KMeansTree:
+        rows = spark.read.parquet(f"{path}/centroids").orderBy("level", "id").collect()  # few by definition
+        c = [np.array([r["v"] for r in rows if r["level"] == k]) for k in (1, 2, 3)]
+        up = [np.array([r["parent"] for r in rows if r["level"] == k]) for k in (1, 2)]
+        return cls(*c, *up, spark.read.parquet(f"{path}/members"), rows[0]["metric"], rows[0]["lists"])
+
+    def list_sizes(self) -> np.ndarray:
+        if self.sizes is None:
+            n = {r["center_id"]: r["count"] for r in self.members.groupBy("center_id").count().collect()}  # a row a leaf
+            self.sizes = np.array([n.get(i, 0) for i in range(len(self.c1))])
+        return self.sizes
+
+    def search(self, queries: DataFrame, beam: int, k: int) -> DataFrame:
+        """(query_id, rank, vec_id, score): the k best among the members of the leaves that a query opens."""
+        return list_top_k(self.members, tree_probes(self, queries, beam), queries, k, "cosine" if self.metric == "cosine" else "l2", self.lists)
 
     def edges(self, spark: SparkSession) -> DataFrame:
         rows = [(1, int(p), i) for i, p in enumerate(self.parent1)] + [(2, int(p), i) for i, p in enumerate(self.parent2)]
@@ -267,7 +446,7 @@ def kmeans_tree(vectors: DataFrame, n1: int, n2: int, n3: int, assign_to: int =
 
     For cosine, vectors and centroids have unit length.
     """
-    from vecspark.operators.clustering import _lloyd, kmeans
+    from vecspark.operators.clustering import _lloyd
 
     spherical = kernels.unit_rows if metric == "cosine" else (lambda c: c)
     x = kernels.map_vectors(vectors, kernels.unit_rows) if metric == "cosine" else vectors
@@ -275,15 +454,7 @@ def kmeans_tree(vectors: DataFrame, n1: int, n2: int, n3: int, assign_to: int =
     c2, parent1 = _lloyd(c1, min(n2, len(c1)), rounds)
     c2 = spherical(c2)
     c3, parent2 = _lloyd(c2, min(n3, len(c2)), rounds)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                d = np.round(kernels.squared_l2(kernels.matrix(b.column(1)), c1), 9)
-                order = np.argsort(d, axis=1, kind="stable")[:, :assign_to]
-                yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), order.shape[1]))], names=["center_id", "vec_id"])
-
-    return KMeansTree(c1, c2, spherical(c3), parent1, parent2, x.select("vec_id", "v").mapInArrow(post, "center_id long, vec_id long"), metric)
+    return KMeansTree(c1, c2, spherical(c3), parent1, parent2, members(x, c1, assign_to), metric, assign_to)
 
 
 def best_bins(tree: KMeansTree, sizes: np.ndarray, q: np.ndarray, beam: int) -> tuple[list[int], dict[str, int]]:
@@ -320,8 +491,7 @@ def best_bins(tree: KMeansTree, sizes: np.ndarray, q: np.ndarray, beam: int) ->
 
 def tree_probes(tree: KMeansTree, queries: DataFrame, beam: int) -> DataFrame:
     """(query_id, rank, center_id and the descent's counts), one row for each leaf that a query opens."""
-    counts = {r["center_id"]: r["count"] for r in tree.postings.groupBy("center_id").count().collect()}  # a row a leaf
-    sizes = np.array([counts.get(i, 0) for i in range(len(tree.c1))])
+    sizes = tree.list_sizes()
     bare = KMeansTree(tree.c1, tree.c2, tree.c3, tree.parent1, tree.parent2, None, tree.metric)
     names = ("l3_opened", "l2_pool", "l2_opened", "l1_pool", "l1_opened", "popped")
 
@@ -347,8 +517,7 @@ def stored_cluster_search(path: str, centers: DataFrame, queries: DataFrame, k_c
     """Top-k by inner product within the ``read`` clusters of the best centers, of which only the files are read."""
     from vecspark.sources.vectors import read_clusters
 
-    near = probe(centers, queries, read, "ip").select(
-        "query_id", F.expr(f"cast(center_id div {k_clusters} as int)").alias("shard"), (F.col("center_id") % k_clusters).cast("int").alias("cluster"))
-    stored = read_clusters(queries.sparkSession, path, near.select("shard", "cluster"))
-    cand = near.join(stored, ["shard", "cluster"]).select("query_id", "vec_id")
-    return rerank(cand, stored, queries, k)
+    near = probe(centers, queries, read, "ip").select("query_id", "center_id")
+    wanted = near.select(F.expr(f"cast(center_id div {k_clusters} as int)").alias("shard"), (F.col("center_id") % k_clusters).cast("int").alias("cluster"))
+    stored = read_clusters(queries.sparkSession, path, wanted)
+    return list_top_k(stored.select("vec_id", (F.col("shard").cast("long") * k_clusters + F.col("cluster")).alias("center_id"), "v"), near, queries, k)

@@ -1,14 +1,15 @@
 """Exact and quantised top-k search.
 
-Documents stay where they are read.  Queries go to every task in blocks of bounded size; a task scores
-a block of documents against a block of queries at once and sends on k rows per query, which a window
-with a rank limit merges.  Ranks are total: rounded score, then id.
+Documents stay where they are read.  Queries go to every task in blocks of bounded size, one block after
+the other where they are many; a task scores a block of documents against a block of queries at once and
+sends on k rows per query, which a window with a rank limit merges.  Ranks are total: rounded score, then
+id.  Only ``rerank``, which gets its pairs from elsewhere, fetches documents by id and so moves them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import kernels
+from vecspark.sources.vectors import shared_path
 
 #: Numbers of a block of queries that is sent to every task, and decimals on which scores are ranked.
-BLOCK_NUMBERS, DECIMALS = 1 << 22, 6
-#: Documents scored at once.
-ROWS = 4096
+BLOCK_NUMBERS, DECIMALS = 1 << 21, 6
+#: Documents scored at once at most, scores made at once, and queries that are fetched without being counted first.
+ROWS, SCORES, FEW = 4096, 1 << 22, 4096
+FOUND = "query_id long, rank int, vec_id long, score double"
 
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -41,21 +44,40 @@ METRICS: dict[str, tuple[Score, float]] = {
 
 def query_blocks(queries: DataFrame, col: str, numbers: int = BLOCK_NUMBERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, matrix) of blocks of at most about ``numbers`` numbers, by ranges of ids."""
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
-    if not size["n"]:
-        return
-    blocks = max(1, -(-size["n"] * size["d"] // numbers))
-    edges = [] if blocks == 1 else queries.select(F.percentile_approx("vec_id", [i / blocks for i in range(1, blocks)], 10_000)).first()[0]
-    lows, highs = [None, *edges], [*edges, None]
-    for low, high in zip(lows, highs):
-        part = queries
-        if low is not None:
-            part = part.filter(F.col("vec_id") > low)
-        if high is not None:
-            part = part.filter(F.col("vec_id") <= high)
-        rows = part.select("vec_id", col).orderBy("vec_id").collect()
-        if rows:
-            yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
+    rows = queries.select("vec_id", col)
+    few = rows.limit(FEW + 1).toArrow()
+    if few.num_rows <= FEW and sum(len(x) for c in few.column(col).chunks for x in [c.flatten()]) <= numbers:
+        parts = [few] if few.num_rows else []
+    else:
+        size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
+        blocks = max(1, -(-size["n"] * size["d"] // numbers))
+        edges = [] if blocks == 1 else sorted(set(queries.select(F.percentile_approx("vec_id", [i / blocks for i in range(1, blocks)], 10_000)).first()[0]))
+        between = zip([None, *edges], [*edges, None])
+        parts = (rows.filter((F.lit(low is None) | (F.col("vec_id") > F.lit(low))) & (F.lit(high is None) | (F.col("vec_id") <= F.lit(high)))).toArrow() for low, high in between)
+    for part in parts:
+        if part.num_rows:
+            part = part.sort_by("vec_id").combine_chunks()
+            x = part.column(col).combine_chunks()
+            yield part.column("vec_id").to_numpy(), kernels.matrix(x, np.int64 if pa.types.is_integer(x.type.value_type) else np.float64)
+
+
+def over_blocks(queries: DataFrame, col: str, one: Callable[[np.ndarray, np.ndarray], DataFrame], schema: str) -> DataFrame:
+    """The rows that ``one`` makes of each block of queries.
+
+    A single block is answered when its rows are asked for.  Several are answered one after the other and
+    written, so that the driver never holds more than two of them.
+    """
+    spark = queries.sparkSession
+    blocks = query_blocks(queries, col)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return spark.createDataFrame([], schema)
+    if second is None:
+        return one(*first)
+    path = shared_path(spark, "answers")
+    for block in chain((first, second), blocks):
+        one(*block).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def best(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,35 +98,89 @@ def best(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return row, order[col]
 
 
-def _local(ids: np.ndarray, q: np.ndarray, metric: str, k: int, decimals: int):
-    score, sign = METRICS[metric]
-    dtype = np.int64 if metric == "hamming" else np.float64
+class Best:
+    """The k best (distance, id) of each query among all that a task has seen; holds a few times that many."""
+
+    def __init__(self, queries: int, k: int):
+        self.room, self.k = 2 * queries * k + SCORES // 16, k
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, row: np.ndarray, distance: np.ndarray, ids: np.ndarray) -> None:
+        self.parts.append((row, distance, ids))
+        self.held += len(row)
+        if self.held > self.room:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        row, distance, ids = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids, distance, row))
+        row, distance, ids = row[order], distance[order], ids[order]
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
+        rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        keep = rank < self.k
+        self.parts = [(row[keep], distance[keep], ids[keep])]
+        self.held = int(keep.sum())
+        return self.parts[0]
+
+
+def _batch(query_ids: np.ndarray, doc_ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(doc_ids), pa.array(score + 0.0)], names=["query_id", "vec_id", "score"])
 
+
+def _matrices(ids: np.ndarray, q: np.ndarray, metric: str, batches: Iterator[pa.RecordBatch], decimals: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document ids, distances of all queries from them), SCORES at once at most."""
+    score, dtype = METRICS[metric][0], np.int64 if metric == "hamming" else np.float64
+    step = max(1, min(ROWS, SCORES // max(1, len(ids))))
+    for b in batches:
+        for at in range(0, b.num_rows, step):
+            part = b.slice(at, step)
+            yield part.column(0).to_numpy(), np.round(score(q, kernels.matrix(part.column(1), dtype)).astype(np.float64), decimals) + 0.0
+
+
+def _local(ids: np.ndarray, q: np.ndarray, metric: str, k: int, decimals: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                doc_ids = part.column(0).to_numpy()
-                distance = np.round(score(q, kernels.matrix(part.column(1), dtype)).astype(np.float64), decimals) + 0.0
-                row, col = best(distance, doc_ids, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row]), pa.array(doc_ids[col]), pa.array(distance[row, col] * sign + 0.0)], names=["query_id", "vec_id", "score"])
+        found = Best(len(ids), k)
+        for doc_ids, distance in _matrices(ids, q, metric, batches, decimals):
+            row, col = best(distance, doc_ids, k)
+            found.add(row, distance[row, col], doc_ids[col])
+        row, distance, doc_ids = found.cut()
+        yield _batch(ids[row], doc_ids, distance * METRICS[metric][1])
 
     return run
 
 
+def pair_scores(docs: DataFrame, queries: DataFrame, metric: str = "ip", col: str = "v", decimals: int = DECIMALS) -> DataFrame:
+    """(query_id, vec_id, score) of every document against every query of a stated set, in blocks."""
+    def one(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for doc_ids, distance in _matrices(ids, q, metric, batches, decimals):
+                yield _batch(np.repeat(ids, len(doc_ids)), np.tile(doc_ids, len(ids)), distance.ravel() * METRICS[metric][1])
+
+        return docs.select("vec_id", col).mapInArrow(run, "query_id long, vec_id long, score double")
+
+    return over_blocks(queries, col, one, "query_id long, vec_id long, score double")
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int, metric: str = "ip", col: str = "v", decimals: int = DECIMALS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best documents of each query, fewer where there are fewer.
 
     Score is the inner product, cosine, squared distance or Hamming distance, rounded; ties go to the
     smaller id.  No queries or k < 1 give no rows.
     """
-    spark = docs.sparkSession
-    parts = [docs.select("vec_id", col).mapInArrow(_local(ids, q, metric, k, decimals), "query_id long, vec_id long, score double") for ids, q in query_blocks(queries, col)]
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    def one(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        found = docs.select("vec_id", col).mapInArrow(_local(ids, q, metric, k, decimals), "query_id long, vec_id long, score double")
+        return ranked(found, k, metric)
+
+    return over_blocks(queries, col, one, FOUND)
+
+
+def ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
+    """The k best rows (query_id, vec_id, score) of each query with their ranks."""
     best_first = F.col("score").asc() if METRICS[metric][1] > 0 else F.col("score").desc()
-    return rank_limit(reduce(DataFrame.union, parts), k, ["query_id"], [best_first, "vec_id"]).select("query_id", "rank", "vec_id", "score")
+    return rank_limit(found, k, ["query_id"], [best_first, "vec_id"]).select("query_id", "rank", "vec_id", "score")
 
 
 def rank_limit(rows: DataFrame, k: int, by: list, order: list) -> DataFrame:
@@ -119,12 +195,73 @@ def hamming_top_k(docs: DataFrame, queries: DataFrame, k: int, col: str = "code"
     return found.select("query_id", "rank", "vec_id", F.col("score").cast("int").alias("distance"))
 
 
+def _score_pairs(ids: np.ndarray, q: np.ndarray, metric: str):
+    """Scores of (query_id, vec_id, v) rows, with the queries at hand."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = q[np.searchsorted(ids, b.column(0).to_numpy())]
+                d = kernels.matrix(b.column(2))
+                if metric == "cosine":
+                    x, d = kernels.unit_rows(x), kernels.unit_rows(d)
+                score = ((x - d) ** 2).sum(1) if metric == "l2" else (x * d).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(score, DECIMALS) + 0.0)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def rerank(candidates: DataFrame, docs: DataFrame, queries: DataFrame, k: int, metric: str = "ip") -> DataFrame:
-    """Exact top-k among (query_id, vec_id) candidates: the vectors are fetched by id and scored in the JVM."""
-    from vecspark.functions import vectors as V
-
-    pairs = candidates.select("query_id", "vec_id").distinct().join(docs.select("vec_id", F.col("v").alias("_d")), "vec_id").join(
-        queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("_q")), "query_id")
-    score = {"ip": lambda: V.dot("_d", "_q"), "cosine": lambda: 1 - V.cosine_distance("_d", "_q"), "l2": lambda: V.squared_l2("_d", "_q")}[metric]()
-    scored = pairs.select("query_id", "vec_id", (F.round(score, DECIMALS) + 0.0).alias("score"))
-    return rank_limit(scored, k, ["query_id"], [F.asc("score") if metric == "l2" else F.desc("score"), "vec_id"]).select("query_id", "rank", "vec_id", "score")
+    """Exact top-k among (query_id, vec_id) candidates: documents are fetched by id, queries come in blocks.
+
+    Where candidates are the members of lists, ``list_top_k`` finds the same without fetching.
+    """
+    pairs = candidates.select("query_id", "vec_id").distinct()
+
+    def one(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        asked = pairs.filter(F.col("query_id").between(int(ids[0]), int(ids[-1])))
+        rows = asked.join(docs.select("vec_id", "v"), "vec_id").select("query_id", "vec_id", "v")
+        return ranked(rows.mapInArrow(_score_pairs(ids, q, metric), "query_id long, vec_id long, score double"), k, metric)
+
+    return over_blocks(queries, "v", one, FOUND)
+
+
+def _in_lists(ids: np.ndarray, q: np.ndarray, askers: dict[int, np.ndarray], metric: str, k: int):
+    score, sign = METRICS[metric]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Best(len(ids), k)
+        for b in batches:
+            center, doc_ids = b.column(1).to_numpy(), b.column(0).to_numpy()
+            order = np.argsort(center, kind="stable")
+            lists, first = np.unique(center[order], return_index=True)
+            asked = [(c, at) for c, at in zip(lists.tolist(), np.split(order, first[1:])) if c in askers]
+            if not asked:
+                continue
+            x = kernels.matrix(b.column(2))
+            for c, at in asked:
+                for rows in np.array_split(askers[c], -(-len(askers[c]) * len(at) // SCORES)):
+                    distance = np.round(score(q[rows], x[at]).astype(np.float64), DECIMALS) + 0.0
+                    row, col = best(distance, doc_ids[at], k)
+                    found.add(rows[row], distance[row, col], doc_ids[at[col]])
+        row, distance, doc_ids = found.cut()
+        yield _batch(ids[row], doc_ids, distance * sign)
+
+    return run
+
+
+def list_top_k(members: DataFrame, probes: DataFrame, queries: DataFrame, k: int, metric: str = "ip", lists: int = 1) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best members (vec_id, center_id, v) of the lists that each query probes (query_id, center_id).
+
+    Members stay where they are read: a task scores each list's rows against the queries that probe it in
+    one matrix product.  A document may be in up to ``lists`` lists.
+    """
+    def one(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        asked = probes.filter(F.col("query_id").between(int(ids[0]), int(ids[-1]))).select("query_id", "center_id").toArrow()  # some lists a query
+        row, center = np.searchsorted(ids, asked.column(0).to_numpy()), asked.column(1).to_numpy()
+        order = np.lexsort((row, center))
+        cuts = np.flatnonzero(np.diff(center[order])) + 1
+        askers = {int(center[p[0]]): row[p] for p in np.split(order, cuts) if len(p)}
+        found = members.select("vec_id", "center_id", "v").mapInArrow(_in_lists(ids, q, askers, metric, k * lists), "query_id long, vec_id long, score double")
+        return ranked(found.distinct() if lists > 1 else found, k, metric)
+
+    return over_blocks(queries, "v", one, FOUND)

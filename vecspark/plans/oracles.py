@@ -1,7 +1,8 @@
 """SQL for the registered queries.
 
 Where a query uses a random rotation, the SQL holds the same matrix as constants.  Principal components
-hang on the data, so their constants are computed with NumPy from the table of ``VECSPARK_ORACLE_DIR``.
+hang on the data, so their constants are computed here, by singular values where the engine adds up moments,
+from the table of ``VECSPARK_ORACLE_DIR``.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import os
 import numpy as np
 
 from vecspark.functions import kernels
+from vecspark.operators.compress import VARIANTS
 from vecspark.plans import queries as Q
 
 ORACLE_DIR = os.environ.get("VECSPARK_ORACLE_DIR", "/root/testdata/sf0.01")
@@ -25,7 +27,7 @@ NORM = "sqrt(list_dot_product({0}, {0}))"
 
 
 def with_(*parts: str, recursive: bool = False) -> str:
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
 
 
 def l2(a: str, b: str) -> str:
@@ -183,7 +185,10 @@ def grid(values: list[int], name: str) -> str:
 def curve(bits: int | None) -> str:
     m = kernels.rotation(D, bits)
     deep = f"deep AS MATERIALIZED ({top('cp', HAM, K * max(Q.OVERSAMPLE), False, 'distance')})"
-    return with_(BASE, PAIRS, EXACT, codes("dc", "docs", m), codes("qc", "qs", m, ident="query_id", vec="q"), CODE_PAIRS, deep, grid(Q.OVERSAMPLE, "oversample")) + f"""
+    return with_(BASE, PAIRS, EXACT, codes("dc", "docs", m), codes("qc", "qs", m, ident="query_id", vec="q"), CODE_PAIRS, deep, grid(Q.OVERSAMPLE, "oversample")) + OVERSAMPLED
+
+
+OVERSAMPLED = f"""
 SELECT oversample, round(avg(CASE WHEN d.vec_id IS NULL THEN 0.0 ELSE 1.0 END), 3) AS recall FROM exact e CROSS JOIN grid
 LEFT JOIN deep d ON d.query_id = e.query_id AND d.vec_id = e.vec_id AND d.rank <= {K} * oversample GROUP BY oversample"""
 
@@ -207,19 +212,135 @@ qs2 AS MATERIALIZED (SELECT query_id, list({x.format(v='q')} ORDER BY j) AS q FR
 PAIRS2 = "p2 AS (SELECT query_id, vec_id, v, q FROM docs2, qs2)"
 
 
-def principal(quantised: bool = False):
-    """Mean and components of the documents (or of their int8 codes), computed here with NumPy."""
+def documents() -> np.ndarray:
     import pyarrow.parquet as pq
 
-    from vecspark.operators.compress import pca_of
-
     t = pq.read_table(f"{ORACLE_DIR}/embeddings.parquet", columns=["vec_id", "embedding"]).sort_by("vec_id")
     x = np.array(t.column("embedding").to_pylist(), dtype=float)
-    x = x[: int(len(x) * 0.9 + 1e-9)]
-    if quantised:
-        x = np.clip(np.rint(x @ ROT / (2 / 256)), -128, 127)
-    c = x - x.mean(0)
-    return pca_of(x.mean(0), c.T @ c / (len(x) - 1))
+    return x[: int(len(x) * 0.9 + 1e-9)]
+
+
+def principal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, components, variances) of rows by singular values; each component's largest entry is positive."""
+    mean = x.mean(0)
+    _, s, rows = np.linalg.svd(x - mean, full_matrices=False)
+    rows *= np.sign(rows[np.arange(len(rows)), np.abs(rows).argmax(1)])[:, None]
+    return mean, rows.T, s**2 / (len(x) - 1)
+
+
+def half(x: str) -> str:
+    """``x`` rounded to 11 significant bits, as half precision does (to 2 ** -24 below its normal range)."""
+    return f"(CASE WHEN {x} = 0 THEN 0.0 ELSE round_even({x} / 2.0 ** (greatest(floor(log2(abs({x}))), -14) - 10), 0) * 2.0 ** (greatest(floor(log2(abs({x}))), -14) - 10) END)"
+
+
+def halves(v: str) -> str:
+    return f"list_transform({v}, lambda h: {half('h')})"
+
+
+def int8(x: str) -> str:
+    return f"greatest(least(round_even({x} / {2 / 256}, 0), 127), -128)"
+
+
+def variant(name: str) -> str:
+    """CTEs docs_{name}, qs_{name} (id, vector) of a variant's steps, in the order of its name."""
+    precision, *steps = name.split("_")
+    parts, docs, qs, x, dim = [], "docs", "qs", documents(), D
+    for n, step in enumerate(steps):
+        if step == "int8":
+            m, mean = kernels.rotation(dim), np.zeros(dim)
+            x = np.clip(np.rint(x @ m / (2 / 256)), -128, 127)
+        else:
+            mean, w, _ = principal(x)
+            dim //= int(step[3:])
+            m = w[:, :dim]
+            x = (x - mean) @ m
+        t = f"{name}_{n}"
+        value = "list_dot_product(list_transform(list_zip({v}, mean), lambda x: x[1] - x[2]), w)"
+        if step == "int8":
+            value = int8("list_dot_product({v}, w)")
+        parts += [matrix(f"m_{t}", m), f"mu_{t} AS (SELECT {array(mean)} AS mean)"]
+        for out, source, i, v in ((f"docs_{t}", docs, "vec_id", "v"), (f"qs_{t}", qs, "query_id", "q")):
+            parts.append(f"{out} AS MATERIALIZED (SELECT {i}, list({value.format(v=v)} ORDER BY j) AS {v} FROM {source}, m_{t}, mu_{t} GROUP BY {i})")
+        docs, qs = f"docs_{t}", f"qs_{t}"
+    v, q = (halves("v"), halves("q")) if precision == "fp16" else ("v", "q")
+    return ",\n".join([*parts, f"docs_{name} AS MATERIALIZED (SELECT vec_id, {v} AS v FROM {docs})", f"qs_{name} AS MATERIALIZED (SELECT query_id, {q} AS q FROM {qs})"])
+
+
+def variants() -> str:
+    parts, rows = [BASE, PAIRS, EXACT], []
+    for name in sorted(VARIANTS):
+        parts += [variant(name), f"p_{name} AS (SELECT query_id, vec_id, v, q FROM docs_{name}, qs_{name})", f"f_{name} AS MATERIALIZED ({top('p_' + name, DOT, K)})"]
+        rows.append(f"SELECT '{name}' AS variant, round(avg(CASE WHEN f.vec_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall FROM exact e LEFT JOIN f_{name} f USING (query_id, vec_id)")
+    return with_(*parts) + " UNION ALL ".join(rows)
+
+
+def diversified() -> str:
+    """The choice for p2 centers of which a fifth, at most two, come from neighbours: one seed, the nearest center."""
+    t = Q.TWO
+    core = max(1, int(0.8 * t["p2"]))
+    budget = t["p2"] - core
+    assert 0 < budget <= 2
+    sql = two("and")
+    at = sql.index("s2 AS MATERIALIZED")
+    return sql[:at] + f"""ranked AS MATERIALIZED (SELECT query_id, c2, row_number() OVER (PARTITION BY query_id ORDER BY bit_count(xor(two.code, qc.code)), c2) AS r
+  FROM (SELECT DISTINCT query_id, c2 FROM s1 JOIN adj ON adj.c1 = s1.center_id) JOIN two ON two.center_id = c2 JOIN qc USING (query_id)),
+nn AS (SELECT x.center_id AS c2, y.center_id AS nbr, row_number() OVER (PARTITION BY x.center_id ORDER BY bit_count(xor(x.code, y.code)), y.center_id)::INT AS rank
+  FROM two x JOIN two y ON x.center_id <> y.center_id QUALIFY rank <= 4),
+fresh AS MATERIALIZED (SELECT o.query_id, o.c2 FROM ranked s JOIN nn ON s.r = 1 AND nn.c2 = s.c2 JOIN ranked o ON o.query_id = s.query_id AND o.c2 = nn.nbr AND o.r > {core}
+  QUALIFY row_number() OVER (PARTITION BY o.query_id ORDER BY nn.rank) <= {budget}),
+fill AS (SELECT query_id, c2, row_number() OVER (PARTITION BY query_id ORDER BY r) AS n FROM ranked ANTI JOIN fresh USING (query_id, c2) WHERE r > {core} AND r <= {2 * t['p2']}),
+s2 AS MATERIALIZED (SELECT query_id, c2 FROM ranked WHERE r <= {core} UNION ALL SELECT query_id, c2 FROM fresh
+  UNION ALL SELECT query_id, c2 FROM fill LEFT JOIN (SELECT query_id, count(*) AS had FROM fresh GROUP BY 1) USING (query_id) WHERE n <= {budget} - coalesce(had, 0))
+SELECT DISTINCT query_id, vec_id FROM s1 JOIN asg ON c1 = center_id JOIN s2 USING (query_id, c2)"""
+
+
+def tree(which: str) -> str:
+    """Three levels of k-means over unit vectors, and the best-first descent: one step opens each query's nearest node."""
+    t = Q.TREE
+    unit = lambda v: f"list_transform({v}, lambda y: y / {NORM.format(v)})"
+    level = lambda n, source, k, up: f"{up} AS MATERIALIZED (SELECT label::BIGINT AS vec_id, {unit('c')} AS v FROM {n}{Q.ROUNDS})"
+    parts = [
+        BASE, f"ud AS MATERIALIZED (SELECT vec_id, {unit('v')} AS v FROM docs)", f"uq AS MATERIALIZED (SELECT query_id, {unit('q')} AS q FROM qs)",
+        lloyd("ud", t["n1"], Q.ROUNDS, "ka"), level("ka", "ud", t["n1"], "t1"), lloyd("t1", t["n2"], Q.ROUNDS, "kb"), level("kb", "t1", t["n2"], "t2"),
+        lloyd("t2", t["n3"], Q.ROUNDS, "kc"), level("kc", "t2", t["n3"], "t3"),
+        "edges AS MATERIALIZED (SELECT 1 AS level, label AS parent, vec_id::INT AS child FROM kba UNION ALL SELECT 2, label, vec_id::INT FROM kca)",
+        f"""posts AS MATERIALIZED (SELECT center_id, vec_id FROM (SELECT t1.vec_id AS center_id, ud.vec_id, row_number() OVER (PARTITION BY ud.vec_id ORDER BY round({l2('ud.v', 't1.v')}, 9), t1.vec_id) AS r FROM ud, t1) WHERE r <= 2)""",
+    ]
+    if which == "levels":
+        return with_(*parts) + "SELECT level, parent, child FROM edges"
+    sizes = "SELECT center_id, count(*) AS n FROM posts GROUP BY 1"
+    if which == "postings":
+        return with_(*parts) + sizes
+    parts += [
+        f"sizes AS MATERIALIZED ({sizes})",
+        "nodes AS MATERIALIZED (SELECT 1 AS level, vec_id::INT AS id, v FROM t1 UNION ALL SELECT 2, vec_id::INT, v FROM t2 UNION ALL SELECT 3, vec_id::INT, v FROM t3)",
+        "far AS MATERIALIZED (SELECT query_id, level, id, round(1 - list_dot_product(v, q), 9) AS d FROM nodes, uq)",
+        "kids AS MATERIALIZED (SELECT f.query_id, e.level + 1 AS level, e.parent AS id, list({'d': f.d, 'level': f.level, 'id': f.id}) AS items FROM edges e JOIN far f ON f.level = e.level AND f.id = e.child GROUP BY ALL)",
+        f"""walk AS (
+  SELECT query_id, 0 AS step, list_sort(list({{'d': d, 'level': level, 'id': id}})) AS heap, NULL::INT AS leaf, 0::BIGINT AS held, 0 AS l3_opened, 0 AS l2_pool, 0 AS l2_opened, 0 AS l1_pool, 0 AS l1_opened
+  FROM far WHERE level = 3 GROUP BY query_id
+  UNION ALL
+  SELECT w.query_id, step + 1, list_sort(list_concat(w.heap[2:], coalesce(k.items, []))), CASE WHEN w.heap[1].level = 1 THEN w.heap[1].id END, held + coalesce(s.n, 0),
+    l3_opened + (w.heap[1].level = 3)::INT, l2_pool + CASE WHEN w.heap[1].level = 3 THEN len(coalesce(k.items, [])) ELSE 0 END, l2_opened + (w.heap[1].level = 2)::INT,
+    l1_pool + CASE WHEN w.heap[1].level = 2 THEN len(coalesce(k.items, [])) ELSE 0 END, l1_opened + (w.heap[1].level = 1)::INT
+  FROM walk w LEFT JOIN kids k ON k.query_id = w.query_id AND k.level = w.heap[1].level AND k.id = w.heap[1].id LEFT JOIN sizes s ON w.heap[1].level = 1 AND s.center_id = w.heap[1].id
+  WHERE len(w.heap) > 0 AND held < {t['beam']})""",
+        "found AS MATERIALIZED (SELECT DISTINCT query_id, vec_id FROM walk JOIN posts ON posts.center_id = walk.leaf)",
+    ]
+    if which == "stats":
+        return with_(*parts, recursive=True) + """SELECT query_id, l3_opened::INT AS l3_opened, l2_pool::INT AS l2_pool, l2_opened::INT AS l2_opened, l1_pool::INT AS l1_pool, l1_opened::INT AS l1_opened, step::INT AS popped, candidates
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY step DESC) AS r FROM walk) JOIN (SELECT query_id, count(*) AS candidates FROM found GROUP BY 1) USING (query_id) WHERE r = 1"""
+    return with_(*parts, "fp AS (SELECT query_id, vec_id, ud.v, uq.q FROM found JOIN ud USING (vec_id) JOIN uq USING (query_id))", recursive=True) + top("fp", DOT, K)
+
+
+def wide(source: str, ident: str, vec: str, name: str) -> str:
+    """Codes of vectors lengthened to more than 64 numbers: (ident, lo, hi)."""
+    m = kernels.rotation(Q.WIDE)
+    word = "(CASE WHEN {0} >= 9223372036854775808::HUGEINT THEN {0} - 18446744073709551616::HUGEINT ELSE {0} END)::BIGINT"
+    part = lambda a, b: f"sum(CASE WHEN j >= {a} AND j < {b} AND p >= 0 THEN 1::HUGEINT << (j - {a}) ELSE 0::HUGEINT END)"
+    return f"""{matrix(name + '_m', m)},
+{name} AS MATERIALIZED (SELECT {ident}, {word.format('lo')} AS lo, {word.format('hi')} AS hi FROM (SELECT {ident}, {part(0, 64)} AS lo, {part(64, Q.WIDE)} AS hi
+  FROM (SELECT {ident}, j, list_dot_product(list_concat({vec}, {vec}[1:{Q.WIDE - D}]), w) AS p FROM {source}, {name}_m) GROUP BY {ident}))"""
 
 
 def oracles() -> dict[str, str]:
@@ -234,6 +355,7 @@ def oracles() -> dict[str, str]:
         "l2_pairs": with_(BASE, PAIRS) + f"SELECT query_id, vec_id, round({l2('v', 'q')}, 6) + 0.0 AS distance FROM pairs",
         "unitnorm_l2": with_(BASE, PAIRS) + "SELECT query_id, vec_id, round(2 - 2 * list_dot_product(v, q), 6) + 0.0 AS distance FROM pairs",
         "cosine_distance": with_(BASE, PAIRS) + f"SELECT query_id, vec_id, round(1 - list_dot_product(v, q) / ({NORM.format('v')} * {NORM.format('q')}), 6) + 0.0 AS distance FROM pairs",
+        "vector_functions": with_(BASE, "m AS (SELECT count(*) AS m FROM qs)") + f"SELECT query_id, vec_id, {DOT} AS dot, round({l2('v', 'q')}, 6) + 0.0 AS l2, round(2 - 2 * list_dot_product(v, q), 6) + 0.0 AS unit_l2, round(1 - list_dot_product(v, q) / ({NORM.format('v')} * {NORM.format('q')}), 6) + 0.0 AS cosine_distance FROM docs, m, cut JOIN qs ON query_id = vec_id % m + n",
         "dim_means": with_(BASE) + "SELECT (pos - 1)::INT AS pos, round(avg(x), 9) + 0.0 AS mean FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY pos",
         "center_vectors": with_(BASE, "u AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e)") + "SELECT vec_id, (pos - 1)::INT AS pos, round(x - avg(x) OVER (PARTITION BY pos), 6) + 0.0 AS x FROM u",
         "exact_topk_ip": with_(BASE, PAIRS) + top("pairs", DOT, K),
@@ -289,20 +411,38 @@ def oracles() -> dict[str, str]:
     centred = "round(list_dot_product(list_transform(list_zip(v, mean), lambda x: x[1] - x[2]), list_transform(list_zip(q, mean), lambda x: x[1] - x[2])), 6) + 0.0"
     s["pca_topk_full"] = with_(BASE, mean, "pm AS (SELECT query_id, vec_id, v, q, mean FROM docs, qs, mu)") + top("pm", centred, K)
     if os.path.exists(f"{ORACLE_DIR}/embeddings.parquet"):
-        p = principal()
         n = D // Q.PCA_FACTOR
-        small = transformed(p.components[:, :n], p.mean)
+        x = documents()
+        mean_, w, variance = principal(x)
+        small = transformed(w[:, :n], mean_)
         s["pca_topk"] = with_(BASE, small, PAIRS2) + top("p2", DOT, K)
-        s["pca_explained"] = "SELECT component, round(variance, 9) + 0.0 AS variance FROM (VALUES " + ",".join(f"({i}::INT, {float(v)!r}::DOUBLE)" for i, v in enumerate(p.variance)) + ") t(component, variance)"
+        s["pca_explained"] = "SELECT component, round(variance, 9) + 0.0 AS variance FROM (VALUES " + ",".join(f"({i}::INT, {float(v)!r}::DOUBLE)" for i, v in enumerate(variance)) + ") t(component, variance)"
+        s["pca_recall_curve"] = with_(BASE, PAIRS, EXACT, small, PAIRS2, f"deep AS MATERIALIZED ({top('p2', DOT, K * max(Q.OVERSAMPLE))})", grid(Q.OVERSAMPLE, "oversample")) + OVERSAMPLED
         r = kernels.rotation(n)
         s["pca_binary_topk"] = with_(BASE, small, codes("dc", "docs2", r), codes("qc", "qs2", r, ident="query_id", vec="q"), CODE_PAIRS) + top("cp", HAM, K, False, "distance")
-        p8 = principal(True)
-        s["int8_pca_topk"] = with_(BASE, transformed(ROT, quantised=True), matrix("tm2", p8.components[:, :n]), f"mu2 AS (SELECT {array(p8.mean)} AS mean)", *(
-            f"{t}3 AS MATERIALIZED (SELECT {i}, list(list_dot_product(list_transform(list_zip({v}, mean), lambda x: x[1] - x[2]), w) ORDER BY j) AS {v} FROM {t}2, tm2, mu2 GROUP BY {i})" for t, i, v in (("docs", "vec_id", "v"), ("qs", "query_id", "q"))),
-            "p3 AS (SELECT query_id, vec_id, v, q FROM docs3, qs3)") + top("p3", DOT, K)
+        for name, key in (("fp16", "fp16_topk"), ("fp32_int8_pca4", "int8_pca_topk")):
+            s[key] = with_(BASE, variant(name), f"pv AS (SELECT query_id, vec_id, v, q FROM docs_{name}, qs_{name})") + top("pv", DOT, K)
+        s["variant_matrix"] = variants()
     s["byte_codes"] = with_(BASE, "u AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS j FROM e)", "b AS (SELECT vec_id, j // 8 AS n, sum(CASE WHEN x > 0 THEN 1 << (7 - (j % 8))::INT ELSE 0 END)::INT AS byte FROM u GROUP BY 1, 2)") + "SELECT vec_id, string_agg(printf('%02X', byte), '' ORDER BY n) AS code FROM b GROUP BY vec_id"
     s["random_normal"] = "SELECT range::INT AS pos, 2000::BIGINT AS n, true AS plausible FROM range(8)"
     s["rotated_kmeans"] = s["ivf_assign"]
+    s["fp16_roundtrip"] = with_(BASE) + f"SELECT vec_id, (pos - 1)::INT AS pos, {half('x')} AS x FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e)"
+    s["ivf_saved_search"], s["kcenter_many_passes"], s["csv_results"] = s["ivf_rerank"], s["kcenter_hamming"], s["hamming_topk"]
+    s["graph_search"] = s["graph_search_shards"] = hamming_sql(Q.GRAPH_TOP)
+    center_codes = codes("cc", f"(SELECT label::BIGINT AS center_id, c FROM km{Q.ROUNDS})", ROT, ident="center_id", vec="c")
+    s["ivf_recall_curve_binary"] = s["ivf_recall_curve"].replace(probe(max(Q.IVF_STEPS)), ",\n".join((center_codes, QUERY_CODES, code_probe("cc", max(Q.IVF_STEPS), "probe"))))
+    s["global_kmeans"] = with_(BASE, "g AS MATERIALIZED (SELECT vec_id, list_transform(v, lambda y: y / t) AS v FROM docs, (SELECT sqrt(sum(list_dot_product(v, v))) AS t FROM docs))", lloyd("g", Q.IVF_K, Q.ROUNDS, "km")) + "SELECT vec_id, label FROM kma"
+    s["chunked_ivf_search"] = chunked(Q.CHUNK_ROWS, Q.CHUNK_K, ",\n" + ",\n".join((
+        codes("cc", f"(SELECT (chunk * {Q.CHUNK_K} + label)::BIGINT AS center_id, c FROM c{Q.ROUNDS})", ROT, ident="center_id", vec="c"), QUERY_CODES, code_probe("cc", Q.IVF_PROBES, "probe"),
+        f"found AS (SELECT query_id, a.vec_id, v, q FROM probe JOIN a ON a.chunk * {Q.CHUNK_K} + a.label = center_id JOIN qs USING (query_id))")) + "\n" + top("found", DOT, K))
+    s["two_layer_diversified"] = diversified()
+    s |= {f"kmeans_tree_{k}": tree(k) for k in ("levels", "postings", "search")} | {"tree_stats": tree("stats")}
+    words = "SELECT vec_id, word, bits FROM (SELECT vec_id, 0 AS word, lo AS bits FROM c UNION ALL SELECT vec_id, 1, hi FROM c)"
+    s["wide_codes"] = with_(BASE, wide("e", "vec_id", "v", "c")) + words
+    far = "(bit_count(xor({a}.lo, {b}.lo)) + bit_count(xor({a}.hi, {b}.hi)))::INT"
+    s["wide_hamming_topk"] = with_(BASE, wide("docs", "vec_id", "v", "dc"), wide("qs", "query_id", "q", "qc"), "cp AS (SELECT query_id, vec_id, " + far.format(a="dc", b="qc") + " AS d FROM dc, qc)") + top("cp", "d", K, False, "distance")
+    both = "(bit_count(xor({a}.lo, {b}.lo)) + bit_count(xor({a}.hi, {b}.hi)))::INT"
+    s["wide_kcenter"] = with_(BASE, wide("docs", "vec_id", "v", "w"), "dc AS MATERIALIZED (SELECT vec_id, {'lo': lo, 'hi': hi} AS code FROM w)", greedy("dc", Q.KCENTER_K, "kc", both, "code")) + "SELECT center_id, vec_id FROM kc"
     s["stored_clusters"] = chunked(225, 8, f""", near AS MATERIALIZED (SELECT query_id, chunk, label FROM (SELECT query_id, chunk, label, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk * 8 + label) AS r
   FROM (SELECT query_id, chunk, label, round(list_dot_product(c, q), 6) AS s FROM c{Q.ROUNDS}, qs)) WHERE r <= 2),
 found AS (SELECT query_id, vec_id, v, q FROM near JOIN a USING (chunk, label) JOIN qs USING (query_id)) """ + top("found", DOT, K))

@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import vectors as V
 from vecspark.operators import clustering, compress, metrics, search
-from vecspark.operators.topk import hamming_top_k, rerank, top_k
+from vecspark.operators.topk import hamming_top_k, list_top_k, pair_scores, rerank, top_k
 from vecspark.sources import vectors as src
 
 DIM, K = 64, 10
 OVERSAMPLE = [1, 2, 5, 10]
 PCA_FACTOR, LSH_BITS = 4, (16, 32)
-IVF_K, IVF_STEPS, ROUNDS = 16, [1, 2, 4, 8, 16], 3
+IVF_K, IVF_PROBES, IVF_STEPS, ROUNDS = 16, 4, [1, 2, 4, 8, 16], 3
 CHUNK_ROWS, CHUNK_K = 150, 5
 KCENTER_K, KCENTER_TOP, KCENTER_SLOTS = 16, 4, 3
 TWO = {"k1": 16, "k2": 64, "p1": 4, "p2": 10}
 LOCAL = {"k1": 16, "k2": 4, "p1": 4, "p2": 8}
 TREE = {"n1": 32, "n2": 8, "n3": 3, "beam": 60}
-GRAPH_M, GRAPH_TOP = 16, 3
+GRAPH_M, GRAPH_TOP, GRAPH_BEAM = 16, 3, 256
+WIDE = 100
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -81,30 +82,25 @@ def global_norm(spark, d):
     return V.global_normalise(src.load(spark, d)).select("vec_id", _r(V.norm("v"), 9).alias("norm"))
 
 
-def _pairs(spark, d):
-    docs, queries = _split(spark, d)
-    near = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return docs.crossJoin(near)
-
-
-@register()
-def dot_pairs(spark, d):
-    return _pairs(spark, d).select("query_id", "vec_id", _r(V.dot("v", "q")).alias("score"))
-
-
-@register()
-def l2_pairs(spark, d):
-    return _pairs(spark, d).select("query_id", "vec_id", _r(V.squared_l2("v", "q")).alias("distance"))
+@register("dot_pairs", metric="ip")
+@register("l2_pairs", metric="l2")
+@register("unitnorm_l2", metric="unit")
+@register("cosine_distance", metric="cosine")
+def all_pairs(spark, d, metric):
+    """The scores of all documents against the queries, a stated set, in blocks."""
+    scores = pair_scores(*_split(spark, d), "ip" if metric == "unit" else metric, decimals=12)
+    s = F.col("score")
+    value = {"ip": s, "l2": s, "unit": 2 - 2 * s, "cosine": 1 - s}[metric]
+    return scores.select("query_id", "vec_id", _r(value).alias("score" if metric == "ip" else "distance"))
 
 
 @register()
-def unitnorm_l2(spark, d):
-    return _pairs(spark, d).select("query_id", "vec_id", _r(V.unit_squared_l2("v", "q")).alias("distance"))
-
-
-@register()
-def cosine_distance(spark, d):
-    return _pairs(spark, d).select("query_id", "vec_id", _r(V.cosine_distance("v", "q")).alias("distance"))
+def vector_functions(spark, d):
+    """The column functions on one pair for each document: it and a query, dealt in turn."""
+    docs, queries = _split(spark, d)
+    size = queries.agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")).first()
+    pairs = docs.withColumn("query_id", F.col("vec_id") % F.lit(size["n"]) + F.lit(size["first"])).join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    return pairs.select("query_id", "vec_id", _r(V.dot("v", "q")).alias("dot"), _r(V.squared_l2("v", "q")).alias("l2"), _r(V.unit_squared_l2("v", "q")).alias("unit_l2"), _r(V.cosine_distance("v", "q")).alias("cosine_distance"))
 
 
 @register()
@@ -234,9 +230,8 @@ def variant_matrix(spark, d):
 
 @register()
 def hamming_pairs(spark, d):
-    docs, queries = (_codes(x) for x in _split(spark, d))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
-    return docs.crossJoin(q).select("query_id", "vec_id", V.hamming("code", "q").alias("distance"))
+    found = pair_scores(*(_codes(x) for x in _split(spark, d)), "hamming", "code")
+    return found.select("query_id", "vec_id", F.col("score").cast("int").alias("distance"))
 
 
 @register("hamming_topk", k=K, bits=None)
@@ -255,6 +250,37 @@ def recall_curve(spark, d, bits):
     return metrics.recall_curve(top_k(docs, queries, K), deep, K, OVERSAMPLE)
 
 
+def _wide(vectors):
+    """Vectors of more than 64 numbers, so that codes have a second word, partly filled."""
+    return vectors.select("vec_id", F.concat("v", F.slice("v", 1, WIDE - DIM)).alias("v"))
+
+
+@register()
+def wide_codes(spark, d):
+    codes = compress.binary_codes(_wide(src.load(spark, d)), WIDE)
+    return codes.select("vec_id", F.posexplode("code").alias("word", "bits"))
+
+
+@register()
+def wide_hamming_topk(spark, d):
+    docs, queries = (compress.binary_codes(_wide(x), WIDE) for x in _split(spark, d))
+    return hamming_top_k(docs, queries, K)
+
+
+@register()
+def wide_kcenter(spark, d):
+    return clustering.kcenter(compress.binary_codes(_wide(_split(spark, d)[0]), WIDE), KCENTER_K).frame(spark).select("center_id", "vec_id")
+
+
+@register()
+def pca_recall_curve(spark, d):
+    """Oversampled search over reduced vectors."""
+    docs, queries = _split(spark, d)
+    p = compress.fit_pca(docs)
+    deep = top_k(p.reduce(docs, PCA_FACTOR), p.reduce(queries, PCA_FACTOR), K * max(OVERSAMPLE))
+    return metrics.recall_curve(top_k(docs, queries, K), deep, K, OVERSAMPLE)
+
+
 @register()
 def binary_rerank(spark, d):
     """Oversampled codes, then exact scores."""
@@ -286,11 +312,9 @@ def _centroids(docs, k=IVF_K, rounds=ROUNDS):
 
 
 def _ivf(spark, d):
+    """Documents, queries, and an index of lists under centroids that start from the first rows."""
     docs, queries = _split(spark, d)
-    c = _centroids(docs)
-    postings = clustering.assign(docs, c).select("vec_id", F.col("label").cast("long").alias("center_id"))
-    centers = clustering.centroid_frame(spark, c).select(F.col("vec_id").alias("center_id"), "v")
-    return docs, queries, centers, postings
+    return docs, queries, search.list_index(docs, _centroids(docs))
 
 
 @register()
@@ -321,47 +345,60 @@ def ivf_list_offsets(spark, d):
 
 @register()
 def ivf_probe_float(spark, d):
-    _, queries, centers, _ = _ivf(spark, d)
-    return search.probe(centers, queries, 4)
+    _, queries, index = _ivf(spark, d)
+    return index.probe(queries, IVF_PROBES)
+
+
+def _center_codes(centers):
+    return _codes(centers.select(F.col("center_id").alias("vec_id"), "v")).select(F.col("vec_id").alias("center_id"), "code")
 
 
 @register()
 def ivf_probe_binary(spark, d):
-    _, queries, centers, _ = _ivf(spark, d)
-    codes = _codes(centers.select(F.col("center_id").alias("vec_id"), "v")).select(F.col("vec_id").alias("center_id"), "code")
-    return search.probe(codes, _codes(queries), 4, "hamming", "code")
+    _, queries, index = _ivf(spark, d)
+    return search.probe(_center_codes(index.centers), _codes(queries), IVF_PROBES, "hamming", "code")
 
 
 @register()
 def ivf_candidates(spark, d):
-    _, queries, centers, postings = _ivf(spark, d)
-    return search.candidates(search.probe(centers, queries, 4), postings)
+    _, queries, index = _ivf(spark, d)
+    return search.candidates(index.probe(queries, IVF_PROBES), index.members)
 
 
 @register()
 def ivf_rerank(spark, d):
-    docs, queries, centers, postings = _ivf(spark, d)
-    return rerank(search.candidates(search.probe(centers, queries, 4), postings), docs, queries, K)
+    _, queries, index = _ivf(spark, d)
+    return index.search(queries, IVF_PROBES, K)
 
 
-def _ivf_curve(spark, d):
-    docs, queries, centers, postings = _ivf(spark, d)
-    wide = search.candidate_curve(search.probe(centers, queries, max(IVF_STEPS)), postings, IVF_STEPS)
-    return docs, queries, wide
+@register()
+def ivf_saved_search(spark, d):
+    """As ivf_rerank, from an index that was written and is read again."""
+    _, queries, index = _ivf(spark, d)
+    path = src.shared_path(spark, "lists")
+    index.save(path)
+    return search.ListIndex.load(spark, path).search(queries, IVF_PROBES, K)
 
 
-@register()
-def ivf_recall_curve(spark, d):
-    docs, queries, wide = _ivf_curve(spark, d)
+def _probe_curve(spark, d, binary):
+    docs, queries, index = _ivf(spark, d)
+    top = max(IVF_STEPS)
+    probes = search.probe(_center_codes(index.centers), _codes(queries), top, "hamming", "code") if binary else index.probe(queries, top)
     grid = spark.createDataFrame([(s,) for s in IVF_STEPS], "top int")
     exact = top_k(docs, queries, K).select("query_id", "vec_id").join(F.broadcast(grid))
-    hit = exact.join(wide.withColumn("hit", F.lit(1.0)), ["top", "query_id", "vec_id"], "left")
+    hit = exact.join(search.candidate_curve(probes, index.members, IVF_STEPS).withColumn("hit", F.lit(1.0)), ["top", "query_id", "vec_id"], "left")
     return hit.groupBy("top").agg(_r(F.avg(F.coalesce("hit", F.lit(0.0)))).alias("recall"))
 
 
+@register("ivf_recall_curve", binary=False)
+@register("ivf_recall_curve_binary", binary=True)
+def ivf_recall_curve(spark, d, binary):
+    return _probe_curve(spark, d, binary)
+
+
 def _share(spark, d):
-    docs, queries, centers, postings = _ivf(spark, d)
-    return metrics.candidate_share(search.candidates(search.probe(centers, queries, 4), postings), queries, docs.count())
+    docs, queries, index = _ivf(spark, d)
+    return metrics.candidate_share(search.candidates(index.probe(queries, IVF_PROBES), index.members), queries, docs.count())
 
 
 @register()
@@ -371,8 +408,8 @@ def candidate_share(spark, d):
 
 @register()
 def recall_quantiles(spark, d):
-    docs, queries, centers, postings = _ivf(spark, d)
-    found = search.candidates(search.probe(centers, queries, 4), postings)
+    docs, queries, index = _ivf(spark, d)
+    found = search.candidates(index.probe(queries, IVF_PROBES), index.members)
     return metrics.quantiles(metrics.recall(top_k(docs, queries, K), found, queries), "recall")
 
 
@@ -381,6 +418,13 @@ def share_histogram(spark, d):
     return metrics.histogram(_share(spark, d), "share")
 
 
+@register()
+def global_kmeans(spark, d):
+    """Clusters of vectors that were divided by the norm of the whole table."""
+    docs = V.global_normalise(_split(spark, d)[0])
+    return clustering.assign(docs, _centroids(docs)).select("vec_id", "label")
+
+
 @register()
 def chunked_ivf(spark, d):
     _, labels = clustering.chunked_kmeans(_split(spark, d)[0], CHUNK_ROWS, CHUNK_K, ROUNDS)
@@ -390,10 +434,9 @@ def chunked_ivf(spark, d):
 @register()
 def chunked_ivf_search(spark, d):
     docs, queries = _split(spark, d)
-    centers, labels = clustering.chunked_kmeans(docs, CHUNK_ROWS, CHUNK_K, ROUNDS)
-    codes = _codes(centers.select(F.col("center_id").alias("vec_id"), "v")).select(F.col("vec_id").alias("center_id"), "code")
-    probes = search.probe(codes, _codes(queries), 4, "hamming", "code")
-    return rerank(search.candidates(probes, labels.select("vec_id", F.col("center_id").cast("long"))), docs, queries, K)
+    centers, labels = clustering.chunked_kmeans(docs, CHUNK_ROWS, CHUNK_K, ROUNDS, vectors_too=True)
+    probes = search.probe(_center_codes(centers), _codes(queries), IVF_PROBES, "hamming", "code")
+    return list_top_k(labels, probes, queries, K)
 
 
 @register()
@@ -405,43 +448,54 @@ def sharded_cluster_sizes(spark, d):
 # ---- k-center
 
 
-@register()
-def kcenter_hamming(spark, d):
-    return clustering.kcenter(_codes(_split(spark, d)[0]), KCENTER_K).select("center_id", "vec_id")
+def _kc(spark, d):
+    codes = _codes(_split(spark, d)[0])
+    return codes, clustering.kcenter(codes, KCENTER_K)
+
+
+@register("kcenter_hamming")
+@register("kcenter_many_passes", pass_points=100)
+def kcenter_hamming(spark, d, pass_points=clustering.PASS_POINTS):
+    """The same centers whether a pass brings all points or a few."""
+    return clustering.kcenter(_codes(_split(spark, d)[0]), KCENTER_K, pass_points=pass_points).frame(spark).select("center_id", "vec_id")
 
 
 @register()
 def kcenter_l2(spark, d):
-    return clustering.kcenter(_split(spark, d)[0], KCENTER_K, "l2", "v").select("center_id", "vec_id")
+    return clustering.kcenter(_split(spark, d)[0], KCENTER_K, "l2", "v").frame(spark).select("center_id", "vec_id")
 
 
 @register()
 def kcenter_distinct(spark, d):
     """Centers that differ from each other."""
-    return clustering.kcenter(_codes(_split(spark, d)[0]), KCENTER_K).agg(F.count(F.lit(1)).alias("centers"), F.countDistinct("code").alias("distinct_centers"))
+    return _kc(spark, d)[1].frame(spark).agg(F.count(F.lit(1)).alias("centers"), F.countDistinct("code").alias("distinct_centers"))
 
 
 @register("kcenter_assign_top1", top=1)
 @register("kcenter_assign_topL", top=KCENTER_SLOTS)
 def kcenter_assigned(spark, d, top):
-    return clustering.kcenter_assign(_codes(_split(spark, d)[0]), KCENTER_K, top).select("vec_id", "slot", "center_id", F.col("distance").cast("int").alias("distance"))
+    codes, centers = _kc(spark, d)
+    return centers.assign(codes, top).select("vec_id", "slot", "center_id", F.col("distance").cast("int").alias("distance"))
 
 
 @register()
 def kcenter_sizes(spark, d):
-    return clustering.kcenter_assign(_codes(_split(spark, d)[0]), KCENTER_K).groupBy("center_id").agg(F.count(F.lit(1)).alias("n"))
+    codes, centers = _kc(spark, d)
+    return centers.assign(codes).groupBy("center_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register()
 def kcenter_majority(spark, d):
-    return clustering.kcenter(_codes(_split(spark, d)[0]), KCENTER_K, refine=True).select("center_id", F.col("code")[0].alias("code"))
+    codes, centers = _kc(spark, d)
+    return centers.majority(codes).frame(spark).select("center_id", F.col("code")[0].alias("code"))
 
 
 def _kcenter_search(spark, d):
     docs, queries = _split(spark, d)
     codes, q = _codes(docs), _codes(queries)
-    probes = search.probe(clustering.kcenter(codes, KCENTER_K), q, KCENTER_TOP, "hamming", "code")
-    return docs, queries, search.candidates(probes, clustering.kcenter_assign(codes, KCENTER_K, KCENTER_SLOTS))
+    centers = clustering.kcenter(codes, KCENTER_K)
+    probes = search.probe(centers.frame(spark), q, KCENTER_TOP, "hamming", "code")
+    return docs, queries, search.candidates(probes, centers.assign(codes, KCENTER_SLOTS))
 
 
 @register()
@@ -509,7 +563,7 @@ def kmeans_tree_postings(spark, d):
 @register()
 def kmeans_tree_search(spark, d):
     docs, queries, tree = _tree(spark, d)
-    return rerank(search.candidates(search.tree_probes(tree, queries, TREE["beam"]), tree.postings), docs, queries, K, "cosine")
+    return tree.search(queries, TREE["beam"], K)
 
 
 @register()
@@ -525,10 +579,12 @@ def knn_graph(spark, d):
     return search.knn_graph(_codes(_split(spark, d)[0]), GRAPH_M)
 
 
-@register()
-def graph_search(spark, d):
+@register("graph_search", rows=search.GRAPH_ROWS)
+@register("graph_search_shards", rows=200)
+def graph_search(spark, d, rows):
+    """A walk over layered graphs; with a beam this wide it finds what exact search finds on small tables."""
     docs, queries = _split(spark, d)
-    return search.graph_search(_codes(docs), _codes(queries), GRAPH_TOP, GRAPH_M)
+    return search.graph_search(search.graph_index(_codes(docs), GRAPH_M, rows=rows), _codes(queries), GRAPH_TOP, GRAPH_BEAM)
 
 
 # ---- stores, byte codes, reports
@@ -545,6 +601,22 @@ def random_normal(spark, d):
     return x.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), ((F.abs(F.avg("x")) < 0.1) & (F.abs(F.stddev("x") - 1) < 0.1)).alias("plausible"))
 
 
+@register()
+def latency_curve(spark, d):
+    """Wall time of exact search by the number of random vectors."""
+    from vecspark.operators import harness
+
+    return harness.latency_curve(spark, [1000, 2000], DIM)
+
+
+@register()
+def csv_results(spark, d):
+    """Search results written as CSV and read again."""
+    path = src.shared_path(spark, "csv")
+    src.write_csv(hamming_search(spark, d, K, None), path)
+    return spark.read.option("header", True).schema("query_id long, rank int, vec_id long, distance int").csv(path)
+
+
 @register()
 def rotated_kmeans(spark, d):
     """Clusters of rotated vectors are those of the vectors."""
@@ -565,9 +637,9 @@ def stored_clusters(spark, d):
 @register()
 def union_and_intersection(spark, d):
     """Candidates of two probes: in either, in both, appended."""
-    _, queries, centers, postings = _ivf(spark, d)
-    a = search.candidates(search.probe(centers, queries, 2), postings)
-    b = search.candidates(search.probe(centers, queries, 2, "ip"), postings)
+    _, queries, index = _ivf(spark, d)
+    a = search.candidates(index.probe(queries, 2), index.members)
+    b = search.candidates(index.probe(queries, 2, "ip"), index.members)
     return a.union(b).groupBy("query_id").agg(F.count(F.lit(1)).alias("appended"), F.countDistinct("vec_id").alias("in_either")).join(
         a.intersect(b).groupBy("query_id").agg(F.count(F.lit(1)).alias("in_both")), "query_id", "left").select("query_id", "appended", "in_either", F.coalesce("in_both", F.lit(0)).alias("in_both"))
 

@@ -6,6 +6,8 @@ the order in which rows are read.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,9 +85,35 @@ def read_clusters(spark: SparkSession, path: str, wanted: DataFrame | None = Non
     return rows if wanted is None else rows.join(wanted.distinct(), ["shard", "cluster"], "left_semi")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``, else the warehouse)."""
-    import uuid
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; removed when the driver ends.
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/vecspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    Only a session on one machine may do without that setting; it uses its warehouse.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    if not _made:
+        atexit.register(_clean)
+    path = f"{base.rstrip('/')}/vecspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if there is one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            remove(spark, path)
+        except Exception:  # the session may be gone by now; the folder's owner cleans up then
+            pass
