@@ -146,8 +146,8 @@ def fit_rates(members: DataFrame, targets: list[float], total: float | None = No
 def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, domain_col: str = DOMAIN, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, tokens, domains, posterior, rate, residual and copies of each row.
 
-    ``targets`` are shares by domain; those of domains without a row are left out (unless all are), and
-    the rest are scaled to sum to 1.  Copies are the rate rounded up or down at
+    ``targets`` are shares by domain, not negative; those of domains without a row are left out (unless all
+    are), and the rest are scaled to sum to 1, or are equal if all of them are 0.  Copies are the rate rounded up or down at
     random with the rate as their mean; the draw hangs on the id alone.  Rows without a known domain
     take no part in learning but get posteriors and rates as all others.  Null and empty texts have no
     tokens, an even posterior, and the rate that goes with it.  A null id draws as id 0; rows that
@@ -155,7 +155,10 @@ def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, domain_col: str =
     """
     present = {r[0] for r in docs.filter(F.col(domain_col).isin(list(targets))).select(domain_col).distinct().collect()}  # at most one row a target
     domains = sorted(present or targets)
-    weights = [targets[d] / sum(targets[x] for x in domains) for d in domains]
+    if min(targets.values()) < 0:
+        raise ValueError("targets must not be negative")
+    whole = sum(targets[d] for d in domains)
+    weights = [targets[d] / whole if whole else 1 / len(domains) for d in domains]
     logs = fit(docs, domain_col, domains, id_col, text_col, sample_rows)
     members = scratch.write(posteriors(docs, logs, id_col, text_col), "posteriors")
     rates = fit_rates(members, weights, total)

@@ -132,3 +132,50 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _either(word: str) -> str:
+    """A pattern of ASCII letters of which each may be in either case, without other letters that fold to them."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _oracle() -> str:
+    """SQL for the query: places of matches are found by cutting the text at them (U+E000 marks the cuts)."""
+    keyed = r"""["']?\x20*[:=]\x20*["']?"""
+    names = lambda *words: "(?:" + "|".join(map(_either, words)) + ")"
+    patterns = {
+        "assign": names("password", "passwd", "secret", "token", "api_?key") + keyed + "([A-Za-z0-9+/_.=-]+)",
+        "access": "(AKIA[A-Z0-9]+)", "hex": "([0-9a-f]+)",
+        "identifier": r"\b" + names("user(?:name)?", "login", "account", "client_?id", "access_?key_?id", "key_?id") + keyed + "([A-Za-z0-9+/_.@=-]{3,})",
+        "endpoint": r"(\b(?:" + "|".join([*map(_either, ("https?", "ftp", "ssh")), _either("jdbc") + ":[A-Za-z]+", *map(_either, ("postgres(?:ql)?", "mysql", "mongodb", "redis", "amqps?"))])
+        + r""")://[^\x20\x09-\x0D"'<>]+|\b""" + names("host", "endpoint", "server") + keyed + "[A-Za-z0-9.-]+(?::[0-9]+)?)",
+        "value": "([A-Za-z0-9+/_-]{16,}={0,2})",
+    }
+    least = {"assign": ASSIGN_LENGTH, "access": ACCESS_LENGTH, "hex": 24}
+    found = " UNION ALL ".join(
+        f"SELECT rid, {k} AS kind, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', 1) AS g, string_split(regexp_replace(t, '{p}', chr(57344), 'g'), chr(57344)) AS cut FROM d"
+        for k, p in enumerate(x.replace("'", "''") for x in patterns.values()))
+    keep = " OR ".join(f"kind = {KINDS.index(k)} AND length(g) >= {n}" for k, n in least.items())
+    digits, letters = "length(regexp_replace(m, '[^0-9]', '', 'g'))", "length(regexp_replace(m, '[^A-Za-z]', '', 'g'))"
+    apart = "(y.e <= x.s OR y.s >= x.e)"
+    near = f"(y.e <= x.s AND y.e > x.s - {SCOPE} OR y.s >= x.e AND y.s < x.e + {SCOPE})"
+    linked = " OR ".join(
+        f"x.kind = {KINDS.index(k)} AND " + " AND ".join(f"EXISTS (SELECT 1 FROM v y WHERE y.rid = x.rid AND y.kind IN ({','.join(str(KINDS.index(g)) for g in group)}) AND {near})" for group in needs)
+        for k, needs in NEEDS.items())
+    label = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END || ':' || s || ':' || e"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+r AS MATERIALIZED (SELECT rid, kind, m[i] AS m, g[i] AS g, (list_sum(list_transform(cut[1:i], lambda c: length(c))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda c: length(c))), 0))::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f)),
+p AS MATERIALIZED (SELECT rid, kind, s, s + length(m) AS e FROM r
+  WHERE {keep} OR kind IN (3, 4) OR kind = 5 AND {digits} >= 3 AND {letters} >= 3 AND len(list_distinct(string_split(m, ''))) >= 8),
+u AS MATERIALIZED (SELECT * FROM p x WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM p y WHERE y.rid = x.rid AND y.kind < 3 AND NOT {apart})),
+v AS MATERIALIZED (SELECT * FROM u x WHERE kind < 5 OR NOT EXISTS (SELECT 1 FROM u y WHERE y.rid = x.rid AND y.kind = 3 AND NOT {apart})),
+l AS (SELECT * FROM v x WHERE kind < 3 OR {linked}),
+a AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (kind > 2) AS more,
+  string_agg({label}, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg({label}, ',' ORDER BY s, kind) AS spans FROM l GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(more, 0) AS n_linked
+FROM d LEFT JOIN a USING (rid)"""
+
+
+ORACLE = _oracle()
