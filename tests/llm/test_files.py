@@ -59,6 +59,23 @@ def test_dictionary_comes_first_and_records_can_be_read_alone(spark, tmp_path):
     assert [b.partition(b"\r\n\r\n")[2] for _, b in warc.read_records(path)] == payloads
 
 
+def test_long_and_few_records_get_a_dictionary_too(tmp_path, spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(500)]
+    text = lambda n: " ".join(rng.choice(words, n)).encode()
+    cases = {"one record larger than the sample": [text(800_000)], "three long ones": [text(50_000) for _ in range(3)], "a few short ones": [text(300) for _ in range(12)]}
+    for k, (name, payloads) in enumerate(cases.items()):
+        a = warc.Archive(str(tmp_path / f"{k}.warc.zst"))
+        for i, p in enumerate(payloads):
+            a.add(warc.record(i, "u", p, hashlib.sha256(p).hexdigest(), None, False))
+        path, n, _, dictionary = a.close()
+        assert dictionary > 0 and n == len(payloads), name
+        assert [b.partition(b"\r\n\r\n")[2] for _, b in warc.read_records(path)] == payloads
+    df = spark.createDataFrame([(i, "u", text(700_000 * (i == 0) + 10).decode()) for i in range(4)], "page_id long, url string, html string")
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(warc.write_archives(df, scratch.new_path(spark, "w"))).collect()}
+    assert got == {r["page_id"]: r["html"] for r in df.collect()}
+
+
 def test_a_changed_payload_is_noticed(spark, tmp_path):
     a = warc.Archive(str(tmp_path / "a.warc.zst"))
     a.add(warc.record(1, "u", b"payload", hashlib.sha256(b"other").hexdigest(), None, False))

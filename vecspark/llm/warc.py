@@ -1,8 +1,8 @@
 """WARC archives with one Zstandard frame per record and a dictionary of their own.
 
 Each task writes its partition to archives: a dictionary is trained on the first records (a bounded
-number of bytes), embedded in a leading skippable frame, and every record becomes a frame that can be
-read alone.  A file gets its name only when it is whole, and the manifest, written from the tasks that
+number of bytes, long records in pieces), embedded in a leading skippable frame, and every record becomes a
+frame that can be read alone.  Only an archive of too few bytes to train on, some kilobytes, has none.  A file gets its name only when it is whole, and the manifest, written from the tasks that
 succeeded, says which files count; what a lost task left is not in it.
 """
 
@@ -25,8 +25,8 @@ SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\x
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 100
-#: Bytes that a dictionary is trained on at most, its size, records it needs, and the size at which a new archive begins.
-SAMPLE_BYTES, DICTIONARY_BYTES, SAMPLE_RECORDS, ARCHIVE_BYTES = 4 << 20, 64 << 10, 32, 256 << 20
+#: Bytes of records that wait for a dictionary, its size, the pieces that records are cut into for training, and the size at which a new archive begins.
+SAMPLE_BYTES, DICTIONARY_BYTES, PIECES, PIECE_BYTES, ARCHIVE_BYTES = 4 << 20, 64 << 10, 64, (256, 16 << 10), 256 << 20
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 
@@ -94,12 +94,16 @@ class Archive:
     def _begin(self) -> None:
         import zstandard
 
-        trained = None
-        if len(self.waiting) >= SAMPLE_RECORDS:
-            try:
-                trained = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, self.held // 16)), self.waiting)
-            except zstandard.ZstdError:  # too little or too even to learn from
-                trained = None
+        # long records count as many pieces, so that a few of them train as well as many short ones
+        n = min(max(self.held // PIECES, PIECE_BYTES[0]), PIECE_BYTES[1])
+        left, pieces = SAMPLE_BYTES, []
+        for data in self.waiting:
+            pieces += [data[at : at + n] for at in range(0, min(len(data), left), n)]
+            left = max(0, left - len(data))
+        try:
+            trained = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, self.held // 16)), pieces)
+        except zstandard.ZstdError:  # too little, or too even, to learn from
+            trained = None
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.out = self.fs.open_output_stream(self.part)
         if trained is not None:
