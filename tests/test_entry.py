@@ -4,7 +4,8 @@ import sys
 from helpers import ROOT
 
 WITHOUT = """
-import sys
+import sys, warnings
+warnings.simplefilter("error")
 sys.modules["vecspark.llm"] = None
 sys.modules["corpus_pipeline"] = None
 import __spark_entry__ as e
