@@ -87,15 +87,36 @@ def random_rows(vectors: DataFrame, k: int, seed: int = 1234) -> np.ndarray:
     return np.array([r["v"] for r in vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(k).collect()])
 
 
+#: Rounds in which k-means++ draws candidates, twice as many as clusters in each.
+DRAWS = 5
+
+
 def plus_plus(vectors: DataFrame, k: int, seed: int = 1234) -> np.ndarray:
-    """Spread-out first centroids: each next one is drawn with probability proportional to the squared distance to those before."""
-    chosen = random_rows(vectors, 1, seed)
-    for i in range(1, k):
+    """Spread-out first centroids, in a few passes whatever ``k``.
+
+    Each pass draws 2 k vectors with probability proportional to the squared distance to those drawn
+    before; of all that were drawn, weighted by how many vectors are nearest to each, ``k`` are picked one
+    after the other in the same way.  Fewer than ``k`` distinct vectors are repeated.
+    """
+    drawn = random_rows(vectors, 1, seed)
+    for i in range(DRAWS if k > 1 else 0):
         u = (F.pmod(F.xxhash64("vec_id", F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        key = F.when(F.col("distance") > 0, -F.log(u) / F.col("distance")).otherwise(F.lit(float("inf")))
-        pick = assign(vectors, chosen).select("vec_id", key.alias("key")).agg(F.min(F.struct("key", "vec_id")).alias("m")).first()["m"]["vec_id"]
-        chosen = np.vstack([chosen, vectors.filter(F.col("vec_id") == pick).first()["v"]])
-    return chosen
+        far = assign(vectors, drawn).filter("distance > 0").select("vec_id", (-F.log(u) / F.col("distance")).alias("key")).orderBy("key", "vec_id").limit(2 * k).select("vec_id")
+        new = vectors.join(F.broadcast(far), "vec_id").select("vec_id", "v").toArrow().sort_by("vec_id").combine_chunks()  # 2 k rows
+        if not new.num_rows:
+            break
+        drawn = np.vstack([drawn, kernels.matrix(new.column("v").combine_chunks())])
+    weight = np.zeros(len(drawn))
+    for r in assign(vectors, drawn).groupBy("label").count().collect():  # a row a drawn vector
+        weight[r["label"]] = r["count"]
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(drawn), p=weight / weight.sum()))]
+    near = kernels.squared_l2(drawn, drawn[chosen])[:, 0]
+    while len(chosen) < k:
+        p = weight * np.round(near, DECIMALS)
+        chosen.append(int(rng.choice(len(drawn), p=p / p.sum())) if p.sum() > 0 else chosen[0])
+        near = np.minimum(near, kernels.squared_l2(drawn, drawn[chosen[-1:]])[:, 0])
+    return drawn[chosen]
 
 
 INIT = {"first": first_rows, "random": random_rows, "k-means++": plus_plus}

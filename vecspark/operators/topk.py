@@ -261,7 +261,10 @@ def list_top_k(members: DataFrame, probes: DataFrame, queries: DataFrame, k: int
         order = np.lexsort((row, center))
         cuts = np.flatnonzero(np.diff(center[order])) + 1
         askers = {int(center[p[0]]): row[p] for p in np.split(order, cuts) if len(p)}
-        found = members.select("vec_id", "center_id", "v").mapInArrow(_in_lists(ids, q, askers, metric, k * lists), "query_id long, vec_id long, score double")
+        rows = members.select("vec_id", "center_id", "v")
+        if len(askers) <= FEW:  # reaches the scan, which skips what is not asked for
+            rows = rows.filter(F.col("center_id").isin(sorted(askers)))
+        found = rows.mapInArrow(_in_lists(ids, q, askers, metric, k * lists), "query_id long, vec_id long, score double")
         return ranked(found.distinct() if lists > 1 else found, k, metric)
 
     return over_blocks(queries, "v", one, FOUND)
