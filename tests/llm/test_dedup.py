@@ -202,6 +202,21 @@ def test_repeats_match_brute_force(spark, words):
     assert repeats(df) == brute_repeats(rows, 20)
 
 
+@pytest.mark.parametrize("rows_at_once", [1, 7, 10_000])
+def test_a_common_line_with_many_surroundings(spark, rows_at_once):
+    rng = random.Random(rows_at_once)
+    line = "this very line of a dozen words stands in most of all".split()
+    make = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    shared = make(9)  # with it the line makes repeats of a whole window
+    rows = [(i, " ".join(make(rng.randrange(25)) + (shared if i % 7 == 0 else []) + line + make(rng.randrange(25)))) for i in range(150)]
+    df = spark.createDataFrame(rows + [(200 + i, rows[3][1]) for i in range(20)], "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
+    try:
+        assert repeats(df) == brute_repeats(rows + [(200 + i, rows[3][1]) for i in range(20)], 20)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_long_documents_are_parsed_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", 50)
     rng = random.Random(9)

@@ -18,4 +18,6 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_warc": warc.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op9_secret_scan": secrets.ORACLE,
 }

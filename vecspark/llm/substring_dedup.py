@@ -7,7 +7,7 @@ are tracked: a symbol whose dependence lies inside a window is the same in every
 
 Every window of the given length takes the longest such symbol as its anchor (a window without one is
 its own anchor).  Neighbouring windows with one anchor form a segment, about one per ten words, and
-only segments are exchanged, grouped by anchor:
+only segments are exchanged, dealt by the names of all their words:
 
 - a segment equal to an earlier one holds repeated windows only;
 - a segment whose anchor has no other surroundings holds no repeated window besides;
@@ -15,7 +15,9 @@ only segments are exchanged, grouped by anchor:
 
 Equality is always that of 128-bit names of whole segments or windows.  Each task first compares what
 it holds itself and sends the earliest of equals on, so that a passage in a third of all documents is
-one row for each task.  Groups are read as sorted runs and never held.
+one row for each task.  Groups are read as sorted runs and never held.  An anchor with very many
+surroundings, as a common line has, is dealt to as many tasks as they are: anchors are only counted, and the
+few with several surroundings are looked up.
 """
 
 from __future__ import annotations
@@ -170,7 +172,7 @@ def _rows(anchor, name1, name2, doc, start, count) -> Iterator[pa.RecordBatch]:
     lead, repeated = _earliest(name1, name2, doc, start)
     yield _batch(anchor[lead], name1[lead], name2[lead], doc[lead], start[lead], count[lead], np.zeros(len(lead), bool))
     zero = np.zeros(len(repeated), np.int64)
-    yield _batch(doc[repeated], zero, zero, doc[repeated], start[repeated], count[repeated], np.ones(len(repeated), bool))
+    yield _batch(zero, doc[repeated], zero, doc[repeated], start[repeated], count[repeated], np.ones(len(repeated), bool))
 
 
 def _texts(column: pa.Array) -> Iterator[list[bytes]]:
@@ -207,41 +209,38 @@ def _segments(window: int, rounds: int):
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows sorted by (anchor, names, place): marks repeats, and passes on one segment of each name
-    under an anchor that has several names.  Only the last row and its lead are kept between batches."""
-    last = None  # anchor, name1, name2, doc, start, count of the last lead; whether it was passed on
+    """Reads rows sorted by (names, place): passes on the earliest of each name, and marks the rest as repeats.
+    Only the last lead is kept between batches."""
+    last = None  # name1, name2, doc, start of the last lead
     for b in batches:
         anchor, name1, name2, doc, start, count, mark = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-        done = np.flatnonzero(mark)
-        yield _out(doc[done], start[done], count[done], np.ones(len(done), bool))
-        keep = ~mark
-        anchor, name1, name2, doc, start, count = (x[keep] for x in (anchor, name1, name2, doc, start, count))
-        if last is not None:
-            anchor, name1, name2, doc, start, count = (np.concatenate(([v], x)).astype(x.dtype) for v, x in zip(last, (anchor, name1, name2, doc, start, count)))
-        if not len(anchor):
+        yield _out(np.zeros(mark.sum(), np.int64), doc[mark], start[mark], count[mark], np.ones(mark.sum(), bool))
+        anchor, name1, name2, doc, start, count = (x[~mark] for x in (anchor, name1, name2, doc, start, count))
+        if not len(doc):
             continue
-        other = np.ones(len(anchor), bool)
-        other[1:] = (anchor[1:] != anchor[:-1]) | (name1[1:] != name1[:-1]) | (name2[1:] != name2[:-1])
-        leads = np.flatnonzero(other)
-        lead = leads[np.cumsum(other) - 1]
-        again = np.flatnonzero((doc != doc[lead]) | (start != start[lead]))
-        yield _out(doc[again], start[again], count[again], np.ones(len(again), bool))
-        beside = anchor[leads][1:] == anchor[leads][:-1]
-        shared = np.append(beside, False) | np.append(False, beside)
-        if last is not None and last[6]:
-            shared[0] = False  # passed on before
-        open_ = leads[shared]
-        yield _out(doc[open_], start[open_], count[open_], np.zeros(len(open_), bool))
+        new = np.ones(len(doc), bool)
+        new[1:] = (name1[1:] != name1[:-1]) | (name2[1:] != name2[:-1])
+        goes_on = last is not None and (name1[0], name2[0]) == last[:2]
+        leads = np.flatnonzero(new)
+        own = leads[np.cumsum(new) - 1]
+        lead_doc, lead_start = doc[own], start[own]
+        if goes_on:
+            first = own == 0
+            lead_doc, lead_start = np.where(first, last[2], lead_doc), np.where(first, last[3], lead_start)
+        again = (doc != lead_doc) | (start != lead_start)
+        passed = leads[1:] if goes_on else leads
+        yield _out(anchor[passed], doc[passed], start[passed], count[passed], np.zeros(len(passed), bool))
+        yield _out(np.zeros(again.sum(), np.int64), doc[again], start[again], count[again], np.ones(again.sum(), bool))
         i = leads[-1]
-        was = bool(len(leads) == 1 and last is not None and last[6])
-        last = (anchor[i], name1[i], name2[i], doc[i], start[i], count[i], was or bool(shared[-1]))
+        if not (goes_on and i == 0):
+            last = (name1[i], name2[i], doc[i], start[i])
 
 
-_MARKS = "doc long, start int, count int, mark boolean"
+_MARKS = "anchor long, doc long, start int, count int, mark boolean"
 
 
 def _out(*arrays) -> pa.RecordBatch:
-    return _batch(*arrays, names=_MARKS, types=_ARROW[3:])
+    return _batch(*arrays, names=_MARKS, types=(_ARROW[0], *_ARROW[3:]))
 
 
 def _windows(window: int):
@@ -294,7 +293,7 @@ def _keep(window: int):
 
 
 def _sorted_runs(rows: DataFrame) -> DataFrame:
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "name1", "name2", "doc", "start").mapInArrow(_resolve, _MARKS)
+    return rows.repartition("name1").sortWithinPartitions("name1", "name2", "doc", "start").mapInArrow(_resolve, _MARKS)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -314,7 +313,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def places(rows: DataFrame) -> DataFrame:
         return rows.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("places"))
 
-    opened = texts.join(places(first.filter("not mark")), "doc").select("doc", "text", "places")
+    leads = first.filter("not mark")
+    shared = leads.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("_anchor"))
+    shared = scratch.lookup(scratch.write(shared, "shared-anchors"))
+    opened = texts.join(places(leads.join(shared, F.col("anchor") == F.col("_anchor"), "left_semi")), "doc").select("doc", "text", "places")
     second = _sorted_runs(opened.mapInArrow(_windows(window), _ROW)).filter("mark")
     marks = places(first.filter("mark").union(second).select("doc", "start", "count"))
     return texts.join(marks, "doc", "left").select("doc_id", "text", "places").mapInArrow(
@@ -324,3 +326,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS words FROM (SELECT *, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
+repeated AS MATERIALIZED (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS pos FROM repeated),
+cut AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d SEMI JOIN gone USING (doc_id))
+  ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+hit AS (SELECT DISTINCT doc_id FROM gone)
+SELECT d.doc_id, len(w) AS n_words, CASE WHEN hit.doc_id IS NULL THEN 0 ELSE len(w) - coalesce(n, 0) END AS n_removed,
+       sha256(CASE WHEN hit.doc_id IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
