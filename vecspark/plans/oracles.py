@@ -343,6 +343,22 @@ def wide(source: str, ident: str, vec: str, name: str) -> str:
   FROM (SELECT {ident}, j, list_dot_product(list_concat({vec}, {vec}[1:{Q.WIDE - D}]), w) AS p FROM {source}, {name}_m) GROUP BY {ident}))"""
 
 
+def random_values(normal: bool, n: int = 1000, dim: int = 8) -> str:
+    """Random values as constants, from XXH64 of the id, the position, the seed 0 and a salt, each hash the seed of the next."""
+    import xxhash
+
+    def uniform(i: int, d: int, salt: int) -> float:
+        h = 42
+        for part in (i.to_bytes(8, "little"), d.to_bytes(4, "little"), bytes(4), salt.to_bytes(4, "little")):
+            h = xxhash.xxh64_intdigest(part, h)
+        return (h % (1 << 52) + 0.5) / (1 << 52)
+
+    u, w = (np.array([[uniform(i, d, salt) for d in range(dim)] for i in range(n)]) for salt in (1, 2))
+    x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * w) if normal else u
+    rows = ",".join(f"({i},{d},{float(x[i, d])!r},{float(x[:, d].mean())!r},{float(x[:, d].std(ddof=1))!r})" for i in range(50) for d in range(dim))
+    return f"SELECT i::BIGINT AS vec_id, d::INT AS pos, round(x::DOUBLE, 9) + 0.0 AS x, round(m::DOUBLE, 6) + 0.0 AS mean, round(s::DOUBLE, 6) + 0.0 AS spread FROM (VALUES {rows}) t(i, d, x, m, s)"
+
+
 def oracles() -> dict[str, str]:
     pos = "SELECT vec_id, (pos - 1)::INT AS pos, round({0}, 6) + 0.0 AS x FROM (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS pos FROM (SELECT vec_id, {1} AS x FROM {2}))"
     s = {
@@ -403,7 +419,6 @@ def oracles() -> dict[str, str]:
         "two_layer_adjacency": two("adjacency"), "two_layer_neighbors": two("neighbors"), "two_layer_or": two("or"), "two_layer_and": two("and"),
         "local_l2_or": local("or"), "local_l2_and": local("and"),
         "knn_graph": with_(BASE, DOC_CODES) + f"SELECT vec_id, rank, nbr, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nbr)::INT AS rank FROM (SELECT a.vec_id, b.vec_id AS nbr, bit_count(xor(a.code, b.code))::INT AS distance FROM dc a JOIN dc b ON a.vec_id <> b.vec_id)) WHERE rank <= {Q.GRAPH_M}",
-        "random_uniform": "SELECT range::INT AS pos, 1000::BIGINT AS n, true AS plausible FROM range(8)",
     }
     for bits in Q.LSH_BITS:
         s[f"lsh_codes_{bits}"] = with_(BASE, codes("c", "e", kernels.rotation(D, bits))) + "SELECT vec_id, code FROM c"
@@ -424,7 +439,7 @@ def oracles() -> dict[str, str]:
             s[key] = with_(BASE, variant(name), f"pv AS (SELECT query_id, vec_id, v, q FROM docs_{name}, qs_{name})") + top("pv", DOT, K)
         s["variant_matrix"] = variants()
     s["byte_codes"] = with_(BASE, "u AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS j FROM e)", "b AS (SELECT vec_id, j // 8 AS n, sum(CASE WHEN x > 0 THEN 1 << (7 - (j % 8))::INT ELSE 0 END)::INT AS byte FROM u GROUP BY 1, 2)") + "SELECT vec_id, string_agg(printf('%02X', byte), '' ORDER BY n) AS code FROM b GROUP BY vec_id"
-    s["random_normal"] = "SELECT range::INT AS pos, 2000::BIGINT AS n, true AS plausible FROM range(8)"
+    s["random_uniform"], s["random_normal"] = random_values(False), random_values(True)
     s["rotated_kmeans"] = s["ivf_assign"]
     s["fp16_roundtrip"] = with_(BASE) + f"SELECT vec_id, (pos - 1)::INT AS pos, {half('x')} AS x FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e)"
     s["ivf_saved_search"], s["kcenter_many_passes"], s["csv_results"] = s["ivf_rerank"], s["kcenter_hamming"], s["hamming_topk"]
