@@ -97,7 +97,9 @@ class DigestIndex:
     def compact(self) -> None:
         """Rewrites each bucket's files as one, beside the old ones, which go when the new ones are whole."""
         beside = DigestIndex(self.spark, f"{self.path}.{uuid.uuid4().hex[:8]}", self.buckets)
-        self.read().repartition(self.buckets, "digest").write.insertInto(beside.table)
+        # read as plain files: a bucketed scan would count as dealt already
+        rows = self.spark.read.schema(self.read().schema).parquet(f"{self.path}/data")
+        rows.repartition(self.buckets, "digest").write.insertInto(beside.table)
         beside.close()
         fs = scratch.filesystem(self.spark, self.path)
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
