@@ -209,6 +209,14 @@ def test_tree_round_trip(spark, tmp_path):
     assert again.search(queries, 60, 5).collect() and set(again.search(queries, 60, 5).collect()) == set(tree.search(queries, 60, 5).collect())
 
 
+def test_descents_on_the_driver_and_on_executors_are_the_same(spark, monkeypatch):
+    docs, queries = src.load_split(spark, DATA)
+    tree = search.kmeans_tree(docs, 16, 4, 2)
+    here = set(tree.search(queries, 60, 5).collect())
+    monkeypatch.setattr(search, "FEW_DESCENTS", 0)
+    assert here and set(tree.search(queries, 60, 5).collect()) == here
+
+
 @pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
 def test_search_in_lists_is_the_same_as_fetching(spark, metric):
     x, q = RNG.standard_normal((200, 5)).round(1), RNG.standard_normal((30, 5)).round(1)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import kernels
 from vecspark.operators.clustering import centroid_frame, farthest_first, kcenter, kmeans, nearest
-from vecspark.operators.topk import list_top_k, over_blocks, rank_limit, top_k
+from vecspark.operators.topk import DECIMALS, best, list_top_k, over_blocks, rank_limit, top_k
 from vecspark.sources.vectors import shared_path
 
 
@@ -68,8 +68,20 @@ class ListIndex(Tables):
         return probe(self.centers, queries, top, metric)
 
     def search(self, queries: DataFrame, top: int, k: int, metric: str = "ip") -> DataFrame:
-        """(query_id, rank, vec_id, score): the k best members of the ``top`` nearest lists of each query."""
-        return list_top_k(self.members, self.probe(queries, top), queries, k, metric)
+        """(query_id, rank, vec_id, score): the k best members of the ``top`` nearest lists of each query.
+
+        Centroids, few by definition, are fetched once and met with each block of queries on the driver.
+        """
+        if not hasattr(self, "_fetched"):
+            rows = self.centers.toArrow().sort_by("center_id").combine_chunks()
+            self._fetched = rows.column("center_id").to_numpy(), kernels.matrix(rows.column("v").combine_chunks())
+        centers, points = self._fetched
+
+        def nearest_lists(ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = best(np.round(kernels.squared_l2(q, points), DECIMALS), centers, top)
+            return order[0], centers[order[1]]
+
+        return list_top_k(self.members, nearest_lists, queries, k, metric)
 
 
 def members(vectors: DataFrame, centroids: np.ndarray, top: int = 1) -> DataFrame:
@@ -263,8 +275,9 @@ def layered_graph(ids: np.ndarray, x: np.ndarray, m: int = GRAPH_LINKS, choice:
     """(level of each code, links by layer) of a navigable graph that codes enter one by one.
 
     A code is in layer l with probability m ** -l, drawn by its id.  Entering, it is linked in each of its
-    layers to ``m`` of the ``choice`` nearest codes that are there already, and they to it; a code that then
-    has more than 2 m links in the lowest layer (m above it) keeps a spread of the nearest.
+    layers to ``m`` of the ``choice`` nearest codes that are there already, and they to it.  A code keeps a
+    spread of the nearest, 2 m in the lowest layer and m above it, as soon as it has half as many again, and
+    in the end.
     """
     n = len(ids)
     u = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) + 0.5
@@ -274,6 +287,13 @@ def layered_graph(ids: np.ndarray, x: np.ndarray, m: int = GRAPH_LINKS, choice:
         here = np.flatnonzero(level >= layer)
         most = 2 * m if layer == 0 else m
         links: dict[int, list[int]] = {int(here[0]): []} if n else {}
+
+        def keep(j: int) -> None:
+            other = np.array(links[j])
+            d = kernels.hamming(x[j : j + 1], x[other])[0]
+            order = np.lexsort((other, d))
+            links[j] = _spread(other[order], d[order], x, most)
+
         for k in range(1, len(here)):
             i, before = int(here[k]), here[:k]
             d = kernels.hamming(x[i : i + 1], x[before])[0]
@@ -282,11 +302,11 @@ def layered_graph(ids: np.ndarray, x: np.ndarray, m: int = GRAPH_LINKS, choice:
             links[i] = _spread(before[near], d[near], x, m)
             for j in links[i]:
                 links[j].append(i)
-                if len(links[j]) > most:
-                    other = np.array(links[j])
-                    dj = kernels.hamming(x[j : j + 1], x[other])[0]
-                    order = np.lexsort((other, dj))
-                    links[j] = _spread(other[order], dj[order], x, most)
+                if len(links[j]) > most + most // 2:
+                    keep(j)
+        for j in links:
+            if len(links[j]) > most:
+                keep(j)
         layers.append(links)
     return level, layers
 
@@ -392,6 +412,10 @@ def graph_search(index: GraphIndex, queries: DataFrame, k: int = 3, beam: int =
     return over_blocks(queries, "code", one, "query_id long, rank int, vec_id long, distance int")
 
 
+#: Queries whose descents the driver does itself.
+FEW_DESCENTS = 64
+
+
 @dataclass
 class KMeansTree:
     """Three levels of centroids (few, on the driver), the members (vec_id, center_id, v) of the lowest, and their numbers."""
@@ -434,7 +458,16 @@ class KMeansTree:
 
     def search(self, queries: DataFrame, beam: int, k: int) -> DataFrame:
         """(query_id, rank, vec_id, score): the k best among the members of the leaves that a query opens."""
-        return list_top_k(self.members, tree_probes(self, queries, beam), queries, k, "cosine" if self.metric == "cosine" else "l2", self.lists)
+        sizes = self.list_sizes()
+
+        def opened(ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if len(q) > FEW_DESCENTS:  # on executors
+                rows = tree_probes(self, queries.filter(F.col("vec_id").between(int(ids[0]), int(ids[-1]))), beam).select("query_id", "center_id").toArrow()
+                return np.searchsorted(ids, rows.column(0).to_numpy()), rows.column(1).to_numpy()
+            leaves = [best_bins(self, sizes, v, beam)[0] for v in q]
+            return np.repeat(np.arange(len(q)), [len(x) for x in leaves]), np.array([c for x in leaves for c in x], np.int64)
+
+        return list_top_k(self.members, opened, queries, k, "cosine" if self.metric == "cosine" else "l2", self.lists)
 
     def edges(self, spark: SparkSession) -> DataFrame:
         rows = [(1, int(p), i) for i, p in enumerate(self.parent1)] + [(2, int(p), i) for i, p in enumerate(self.parent2)]

@@ -249,15 +249,19 @@ def _in_lists(ids: np.ndarray, q: np.ndarray, askers: dict[int, np.ndarray], met
     return run
 
 
-def list_top_k(members: DataFrame, probes: DataFrame, queries: DataFrame, k: int, metric: str = "ip", lists: int = 1) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best members (vec_id, center_id, v) of the lists that each query probes (query_id, center_id).
+def list_top_k(members: DataFrame, probes: DataFrame | Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], queries: DataFrame, k: int, metric: str = "ip", lists: int = 1) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best members (vec_id, center_id, v) of the lists that each query probes.
 
-    Members stay where they are read: a task scores each list's rows against the queries that probe it in
-    one matrix product.  A document may be in up to ``lists`` lists.
+    ``probes`` is a table (query_id, center_id) or gives (row of the block, center) of a block's ids and
+    vectors.  Members stay where they are read: a task scores each list's rows against the queries that
+    probe it in one matrix product.  A document may be in up to ``lists`` lists.
     """
     def one(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        asked = probes.filter(F.col("query_id").between(int(ids[0]), int(ids[-1]))).select("query_id", "center_id").toArrow()  # some lists a query
-        row, center = np.searchsorted(ids, asked.column(0).to_numpy()), asked.column(1).to_numpy()
+        if isinstance(probes, DataFrame):
+            asked = probes.filter(F.col("query_id").between(int(ids[0]), int(ids[-1]))).select("query_id", "center_id").toArrow()  # some lists a query
+            row, center = np.searchsorted(ids, asked.column(0).to_numpy()), asked.column(1).to_numpy()
+        else:
+            row, center = probes(ids, q)
         order = np.lexsort((row, center))
         cuts = np.flatnonzero(np.diff(center[order])) + 1
         askers = {int(center[p[0]]): row[p] for p in np.split(order, cuts) if len(p)}
