@@ -2,9 +2,10 @@
 
 A classifier learned from the table's own labelled rows gives each document a posterior over domains.
 Document rates (not negative, and without an upper bound) minimise the weighted squared distance of the
-domains' expected token totals from their targets, plus a small pull towards rate 1.  At the minimum a
-document's rate needs only its own posterior and one number per domain; those are found by Newton's
-method, each step of which aggregates a few numbers per domain over all documents.
+domains' expected token totals from their targets, plus a small pull towards rate 1, by projected gradient
+steps.  All steps add to rate 1 a multiple of the domains' errors weighted with the document's posterior,
+and the projection cuts at 0, so that a rate is known from its document's posterior and one number per
+domain: a step aggregates one total per domain over all documents, and nothing is kept for each document.
 """
 
 from __future__ import annotations
@@ -102,45 +103,44 @@ def fit_rates(members: DataFrame, targets: list[float], total: float | None = No
     """(doc_id, tokens, posterior, rate, residual): rates whose expected domain totals come nearest to ``targets`` x total tokens.
 
     ``residual`` is each domain's expected total less its target, as a share of all tokens.  ``members``
-    is read once a step.  A fit that has not converged after ``steps`` is an error.
+    is read once a step.  Steps are scaled by how far domains' posteriors overlap while no rate is cut at 0,
+    which is the most that curvature can be, so they are safe without a search along them; they have
+    momentum, which ends where it leads uphill.  A fit that has not converged after ``steps`` is an error.
     """
     n = len(targets)
     p, tokens = F.col("posterior"), F.col("tokens").cast("double")
-    sums = members.agg(F.sum(tokens).alias("all"), *(F.sum(tokens * p[i]).alias(f"t{i}") for i in range(n))).first()
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    sums = members.agg(F.sum(tokens).alias("all"), *(F.sum(tokens * p[i]).alias(f"t{i}") for i in range(n)), *(F.sum(tokens * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs)).first()
     have = sums["all"] or 0.0
     if not have:
         return members.withColumn("rate", F.lit(1.0)).withColumn("residual", F.array(*(F.lit(0.0) for _ in range(n))))
     goal = np.array(targets) * (have if total is None else total) / have
-    inverse = np.maximum(np.array([sums[f"t{i}"] for i in range(n)]) / have, 1e-6)  # of the domains' weights
-
-    def at(level: np.ndarray):
-        """The dual function, its gradient and second derivative, and the expected totals."""
-        rate = _rate(p, level, pull)
-        used = F.when(rate > 0, tokens).otherwise(0.0)
-        row = members.agg(
-            F.sum(tokens * rate * rate).alias("q"), *(F.sum(tokens * rate * p[i]).alias(f"t{i}") for i in range(n)),
-            *(F.sum(used * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(n) for j in range(i + 1))).first()
-        now = np.array([row[f"t{i}"] for i in range(n)]) / have
-        second = np.array([[row[f"m{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)]) / have / pull + np.diag(inverse)
-        return level @ (inverse * level) / 2 - goal @ level + pull * row["q"] / have / 2, inverse * level - goal + now, second, now
-
-    level = np.zeros(n)
-    value, slope, second, now = at(level)
-    for _ in range(steps):
+    share = np.maximum(np.array([sums[f"t{i}"] for i in range(n)]) / have, 1e-6)  # a domain's weight is the inverse
+    scale = np.diag(share)
+    for i, j in pairs:
+        scale[i, j] += sums[f"m{i}_{j}"] / have / pull
+        scale[j, i] = scale[i, j]
+
+    def totals(level: np.ndarray) -> np.ndarray:
+        """The domains' expected totals, as shares of all tokens."""
+        row = members.agg(*(F.sum(tokens * _rate(p, level, pull) * p[i]).alias(f"t{i}") for i in range(n))).first()
+        return np.array(list(row)) / have
+
+    level = at = np.zeros(n)
+    momentum = 1.0
+    for step in range(steps + 1):
+        now = totals(at)
+        slope = share * at - goal + now
         if np.abs(slope).max() <= TOLERANCE:
             break
-        move = -np.linalg.solve(second, slope)
-        size = 1.0
-        while True:
-            new = at(level + size * move)
-            if new[0] <= value + 1e-4 * size * (slope @ move) or np.abs(new[1]).max() <= TOLERANCE or size < 1e-6:
-                break
-            size /= 2
-        level = level + size * move
-        value, slope, second, now = new
-    if np.abs(slope).max() > TOLERANCE:
-        raise RuntimeError(f"rates have not converged after {steps} steps: gradient {np.abs(slope).max():.1e}")
-    return scratch.write(members.withColumn("rate", _rate(p, level, pull)).withColumn("residual", F.array(*(F.lit(float(x)) for x in now - goal))), "rates")
+        if step == steps:
+            raise RuntimeError(f"rates have not converged after {steps} steps: gradient {np.abs(slope).max():.1e}")
+        new = at - np.linalg.solve(scale, slope)
+        if slope @ (new - level) > 0:
+            momentum = 1.0
+        grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        level, at, momentum = new, new + (momentum - 1) / grown * (new - level), grown
+    return scratch.write(members.withColumn("rate", _rate(p, at, pull)).withColumn("residual", F.array(*(F.lit(float(x)) for x in now - goal))), "rates")
 
 
 def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, domain_col: str = DOMAIN, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
