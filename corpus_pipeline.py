@@ -72,7 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
