@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vecspark.operators import metrics
 from vecspark.operators.topk import top_k
-from vecspark.sources.vectors import random_vectors
+from vecspark.sources.vectors import CATALOGUE, load_split, random_vectors
 
 
 def milliseconds(df: DataFrame) -> float:
@@ -37,6 +40,12 @@ def latency_curve(spark: SparkSession, sizes: list[int], dim: int, k: int = 10,
     return spark.createDataFrame(rows, "n_vecs long, time_ms double")
 
 
+def per_provider(spark: SparkSession, base: str, one: Callable[[DataFrame, DataFrame, int], DataFrame], share: float = 0.9) -> DataFrame:
+    """The rows of ``one`` (documents, queries, length of the vectors) for each provider of the catalogue, with its name in front."""
+    parts = [one(*load_split(spark, base, p, share), p.dim).select(F.lit(name).alias("provider"), "*") for name, p in sorted(CATALOGUE.items())]
+    return reduce(DataFrame.union, parts)
+
+
 def report(reference: DataFrame, candidates: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame:
     """One row: quantiles of the candidates' share of all documents and of their recall."""
     share = metrics.quantiles(metrics.candidate_share(candidates, queries, n_docs), "share")

@@ -456,6 +456,13 @@ def oracles() -> dict[str, str]:
     s["wide_codes"] = with_(BASE, wide("e", "vec_id", "v", "c")) + words
     far = "(bit_count(xor({a}.lo, {b}.lo)) + bit_count(xor({a}.hi, {b}.hi)))::INT"
     s["wide_hamming_topk"] = with_(BASE, wide("docs", "vec_id", "v", "dc"), wide("qs", "query_id", "q", "qc"), "cp AS (SELECT query_id, vec_id, " + far.format(a="dc", b="qc") + " AS d FROM dc, qc)") + top("cp", "d", K, False, "distance")
+    longer = lambda v: f"list_concat({v}, {v}[1:{Q.WIDE - D}])"
+    mean = "SELECT '{0}' AS provider, round(avg(CASE WHEN f.vec_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall FROM {1} LEFT JOIN {2} f USING (query_id, vec_id)"
+    s["provider_recall"] = with_(
+        BASE, PAIRS, EXACT, DOC_CODES, QUERY_CODES, CODE_PAIRS, f"found AS ({top('cp', HAM, K, False, 'distance')})", wide("docs", "vec_id", "v", "wd"), wide("qs", "query_id", "q", "wq"),
+        "wp AS (SELECT query_id, vec_id, " + far.format(a="wd", b="wq") + " AS d FROM wd, wq)", f"wfound AS ({top('wp', 'd', K, False, 'distance')})",
+        f"wpairs AS (SELECT query_id, vec_id, {longer('v')} AS v, {longer('q')} AS q FROM docs, qs)", f"wexact AS MATERIALIZED ({top('wpairs', DOT, K)})",
+    ) + mean.format("default", "exact", "found") + " UNION ALL " + mean.format("wide", "wexact", "wfound")
     both = "(bit_count(xor({a}.lo, {b}.lo)) + bit_count(xor({a}.hi, {b}.hi)))::INT"
     s["wide_kcenter"] = with_(BASE, wide("docs", "vec_id", "v", "w"), "dc AS MATERIALIZED (SELECT vec_id, {'lo': lo, 'hi': hi} AS code FROM w)", greedy("dc", Q.KCENTER_K, "kc", both, "code")) + "SELECT center_id, vec_id FROM kc"
     s["stored_clusters"] = chunked(225, 8, f""", near AS MATERIALIZED (SELECT query_id, chunk, label FROM (SELECT query_id, chunk, label, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk * 8 + label) AS r

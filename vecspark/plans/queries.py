@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import vectors as V
-from vecspark.operators import clustering, compress, metrics, search
+from vecspark.operators import clustering, compress, harness, metrics, search
 from vecspark.operators.topk import hamming_top_k, list_top_k, pair_scores, rerank, top_k
 from vecspark.sources import vectors as src
 
@@ -23,7 +23,7 @@ TWO = {"k1": 16, "k2": 64, "p1": 4, "p2": 10}
 LOCAL = {"k1": 16, "k2": 4, "p1": 4, "p2": 8}
 TREE = {"n1": 32, "n2": 8, "n3": 3, "beam": 60}
 GRAPH_M, GRAPH_TOP, GRAPH_BEAM = 16, 3, 256
-WIDE = 100
+WIDE = src.CATALOGUE["wide"].dim
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -253,26 +253,32 @@ def recall_curve(spark, d, bits):
     return metrics.recall_curve(top_k(docs, queries, K), deep, K, OVERSAMPLE)
 
 
-def _wide(vectors):
-    """Vectors of more than 64 numbers, so that codes have a second word, partly filled."""
-    return vectors.select("vec_id", F.concat("v", F.slice("v", 1, WIDE - DIM)).alias("v"))
-
-
 @register()
 def wide_codes(spark, d):
-    codes = compress.binary_codes(_wide(src.load(spark, d)), WIDE)
+    """Codes with a second word, partly filled."""
+    codes = compress.binary_codes(src.load(spark, d, "wide"), WIDE)
     return codes.select("vec_id", F.posexplode("code").alias("word", "bits"))
 
 
 @register()
 def wide_hamming_topk(spark, d):
-    docs, queries = (compress.binary_codes(_wide(x), WIDE) for x in _split(spark, d))
+    docs, queries = (compress.binary_codes(x, WIDE) for x in src.load_split(spark, d, "wide"))
     return hamming_top_k(docs, queries, K)
 
 
 @register()
 def wide_kcenter(spark, d):
-    return clustering.kcenter(compress.binary_codes(_wide(_split(spark, d)[0]), WIDE), KCENTER_K).frame(spark).select("center_id", "vec_id")
+    return clustering.kcenter(compress.binary_codes(src.load_split(spark, d, "wide")[0], WIDE), KCENTER_K).frame(spark).select("center_id", "vec_id")
+
+
+@register()
+def provider_recall(spark, d):
+    """Recall of codes against exact search for each provider of the catalogue."""
+    def one(docs, queries, dim):
+        found = hamming_top_k(*(compress.binary_codes(x, dim) for x in (docs, queries)), K)
+        return metrics.mean_recall(top_k(docs, queries, K), found)
+
+    return harness.per_provider(spark, d, one)
 
 
 @register()
@@ -601,8 +607,6 @@ def byte_codes(spark, d):
 @register()
 def latency_curve(spark, d):
     """Wall time of exact search by the number of random vectors."""
-    from vecspark.operators import harness
-
     return harness.latency_curve(spark, [1000, 2000], DIM)
 
 
@@ -644,8 +648,6 @@ def union_and_intersection(spark, d):
 @register("cascade_report_and", both=True)
 @register("cascade_report_or", both=False)
 def cascade_report(spark, d, both):
-    from vecspark.operators import harness
-
     docs, queries = _split(spark, d)
     index, q = search.two_layer_index(_codes(docs), TWO["k1"], TWO["k2"]), _codes(queries)
     found = search.cascade(index, q, TWO["p1"], TWO["p2"], both)

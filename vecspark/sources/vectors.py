@@ -16,25 +16,34 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Provider:
-    """Where a kind of embeddings is kept: a path under the data folder, its columns and the vectors' length."""
+    """Where a kind of embeddings is kept: a path under the data folder, its columns and the vectors' length.
+
+    ``derive`` is an SQL expression over the stored vector ``v``, for kinds that are made from others.
+    """
 
     path: str
     column: str = "embedding"
     id_column: str = "vec_id"
     dim: int | None = None
+    derive: str | None = None
 
 
-CATALOGUE = {"default": Provider("embeddings.parquet", dim=64)}
+CATALOGUE = {
+    "default": Provider("embeddings.parquet", dim=64),
+    # longer than a word of a code, and not a whole number of words
+    "wide": Provider("embeddings.parquet", dim=100, derive="concat(v, slice(v, 1, 36))"),
+}
 
 
 def load(spark: SparkSession, base: str, provider: Provider | str = "default") -> DataFrame:
     """(vec_id, v) of a provider; a null vector or one of the wrong length fails the query."""
     p = CATALOGUE[provider] if isinstance(provider, str) else provider
-    v = F.col(p.column).cast("array<double>")
+    rows = spark.read.parquet(f"{base}/{p.path}").select(F.col(p.id_column).cast("long").alias("vec_id"), F.col(p.column).cast("array<double>").alias("v"))
+    v = F.expr(p.derive) if p.derive else F.col("v")
     if p.dim is not None:
         ok = F.coalesce(F.size(v) == p.dim, F.lit(False))
         v = F.when(ok, v).otherwise(F.raise_error(F.lit(f"vectors must have {p.dim} dimensions")).cast("array<double>"))
-    return spark.read.parquet(f"{base}/{p.path}").select(F.col(p.id_column).cast("long").alias("vec_id"), v.alias("v"))
+    return rows.select("vec_id", v.alias("v"))
 
 
 def chunk(vectors: DataFrame, offset: int, size: int) -> DataFrame:
