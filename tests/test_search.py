@@ -52,6 +52,32 @@ def test_queries_in_blocks_give_the_same(spark, monkeypatch):
     assert found(topk.top_k(x, q, 3)) == whole
 
 
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_all_of_few_documents_are_ranked_without_a_shuffle(spark, metric):
+    x, q = np.round(RNG.standard_normal((40, 4))), np.round(RNG.standard_normal((25, 4)))  # many ties
+    docs, queries = vector_frame(spark, x, range(39, -1, -1)).repartition(3), vector_frame(spark, q, range(100, 125)).repartition(5)
+    got = topk.top_k(docs, queries, topk.FEW + 1, metric)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.dtypes == topk.top_k(docs, queries, 40, metric).dtypes
+    assert sorted(got.collect()) == sorted(topk.top_k(docs, queries, 40, metric).collect()) and got.count() == 1000
+
+
+def test_a_task_holds_few_of_very_many_results(monkeypatch):
+    import pyarrow as pa
+
+    for name, value in (("FEW", 6), ("HELD", 100), ("SCORES", 160), ("ROWS", 4)):
+        monkeypatch.setattr(topk, name, value)
+    most, hold = [], topk.Best.add
+    monkeypatch.setattr(topk.Best, "add", lambda self, *x: (hold(self, *x), most.append(self.held)))
+    x, q = RNG.standard_normal((200, 4)), RNG.standard_normal((10, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(200)), kernels.lists(x)], names=["vec_id", "v"])
+    sent = pa.Table.from_batches(topk._local(np.arange(10), q, "ip", 150, 6)(iter([batch]))).to_pandas()
+    assert max(most) <= 250 and not sent.duplicated(["query_id", "vec_id"]).any()
+    for i in range(10):
+        rows = sent[sent.query_id == i].sort_values(["score", "vec_id"], ascending=[False, True])[:150]
+        assert rows.vec_id.tolist() == np.lexsort((np.arange(200), -np.round(x @ q[i], 6)))[:150].tolist()
+
+
 def test_recall_of_nothing_is_zero_and_row_is_kept(spark):
     ref = spark.createDataFrame([(1, 10), (1, 11), (2, 10)], "query_id long, vec_id long")
     got = {r["query_id"]: r["recall"] for r in metrics.recall(ref, spark.createDataFrame([(1, 10), (1, 10)], "query_id long, vec_id long")).collect()}

@@ -2,8 +2,9 @@
 
 Documents stay where they are read.  Queries go to every task in blocks of bounded size, one block after
 the other where they are many; a task scores a block of documents against a block of queries at once and
-sends on k rows per query, which a window with a rank limit merges.  Ranks are total: rounded score, then
-id.  Only ``rerank``, which gets its pairs from elsewhere, fetches documents by id and so moves them.
+sends on k rows per query, which a window with a rank limit merges.  Where all of a few documents are asked
+for, queries stay instead and documents go to every task.  Ranks are total: rounded score, then id.  Only
+``rerank``, which gets its pairs from elsewhere, fetches documents by id and so moves them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from vecspark.sources.vectors import shared_path
 BLOCK_NUMBERS, DECIMALS = 1 << 21, 6
 #: Documents scored at once at most, scores made at once, and queries that are fetched without being counted first.
 ROWS, SCORES, FEW = 4096, 1 << 22, 4096
+#: Results that a task holds for a block of queries, and results that it ranks at once where all are asked for.
+HELD, RANKED = 1 << 21, 1 << 20
 FOUND = "query_id long, rank int, vec_id long, score double"
 
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -42,15 +45,15 @@ METRICS: dict[str, tuple[Score, float]] = {
 }
 
 
-def query_blocks(queries: DataFrame, col: str, numbers: int = BLOCK_NUMBERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of blocks of at most about ``numbers`` numbers, by ranges of ids."""
+def query_blocks(queries: DataFrame, col: str, numbers: int = BLOCK_NUMBERS, *, most: int = 1 << 62) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of blocks of at most about ``numbers`` numbers and ``most`` rows, by ranges of ids."""
     rows = queries.select("vec_id", col)
     few = rows.limit(FEW + 1).toArrow()
-    if few.num_rows <= FEW and sum(len(x) for c in few.column(col).chunks for x in [c.flatten()]) <= numbers:
+    if few.num_rows <= min(FEW, most) and sum(len(x) for c in few.column(col).chunks for x in [c.flatten()]) <= numbers:
         parts = [few] if few.num_rows else []
     else:
         size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
-        blocks = max(1, -(-size["n"] * size["d"] // numbers))
+        blocks = max(1, -(-size["n"] * size["d"] // numbers), -(-size["n"] // most))
         edges = [] if blocks == 1 else sorted(set(queries.select(F.percentile_approx("vec_id", [i / blocks for i in range(1, blocks)], 10_000)).first()[0]))
         between = zip([None, *edges], [*edges, None])
         parts = (rows.filter((F.lit(low is None) | (F.col("vec_id") > F.lit(low))) & (F.lit(high is None) | (F.col("vec_id") <= F.lit(high)))).toArrow() for low, high in between)
@@ -61,14 +64,14 @@ def query_blocks(queries: DataFrame, col: str, numbers: int = BLOCK_NUMBERS) ->
             yield part.column("vec_id").to_numpy(), kernels.matrix(x, np.int64 if pa.types.is_integer(x.type.value_type) else np.float64)
 
 
-def over_blocks(queries: DataFrame, col: str, one: Callable[[np.ndarray, np.ndarray], DataFrame], schema: str) -> DataFrame:
-    """The rows that ``one`` makes of each block of queries.
+def over_blocks(queries: DataFrame, col: str, one: Callable[[np.ndarray, np.ndarray], DataFrame], schema: str, k: int = 1) -> DataFrame:
+    """The rows that ``one`` makes of each block of queries, so few that ``k`` results of each fit in a task.
 
     A single block is answered when its rows are asked for.  Several are answered one after the other and
     written, so that the driver never holds more than two of them.
     """
     spark = queries.sparkSession
-    blocks = query_blocks(queries, col)
+    blocks = query_blocks(queries, col, most=HELD // max(1, k) if k <= FEW else FEW)
     first, second = next(blocks, None), next(blocks, None)
     if first is None:
         return spark.createDataFrame([], schema)
@@ -99,10 +102,13 @@ def best(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 class Best:
-    """The k best (distance, id) of each query among all that a task has seen; holds a few times that many."""
+    """The k best (distance, id) of each query among all that a task has seen; holds a few times that many.
+
+    Where ``k`` is more than ``FEW`` it holds no more than a few times ``HELD``: ``surplus`` gives what is beyond.
+    """
 
     def __init__(self, queries: int, k: int):
-        self.room, self.k = 2 * queries * k + SCORES // 16, k
+        self.room, self.k = 2 * (queries * k if k <= FEW else HELD) + SCORES // 16, k
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
@@ -112,6 +118,12 @@ class Best:
         if self.held > self.room:
             self.cut()
 
+    def surplus(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All that is held, if that is too much even after a cut; who merges the tasks' rows cuts again."""
+        if self.k > FEW and self.held > HELD:
+            yield self.cut()
+            self.parts, self.held = [], 0
+
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
@@ -130,6 +142,11 @@ def _batch(query_ids: np.ndarray, doc_ids: np.ndarray, score: np.ndarray) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(doc_ids), pa.array(score + 0.0)], names=["query_id", "vec_id", "score"])
 
 
+def _results(query_ids: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], metric: str) -> pa.RecordBatch:
+    row, distance, doc_ids = found
+    return _batch(query_ids[row], doc_ids, distance * METRICS[metric][1])
+
+
 def _matrices(ids: np.ndarray, q: np.ndarray, metric: str, batches: Iterator[pa.RecordBatch], decimals: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(document ids, distances of all queries from them), SCORES at once at most."""
     score, dtype = METRICS[metric][0], np.int64 if metric == "hamming" else np.float64
@@ -146,8 +163,27 @@ def _local(ids: np.ndarray, q: np.ndarray, metric: str, k: int, decimals: int):
         for doc_ids, distance in _matrices(ids, q, metric, batches, decimals):
             row, col = best(distance, doc_ids, k)
             found.add(row, distance[row, col], doc_ids[col])
-        row, distance, doc_ids = found.cut()
-        yield _batch(ids[row], doc_ids, distance * METRICS[metric][1])
+            for part in found.surplus():
+                yield _results(ids, part, metric)
+        yield _results(ids, found.cut(), metric)
+
+    return run
+
+
+def _all_ranked(doc_ids: np.ndarray, docs: np.ndarray, metric: str, decimals: int):
+    """All documents, in order of id, ranked for each query of a task; ``RANKED`` results at once."""
+    score, sign = METRICS[metric]
+    step = max(1, RANKED // len(doc_ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                distance = np.round(score(kernels.matrix(part.column(1), docs.dtype), docs).astype(np.float64), decimals) + 0.0
+                order = np.argsort(distance, axis=1, kind="stable")
+                columns = [np.repeat(part.column(0).to_numpy(), len(doc_ids)), np.tile(np.arange(1, len(doc_ids) + 1, dtype=np.int32), part.num_rows),
+                           doc_ids[order].ravel(), np.take_along_axis(distance, order, 1).ravel() * sign + 0.0]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "rank", "vec_id", "score"])
 
     return run
 
@@ -174,7 +210,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, metric: str = "ip", col:
         found = docs.select("vec_id", col).mapInArrow(_local(ids, q, metric, k, decimals), "query_id long, vec_id long, score double")
         return ranked(found, k, metric)
 
-    return over_blocks(queries, col, one, FOUND)
+    if k > FEW:
+        size = docs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
+        if 0 < size["n"] <= k and size["n"] * size["d"] <= BLOCK_NUMBERS:
+            return queries.select("vec_id", col).mapInArrow(_all_ranked(*next(query_blocks(docs, col)), metric, decimals), FOUND)
+    return over_blocks(queries, col, one, FOUND, k)
 
 
 def ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
@@ -226,7 +266,7 @@ def rerank(candidates: DataFrame, docs: DataFrame, queries: DataFrame, k: int, m
 
 
 def _in_lists(ids: np.ndarray, q: np.ndarray, askers: dict[int, np.ndarray], metric: str, k: int):
-    score, sign = METRICS[metric]
+    score = METRICS[metric][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Best(len(ids), k)
@@ -243,8 +283,9 @@ def _in_lists(ids: np.ndarray, q: np.ndarray, askers: dict[int, np.ndarray], met
                     distance = np.round(score(q[rows], x[at]).astype(np.float64), DECIMALS) + 0.0
                     row, col = best(distance, doc_ids[at], k)
                     found.add(rows[row], distance[row, col], doc_ids[at[col]])
-        row, distance, doc_ids = found.cut()
-        yield _batch(ids[row], doc_ids, distance * sign)
+                    for part in found.surplus():
+                        yield _results(ids, part, metric)
+        yield _results(ids, found.cut(), metric)
 
     return run
 
@@ -271,4 +312,4 @@ def list_top_k(members: DataFrame, probes: DataFrame | Callable[[np.ndarray, np.
         found = rows.mapInArrow(_in_lists(ids, q, askers, metric, k * lists), "query_id long, vec_id long, score double")
         return ranked(found.distinct() if lists > 1 else found, k, metric)
 
-    return over_blocks(queries, "v", one, FOUND)
+    return over_blocks(queries, "v", one, FOUND, k * lists)
