@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from helpers import DATA, vector_frame
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import kernels
 from vecspark.operators import clustering, compress, metrics, search, topk
+from vecspark.plans.queries import QUERIES
 from vecspark.sources import vectors as src
 
 RNG = np.random.default_rng(2)
@@ -255,6 +258,23 @@ def test_search_in_lists_is_the_same_as_fetching(spark, metric):
         assert listed == found(topk.rerank(search.candidates(probes, members), docs, queries, 7, metric)) and len(listed) == 30
 
 
+@pytest.mark.parametrize("lists", [1, 3])
+def test_candidates_are_counted_without_being_listed(spark, lists):
+    docs, queries = src.load_split(spark, DATA)
+    centers = clustering.kmeans(docs, 8, max_iter=2, tol=-1, init="first")[0]
+    members = search.members(docs, centers, lists)
+    probes = search.probe(clustering.centroid_frame(spark, centers).withColumnRenamed("vec_id", "center_id"), queries.limit(20), 3)
+    got = metrics.shares(search.candidate_counts(probes, members, lists), queries, docs.count())
+    assert sorted(got.collect()) == sorted(metrics.candidate_share(search.candidates(probes, members), queries, docs.count()).collect())
+
+
+@pytest.mark.parametrize("name", ["candidate_share", "share_histogram"])
+def test_shares_make_no_pairs(spark, name):
+    """Pairs of a query and a candidate grow with the square of the table."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query_id" in plan and not re.search(r"Aggregate \[query_id#\d+L, vec_id#", plan)
+
+
 def test_list_index_round_trip(spark, tmp_path):
     docs, queries = src.load_split(spark, DATA)
     index = search.list_index(docs, clustering.kmeans(docs, 8, max_iter=2, tol=-1, init="first")[0])

@@ -33,8 +33,12 @@ def recall_curve(reference: DataFrame, found: DataFrame, k: int, factors: list[i
 
 def candidate_share(candidates: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame:
     """(query_id, n_candidates, share): distinct candidates of each query and their per cent of all documents."""
-    n = candidates.select("query_id", "vec_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    return queries.select(F.col("vec_id").alias("query_id")).join(n, "query_id", "left").select(
+    return shares(candidates.select("query_id", "vec_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), queries, n_docs)
+
+
+def shares(counts: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame:
+    """As ``candidate_share``, from counts (query_id, n); queries without one have none."""
+    return queries.select(F.col("vec_id").alias("query_id")).join(counts, "query_id", "left").select(
         "query_id", F.coalesce("n", F.lit(0)).alias("n_candidates"), F.round(F.coalesce("n", F.lit(0)) * 100.0 / n_docs, 6).alias("share"))
 
 

@@ -407,7 +407,7 @@ def ivf_recall_curve(spark, d, binary):
 
 def _share(spark, d):
     docs, queries, index = _ivf(spark, d)
-    return metrics.candidate_share(search.candidates(index.probe(queries, IVF_PROBES), index.members), queries, docs.count())
+    return metrics.shares(search.candidate_counts(index.probe(queries, IVF_PROBES), index.members), queries, docs.count())
 
 
 @register()
