@@ -275,6 +275,28 @@ def test_shares_make_no_pairs(spark, name):
     assert "Aggregate [query_id" in plan and not re.search(r"Aggregate \[query_id#\d+L, vec_id#", plan)
 
 
+@pytest.mark.parametrize("lists", [1, 3])
+def test_reference_rows_look_up_their_lists(spark, lists):
+    docs, queries = src.load_split(spark, DATA)
+    centers = clustering.kmeans(docs, 8, max_iter=2, tol=-1, init="first")[0]
+    members = search.members(docs, centers, lists)
+    probes = search.probe(clustering.centroid_frame(spark, centers).withColumnRenamed("vec_id", "center_id"), queries.limit(30), 4)
+    exact = topk.top_k(docs, queries, 7)
+    got = {(r["query_id"], r["vec_id"]): r["rank"] for r in search.hit_ranks(exact, probes, members).collect()}
+    assert set(got) == {(r["query_id"], r["vec_id"]) for r in exact.collect()}
+    for top in (1, 2, 4):
+        want = {(r["query_id"], r["vec_id"]) for r in search.candidates(probes.filter(f"rank <= {top}"), members).collect()} & set(got)
+        assert {p for p, rank in got.items() if rank is not None and rank <= top} == want
+
+
+@pytest.mark.parametrize("name", ["ivf_recall_curve"])
+def test_recall_curves_look_up_the_reference_only(spark, name):
+    """The lists' members meet the exact results by id; met with the probes alone they would make all candidates."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    joins = re.findall(r"Join (?:Inner|LeftOuter), \(+(\w+)#", plan)
+    assert "vec_id" in joins and not re.search(r"Join \w+, \(center_id#\d+L = center_id#\d+L\)", plan)
+
+
 def test_list_index_round_trip(spark, tmp_path):
     docs, queries = src.load_split(spark, DATA)
     index = search.list_index(docs, clustering.kmeans(docs, 8, max_iter=2, tol=-1, init="first")[0])

@@ -394,9 +394,8 @@ def _probe_curve(spark, d, binary):
     top = max(IVF_STEPS)
     probes = search.probe(_center_codes(index.centers), _codes(queries), top, "hamming", "code") if binary else index.probe(queries, top)
     grid = spark.createDataFrame([(s,) for s in IVF_STEPS], "top int")
-    exact = top_k(docs, queries, K).select("query_id", "vec_id").join(F.broadcast(grid))
-    hit = exact.join(search.candidate_curve(probes, index.members, IVF_STEPS).withColumn("hit", F.lit(1.0)), ["top", "query_id", "vec_id"], "left")
-    return hit.groupBy("top").agg(_r(F.avg(F.coalesce("hit", F.lit(0.0)))).alias("recall"))
+    hits = search.hit_ranks(top_k(docs, queries, K), probes, index.members).join(F.broadcast(grid))  # a row a step
+    return hits.groupBy("top").agg(_r(F.avg(F.when(F.col("rank") <= F.col("top"), 1.0).otherwise(0.0))).alias("recall"))
 
 
 @register("ivf_recall_curve", binary=False)
