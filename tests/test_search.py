@@ -297,6 +297,27 @@ def test_recall_curves_look_up_the_reference_only(spark, name):
     assert "vec_id" in joins and not re.search(r"Join \w+, \(center_id#\d+L = center_id#\d+L\)", plan)
 
 
+@pytest.mark.parametrize("lists", [1, 3])
+@pytest.mark.parametrize("pairs", [1 << 19, 7])
+def test_listed_documents_give_each_candidate_once(spark, lists, pairs, monkeypatch):
+    docs, queries = (compress.binary_codes(x, 64) for x in src.load_split(spark, DATA))
+    centers = clustering.kcenter(docs, 8)
+    probes = search.probe(centers.frame(spark), queries.limit(20), 2, "hamming", "code")
+    want = sorted(tuple(r) for r in search.candidates(probes, centers.assign(docs, lists)).collect())
+    got = search.list_candidates(centers.listed(docs, lists), probes, queries, "code")
+    assert sorted(tuple(r) for r in got.collect()) == want
+    monkeypatch.setattr(search, "PAIRS", pairs)
+    rows = centers.listed(docs, lists).toArrow().combine_chunks()
+    ids, q = next(topk.query_blocks(queries, "code"))
+    found = [b for b in search._pairs_in_lists(ids, topk.list_askers(probes, ids, q))(iter(rows.to_batches()))]
+    assert sorted((x["query_id"], x["vec_id"]) for b in found for x in b.to_pylist()) == want and max(b.num_rows for b in found) < 2 * pairs + docs.count()
+
+
+def test_probed_candidates_are_not_shuffled(spark):
+    plan = QUERIES["kcenter_probe"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "HashAggregate" not in plan
+
+
 def test_list_index_round_trip(spark, tmp_path):
     docs, queries = src.load_split(spark, DATA)
     index = search.list_index(docs, clustering.kmeans(docs, 8, max_iter=2, tol=-1, init="first")[0])

@@ -337,6 +337,18 @@ class Centers:
 
         return points.select("vec_id", self.col).mapInArrow(run, "vec_id long, slot int, center_id long, distance double")
 
+    def listed(self, points: DataFrame, top: int = 1) -> DataFrame:
+        """(vec_id, lists): the ``top`` nearest centers of each point, as ``assign`` gives them, in one row."""
+        centers, metric = self.points, self.metric
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows and len(centers):
+                    order = slots(kernels.matrix(b.column(1), centers.dtype), centers, top, metric)[0]
+                    yield pa.RecordBatch.from_arrays([b.column(0), kernels.lists(order.astype(np.int64))], names=["vec_id", "lists"])
+
+        return points.select("vec_id", self.col).mapInArrow(run, "vec_id long, lists array<long>")
+
     def majority(self, points: DataFrame) -> Centers:
         """Each center as the bitwise majority of the codes nearest to it, ties set; counted by task and added up."""
         centers = self.points

@@ -290,6 +290,18 @@ def _in_lists(ids: np.ndarray, q: np.ndarray, askers: dict[int, np.ndarray], met
     return run
 
 
+def list_askers(probes: DataFrame | Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], ids: np.ndarray, q: np.ndarray) -> dict[int, np.ndarray]:
+    """The rows of a block of queries that probe each list; ``probes`` as in ``list_top_k``."""
+    if isinstance(probes, DataFrame):
+        asked = probes.filter(F.col("query_id").between(int(ids[0]), int(ids[-1]))).select("query_id", "center_id").toArrow()  # some lists a query
+        row, center = np.searchsorted(ids, asked.column(0).to_numpy()), asked.column(1).to_numpy()
+    else:
+        row, center = probes(ids, q)
+    order = np.lexsort((row, center))
+    cuts = np.flatnonzero(np.diff(center[order])) + 1
+    return {int(center[p[0]]): row[p] for p in np.split(order, cuts) if len(p)}
+
+
 def list_top_k(members: DataFrame, probes: DataFrame | Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], queries: DataFrame, k: int, metric: str = "ip", lists: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best members (vec_id, center_id, v) of the lists that each query probes.
 
@@ -298,14 +310,7 @@ def list_top_k(members: DataFrame, probes: DataFrame | Callable[[np.ndarray, np.
     probe it in one matrix product.  A document may be in up to ``lists`` lists.
     """
     def one(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        if isinstance(probes, DataFrame):
-            asked = probes.filter(F.col("query_id").between(int(ids[0]), int(ids[-1]))).select("query_id", "center_id").toArrow()  # some lists a query
-            row, center = np.searchsorted(ids, asked.column(0).to_numpy()), asked.column(1).to_numpy()
-        else:
-            row, center = probes(ids, q)
-        order = np.lexsort((row, center))
-        cuts = np.flatnonzero(np.diff(center[order])) + 1
-        askers = {int(center[p[0]]): row[p] for p in np.split(order, cuts) if len(p)}
+        askers = list_askers(probes, ids, q)
         rows = members.select("vec_id", "center_id", "v")
         if len(askers) <= FEW:  # reaches the scan, which skips what is not asked for
             rows = rows.filter(F.col("center_id").isin(sorted(askers)))

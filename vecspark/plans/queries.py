@@ -503,17 +503,19 @@ def _kcenter_search(spark, d):
     codes, q = _codes(docs), _codes(queries)
     centers = clustering.kcenter(codes, KCENTER_K)
     probes = search.probe(centers.frame(spark), q, KCENTER_TOP, "hamming", "code")
-    return docs, queries, search.candidates(probes, centers.assign(codes, KCENTER_SLOTS))
+    return docs, queries, codes, q, centers, probes
 
 
 @register()
 def kcenter_probe(spark, d):
-    return _kcenter_search(spark, d)[2]
+    _, _, codes, q, centers, probes = _kcenter_search(spark, d)
+    return search.list_candidates(centers.listed(codes, KCENTER_SLOTS), probes, q, "code")
 
 
 @register()
 def kcenter_recall(spark, d):
-    docs, queries, found = _kcenter_search(spark, d)
+    docs, queries, codes, _, centers, probes = _kcenter_search(spark, d)
+    found = search.candidates(probes, centers.assign(codes, KCENTER_SLOTS))
     return metrics.recall(top_k(docs, queries, K), found).select("query_id", _r(F.col("recall")).alias("recall"))
 
 
