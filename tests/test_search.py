@@ -289,8 +289,8 @@ def test_reference_rows_look_up_their_lists(spark, lists):
         assert {p for p, rank in got.items() if rank is not None and rank <= top} == want
 
 
-@pytest.mark.parametrize("name", ["ivf_recall_curve", "ivf_recall_curve_binary"])
-def test_recall_curves_look_up_the_reference_only(spark, name):
+@pytest.mark.parametrize("name", ["ivf_recall_curve", "ivf_recall_curve_binary", "kcenter_recall"])
+def test_recall_looks_up_the_reference_only(spark, name):
     """The lists' members meet the exact results by id; met with the probes alone they would make all candidates."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     joins = re.findall(r"Join (?:Inner|LeftOuter), \(+(\w+)#", plan)

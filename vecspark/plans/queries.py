@@ -515,8 +515,8 @@ def kcenter_probe(spark, d):
 @register()
 def kcenter_recall(spark, d):
     docs, queries, codes, _, centers, probes = _kcenter_search(spark, d)
-    found = search.candidates(probes, centers.assign(codes, KCENTER_SLOTS))
-    return metrics.recall(top_k(docs, queries, K), found).select("query_id", _r(F.col("recall")).alias("recall"))
+    hits = search.hit_ranks(top_k(docs, queries, K), probes, centers.assign(codes, KCENTER_SLOTS))
+    return hits.groupBy("query_id").agg(_r(F.avg(F.when(F.col("rank").isNotNull(), 1.0).otherwise(0.0))).alias("recall"))
 
 
 # ---- two layers
