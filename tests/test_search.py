@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DATA, vector_frame
 from pyspark.sql import functions as F
@@ -338,6 +339,49 @@ def test_many_scores_are_cut_as_they_come(monkeypatch):
     assert list(zip(*(c.tolist() for c in best.cut()))) == want
 
 
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2", "hamming"])
+def test_later_blocks_are_only_looked_at_up_to_the_worst_result(metric, monkeypatch):
+    """Documents come in any order of ids, with ties and with scores that are equal after rounding only."""
+    rng, calls, whole = np.random.default_rng(5), [], topk.best
+    x = np.vstack([np.round(rng.standard_normal((600, 4))), rng.standard_normal((300, 4))])
+    x[500:560] = x[500] + rng.standard_normal((60, 4)) * 1e-7
+    x = kernels.pack_bits(rng.standard_normal((900, 64)) >= 0) if metric == "hamming" else x
+    ids, q = rng.permutation(len(x)) * 7, x[::20]
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 90]), kernels.lists(x[i : i + 90])], names=["vec_id", "v"]) for i in range(0, len(x), 90)]
+    monkeypatch.setattr(topk, "SCORES", 30 * len(q))
+    monkeypatch.setattr(topk, "best", lambda *a: calls.append(0) or whole(*a))
+    for k, most in ((1, 15), (12, 15), (30, 30), (2000, 30)):  # of 30 blocks
+        calls.clear()
+        got = list(topk._local(np.arange(len(q)), q, metric, k, 6)(iter(batches)))
+        distance = np.round(topk.METRICS[metric][0](q, x).astype(float), 6) + 0.0
+        want = [(i, int(ids[j]), distance[i, j] * topk.METRICS[metric][1] + 0.0) for i in range(len(q)) for j in np.lexsort((ids, distance[i]))[:k]]
+        assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want and len(calls) <= most
+
+
+def test_very_many_ties_are_cut_block_by_block(monkeypatch):
+    held, add = [], topk.Best.add
+    monkeypatch.setattr(topk.Best, "add", lambda self, row, *x: held.append(len(row)) or add(self, row, *x))
+    found = topk.Best(2, 3)
+    for ids in np.split(np.arange(400)[::-1], 8):  # all are as near, and those that come later go before
+        found.add_block(np.zeros((2, 50)), ids, 6)
+    assert max(held) <= 6 and found.cut()[2].tolist() == [0, 1, 2] * 2
+
+
+@pytest.mark.parametrize("metric", ["l2", "hamming"])
+def test_centers_are_probed_where_the_queries_lie(spark, metric, monkeypatch):
+    docs, queries = src.load_split(spark, DATA)
+    col, (a, b) = ("v", (docs, queries)) if metric == "l2" else ("code", (compress.binary_codes(x, 64) for x in (docs, queries)))
+    centers = a.filter("vec_id < 20").withColumnRenamed("vec_id", "center_id")
+    want = topk.top_k(a.filter("vec_id < 20"), b, 6, metric, col).selectExpr("query_id", "rank", "vec_id as center_id")
+    got = search.probe(centers, b, 6, metric, col)
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert search.probe(centers, b, 99, metric, col).count() == 20 * b.count()
+    assert not search.probe(centers, b, 0, metric, col).count() and not search.probe(centers.limit(0), b, 6, metric, col).count()
+    monkeypatch.setattr(topk, "FEW", 19)
+    assert sorted(search.probe(centers, b, 6, metric, col).collect()) == sorted(want.collect())
+
+
 def test_graph_finds_itself_and_nearly_all(spark, tmp_path):
     docs, _ = src.load_split(spark, DATA)
     codes = compress.binary_codes(docs, 64)

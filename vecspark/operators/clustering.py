@@ -149,7 +149,8 @@ def inertia(vectors: DataFrame, centroids: np.ndarray) -> float:
 
 
 def centroid_frame(spark, centroids: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "vec_id long, v array<double>")
+    rows = pa.table({"vec_id": pa.array(np.arange(len(centroids))), "v": kernels.lists(np.asarray(centroids, np.float64))})
+    return spark.createDataFrame(rows, "vec_id long, v array<double>")
 
 
 def _lloyd(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:

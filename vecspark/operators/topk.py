@@ -2,9 +2,11 @@
 
 Documents stay where they are read.  Queries go to every task in blocks of bounded size, one block after
 the other where they are many; a task scores a block of documents against a block of queries at once and
-sends on k rows per query, which a window with a rank limit merges.  Where all of a few documents are asked
-for, queries stay instead and documents go to every task.  Ranks are total: rounded score, then id.  Only
-``rerank``, which gets its pairs from elsewhere, fetches documents by id and so moves them.
+sends on k rows per query, which a window with a rank limit merges.  Once a task has k documents of each
+query, it ranks of later blocks only what is no worse than the k-th.  Where all of a few documents are asked
+for, or documents are expected to be few, queries stay instead and documents go to every task.  Ranks are
+total: rounded score, then id.  Only ``rerank``, which gets its pairs from elsewhere, fetches documents by id
+and so moves them.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def inner_product(queries: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    return -(queries @ docs.T)
+    return queries @ -docs.T
 
 
 def cosine(queries: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -110,7 +112,35 @@ class Best:
     def __init__(self, queries: int, k: int):
         self.room, self.k = 2 * (queries * k if k <= FEW else HELD) + SCORES // 16, k
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = 0
+        self.held, self.queries = 0, queries
+        self.last: tuple[np.ndarray, np.ndarray] | None = None  # (distance, id) of each query's k-th, once all have k
+
+    def add_block(self, distance: np.ndarray, ids: np.ndarray, decimals: int) -> None:
+        """Adds what can be among the k best of a block of distances (a row a query) that are not rounded yet.
+
+        Only those no farther than the k-th so far are rounded and compared with it, unless they are more than
+        twice the k best of the block.
+        """
+        if self.last is not None:
+            worst, last = self.last
+            near = np.flatnonzero(distance <= (worst + 10.0 ** -decimals + 1e-14 * np.abs(worst))[:, None])  # rounding moves by less
+            if len(near) <= 2 * self.queries * self.k:
+                row, col = np.divmod(near, len(ids))
+                d, found = np.round(distance.ravel()[near], decimals) + 0.0, ids[col]
+                keep = (d < worst[row]) | ((d == worst[row]) & (found < last[row]))
+                self.add(row[keep], d[keep], found[keep])
+                return self._settle()
+        d = np.round(distance, decimals) + 0.0
+        row, col = best(d, ids, self.k)
+        self.add(row, d[row, col], ids[col])
+        self._settle()
+
+    def _settle(self) -> None:
+        """Cuts when k of each query are held for the first time, and whenever twice as many are."""
+        if 0 < self.k <= FEW and self.held >= (1 if self.last is None else 2) * self.queries * self.k:
+            row, distance, ids = self.cut()
+            if self.held == self.queries * self.k:
+                self.last = distance[self.k - 1 :: self.k], ids[self.k - 1 :: self.k]
 
     def add(self, row: np.ndarray, distance: np.ndarray, ids: np.ndarray) -> None:
         self.parts.append((row, distance, ids))
@@ -147,22 +177,21 @@ def _results(query_ids: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndar
     return _batch(query_ids[row], doc_ids, distance * METRICS[metric][1])
 
 
-def _matrices(ids: np.ndarray, q: np.ndarray, metric: str, batches: Iterator[pa.RecordBatch], decimals: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document ids, distances of all queries from them), SCORES at once at most."""
+def _matrices(ids: np.ndarray, q: np.ndarray, metric: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document ids, distances of all queries from them, not rounded), SCORES at once at most."""
     score, dtype = METRICS[metric][0], np.int64 if metric == "hamming" else np.float64
     step = max(1, min(ROWS, SCORES // max(1, len(ids))))
     for b in batches:
         for at in range(0, b.num_rows, step):
             part = b.slice(at, step)
-            yield part.column(0).to_numpy(), np.round(score(q, kernels.matrix(part.column(1), dtype)).astype(np.float64), decimals) + 0.0
+            yield part.column(0).to_numpy(), score(q, kernels.matrix(part.column(1), dtype))
 
 
 def _local(ids: np.ndarray, q: np.ndarray, metric: str, k: int, decimals: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Best(len(ids), k)
-        for doc_ids, distance in _matrices(ids, q, metric, batches, decimals):
-            row, col = best(distance, doc_ids, k)
-            found.add(row, distance[row, col], doc_ids[col])
+        for doc_ids, distance in _matrices(ids, q, metric, batches):
+            found.add_block(distance, doc_ids, decimals)
             for part in found.surplus():
                 yield _results(ids, part, metric)
         yield _results(ids, found.cut(), metric)
@@ -170,18 +199,18 @@ def _local(ids: np.ndarray, q: np.ndarray, metric: str, k: int, decimals: int):
     return run
 
 
-def _all_ranked(doc_ids: np.ndarray, docs: np.ndarray, metric: str, decimals: int):
-    """All documents, in order of id, ranked for each query of a task; ``RANKED`` results at once."""
+def _all_ranked(doc_ids: np.ndarray, docs: np.ndarray, metric: str, k: int, decimals: int):
+    """The k best of few documents, which come in order of id, for each query of a task; ``RANKED`` scores at once."""
     score, sign = METRICS[metric]
-    step = max(1, RANKED // len(doc_ids))
+    step, k = max(1, RANKED // len(doc_ids)), min(k, len(doc_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
                 distance = np.round(score(kernels.matrix(part.column(1), docs.dtype), docs).astype(np.float64), decimals) + 0.0
-                order = np.argsort(distance, axis=1, kind="stable")
-                columns = [np.repeat(part.column(0).to_numpy(), len(doc_ids)), np.tile(np.arange(1, len(doc_ids) + 1, dtype=np.int32), part.num_rows),
+                order = np.argsort(distance, axis=1, kind="stable")[:, :k]
+                columns = [np.repeat(part.column(0).to_numpy(), k), np.tile(np.arange(1, k + 1, dtype=np.int32), part.num_rows),
                            doc_ids[order].ravel(), np.take_along_axis(distance, order, 1).ravel() * sign + 0.0]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "rank", "vec_id", "score"])
 
@@ -192,8 +221,9 @@ def pair_scores(docs: DataFrame, queries: DataFrame, metric: str = "ip", col: st
     """(query_id, vec_id, score) of every document against every query of a stated set, in blocks."""
     def one(ids: np.ndarray, q: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for doc_ids, distance in _matrices(ids, q, metric, batches, decimals):
-                yield _batch(np.repeat(ids, len(doc_ids)), np.tile(doc_ids, len(ids)), distance.ravel() * METRICS[metric][1])
+            for doc_ids, distance in _matrices(ids, q, metric, batches):
+                score = (np.round(distance.astype(np.float64), decimals) + 0.0).ravel() * METRICS[metric][1]
+                yield _batch(np.repeat(ids, len(doc_ids)), np.tile(doc_ids, len(ids)), score)
 
         return docs.select("vec_id", col).mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -213,10 +243,24 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, metric: str = "ip", col:
     if k > FEW:
         size = docs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
         if 0 < size["n"] <= k and size["n"] * size["d"] <= BLOCK_NUMBERS:
-            return queries.select("vec_id", col).mapInArrow(_all_ranked(*next(query_blocks(docs, col)), metric, decimals), FOUND)
+            return queries.select("vec_id", col).mapInArrow(_all_ranked(*next(query_blocks(docs, col)), metric, k, decimals), FOUND)
     return over_blocks(queries, col, one, FOUND, k)
 
 
+def few_top_k(docs: DataFrame, queries: DataFrame, k: int, metric: str = "ip", col: str = "v", decimals: int = DECIMALS) -> DataFrame:
+    """What ``top_k`` gives, for documents that are expected to be few: they are fetched and queries stay where they are read.
+
+    Documents that turn out to be many are searched by ``top_k``.
+    """
+    few = docs.select("vec_id", col).limit(FEW + 1).toArrow().sort_by("vec_id").combine_chunks()
+    if few.num_rows > FEW or few.num_rows and len(few.column(col).combine_chunks().flatten()) > BLOCK_NUMBERS:
+        return top_k(docs, queries, k, metric, col, decimals)
+    if not few.num_rows or k < 1:
+        return docs.sparkSession.createDataFrame([], FOUND)
+    points = kernels.matrix(few.column(col).combine_chunks(), np.int64 if metric == "hamming" else np.float64)
+    return queries.select("vec_id", col).mapInArrow(_all_ranked(few.column("vec_id").to_numpy(), points, metric, k, decimals), FOUND)
+
+
 def ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
     """The k best rows (query_id, vec_id, score) of each query with their ranks."""
     best_first = F.col("score").asc() if METRICS[metric][1] > 0 else F.col("score").desc()

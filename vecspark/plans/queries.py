@@ -393,8 +393,7 @@ def _probe_curve(spark, d, binary):
     docs, queries, index = _ivf(spark, d)
     top = max(IVF_STEPS)
     probes = search.probe(_center_codes(index.centers), _codes(queries), top, "hamming", "code") if binary else index.probe(queries, top)
-    grid = spark.createDataFrame([(s,) for s in IVF_STEPS], "top int")
-    hits = search.hit_ranks(top_k(docs, queries, K), probes, index.members).join(F.broadcast(grid))  # a row a step
+    hits = search.hit_ranks(top_k(docs, queries, K), probes, index.members).select("rank", F.explode(F.array(*map(F.lit, IVF_STEPS))).alias("top"))  # a row a step
     return hits.groupBy("top").agg(_r(F.avg(F.when(F.col("rank") <= F.col("top"), 1.0).otherwise(0.0))).alias("recall"))
 
 
