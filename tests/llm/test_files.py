@@ -203,6 +203,41 @@ def test_memory_of_words_is_bounded(monkeypatch):
         assert len(t.known) <= 60
 
 
+class Counting:
+    """A tokenizer that counts the words it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.words = tokenizer, Counter()
+
+    def encode_batch_fast(self, texts, **options):
+        self.words.update(w for t in texts for w in t.split())
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_that_come_back_are_not_encoded_again(monkeypatch):
+    def word(i):
+        return "q" + "".join("abcdefghij"[int(c)] for c in f"{i:05}")
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    t = packing.WordTokenizer(packing.default_vocabulary())
+    t.bare = Counting(t.bare)
+    common = [word(i) for i in range(60)]
+    for k in range(1, 20):
+        t.batch([" ".join(common + [word(100 * k + i) for i in range(60)])])
+    assert [t.bare.words[w] for w in common] == [1] * 60
+    assert len(t.stems) <= 360
+
+
+def test_white_space_of_any_kind_is_encoded_as_in_its_text():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.default_vocabulary())
+    odd = [*map(chr, range(0x21)), *"\x7f\x85\xa0\u0301\u1680\u180e\u2003\u200b\u2028\u3000\ufeff"]
+    texts = [f"{c}It{c}is {c} so,{c}\n{c}E\u0301t{c}\u0301 <|endoftext|>{c}" for c in odd]
+    got = packing.WordTokenizer(packing.default_vocabulary()).batch(texts)
+    assert [g.tolist() for g in got] == [model.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 # ---- images
 
 

@@ -15,10 +15,11 @@ import unicodedata
 import zlib
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 TIERS = (512, 1024, 2048, 4096)
 #: Marks that may stand behind a plain word.
 MARKS = '.,;:!?#$%&*()[]"'
-PLAIN = re.compile(rf"(?m)^(([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*))$")
+#: Plain words in letters of Western languages.
+PLAIN = rf"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[{re.escape(MARKS)}]*)$"
 #: The id that ends each document.
 END_ID = 2
 #: Tokens that are routed and packed together; bounds a task's memory.
 BATCH_TOKENS = 1 << 21
 #: Tokens of a step group.
 STEP_TOKENS = 1 << 19
-#: Words whose ids a Python worker remembers, the longest word that is, and documents looked up together.
-CACHE_WORDS, CACHE_LENGTH, TOGETHER = 500_000, 64, 256
+#: Words (of each of two kinds) whose ids a Python worker remembers, the longest word that is, and bytes of text looked up together.
+CACHE_WORDS, CACHE_LENGTH, TOGETHER = 600_000, 64, 1 << 23
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -48,12 +50,44 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Recent:
+    """Ids of words as bytes, remembered for the words that were asked for last."""
+
+    def __init__(self, find: Callable[[list[str]], list[bytes]]):
+        self.find = find
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.now) + len(self.before)
+
+    def _put(self, out: list[bytes | None], words: list[str], get: Callable[[list[str]], list[bytes | None]]) -> None:
+        """Fills the gaps of ``out`` with what ``get`` finds, which is remembered."""
+        at = [i for i, x in enumerate(out) if x is None]
+        if at:
+            asked = [words[i] for i in at]
+            for i, w, x in zip(at, asked, get(asked)):
+                out[i] = x
+                if x is not None and len(w) <= CACHE_LENGTH:
+                    self.now[w] = x
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """For distinct words."""
+        out = list(map(self.now.get, words))
+        self._put(out, words, lambda asked: list(map(self.before.get, asked)))
+        self._put(out, words, self.find)
+        if len(self.now) > CACHE_WORDS // 2:
+            self.before, self.now = self.now, {}
+        return out
+
+
 class WordTokenizer:
     """Ids of whole texts, as little-endian unsigned 32-bit numbers.
 
     The vocabulary's model never joins across white space nor a letter with a mark, so the ids of a text
-    are those of its words in turn.  Words that come back are looked up; new plain words (letters, then
-    marks) are encoded many at a time, as each ends with a token that only ends words.
+    are those of its words in turn.  Texts are split, and their ids put together, by Arrow; only distinct
+    words are met here.  New plain words (letters, then marks) are encoded many at a time, as each ends
+    with a token that only ends words.
     """
 
     def __init__(self, vocabulary: str):
@@ -63,16 +97,35 @@ class WordTokenizer:
         # for letters in lower case the steps before the model come to this
         self.bare = Tokenizer(self.model.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        # characters at which Python splits but the model does not, and tokens that words do not end
-        self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *sorted(a.content for a in self.model.get_added_tokens_decoder().values())]
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.stems = Recent(self._find_stems)
+        self.known = Recent(self._find)  # of marks, and of words that are not plain or not Western
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _find_stems(self, stems: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(stems), 10_000):
+            some = stems[k : k + 10_000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                blob, at = ids.tobytes(), (cuts * 4).tolist()
+                out += [blob[i:j] for i, j in zip([0, *at], at)]
+            else:
+                out += self._encode(some)  # not met so far
+        return out
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def _find(self, words: list[str]) -> list[bytes]:
+        plain = {w: p for w in words if (p := self.plain(w))}
+        stems, tails = ({x: None for x in part} for part in zip(*plain.values())) if plain else ({}, {})
+        rest = [w for w in words if w not in plain]
+        ids = dict(zip(rest, self._encode(rest)))
+        stems = dict(zip(stems, self.stems(list(stems))))
+        tails = dict(zip(tails, self._encode(list(tails))))
+        return [stems[plain[w][0]] + tails[plain[w][1]] if w in plain else ids[w] for w in words]
 
     @staticmethod
     def plain(word: str) -> tuple[str, str] | None:
@@ -85,52 +138,32 @@ class WordTokenizer:
             return None
         return low, word[len(stem) :]
 
-    def _learn(self, words: set[str]) -> None:
-        # plain words in letters of Western languages are told by one search over all words, others one by one
-        parts = [(w, stem.lower(), tail) for w, stem, tail in PLAIN.findall("\n".join(words))]
-        odd = []
-        for w in words.difference([p[0] for p in parts]):
-            if (p := self.plain(w)) is not None:
-                parts.append((w, *p))
-            else:
-                odd.append(w)
-        new = list({p[1] for p in parts}.difference(self.stems))
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                blob, at = ids.tobytes(), (cuts * 4).tolist()
-                self.stems.update({w: blob[i:j] for w, i, j in zip(some, [0, *at], at)})
-            else:
-                self.stems.update((w, x.tobytes()) for w, x in zip(some, self._encode(some)))  # not met so far
-        for tail in {p[2] for p in parts}.difference(self.tails):
-            self.tails[tail] = self._encode([tail])[0].tobytes()
-        stems, tails = self.stems, self.tails
-        self.known.update({w: stems[stem] + tails[tail] for w, stem, tail in parts})
-        self.known.update((w, x.tobytes()) for w, x in zip(odd, self._encode(odd) if odd else ()))
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
+    @staticmethod
+    def _of(distinct: pa.DictionaryArray, recent: Recent) -> pa.Array:
+        """The ids of each word, none of which holds a blank."""
+        words = distinct.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        return pa.array(recent(joined.split(" ") if len(words) else []), pa.large_binary()).take(distinct.indices)
+
+    def batch(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text, then the end id."""
-        whole = {i: x for i, t in enumerate(texts) if any(c in t for c in self.odd) for x in self._encode([t])}
-        words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        seen = set().union(*words)
-        new = seen.difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear(), self.stems.clear()
-            self.tails, new = {"": b""}, seen
-        self._learn(new)
-        self.known[""] = END_ID.to_bytes(4, "little")  # stands behind the words of each text
-        get = self.known.__getitem__
-        for w in words:
-            w.append("")
-        out = [np.frombuffer(whole[i].tobytes() + get("") if i in whole else b"".join(map(get, w)), "<u4") for i, w in enumerate(words)]
-        for w in new:
-            if len(w) > CACHE_LENGTH:
-                del self.known[w]
-                if p := self.plain(w):
-                    self.stems.pop(p[0], None)
-        return out
+        # other white space and the vocabulary's added tokens stay within words, which the model splits
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        words = split.values.dictionary_encode()
+        parts = pc.extract_regex(words.dictionary, PLAIN)
+        fits = parts.is_valid().to_numpy(zero_copy_only=False)
+        parts = parts.drop_null()
+        stems = self._of(pc.utf8_lower(parts.field("stem")).dictionary_encode(), self.stems)
+        tails = self._of(parts.field("tail").dictionary_encode(), self.known)
+        odd = self.known(words.dictionary.filter(pa.array(~fits)).to_pylist())
+        ids = pa.concat_arrays([pc.binary_join_element_wise(stems, tails, pa.scalar(b"", pa.large_binary())), pa.array([*odd, END_ID.to_bytes(4, "little")], pa.large_binary())])
+        place = np.empty(len(fits), np.int64)
+        place[fits], place[~fits] = np.arange(len(parts)), np.arange(len(parts), len(fits))
+        ends = split.offsets.to_numpy()  # of the words of each text; the end id is put behind them
+        whole = ids.take(pa.array(np.insert(place[words.indices.to_numpy()], ends[1:], len(fits))))
+        at = np.frombuffer(whole.buffers()[1], np.int64)[: len(whole) + 1][ends + np.arange(len(ends))] // 4
+        flat = np.frombuffer(whole.buffers()[2], "<u4")
+        return [flat[i:j] for i, j in zip(at, at[1:])]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -264,9 +297,11 @@ def _packer(vocabulary: str, id_col: str, text_col: str, tiers: tuple[int, ...],
         gc.disable()  # words are many small objects and none of them refer in a circle
         try:
             for batch in batches:
-                for k in range(0, batch.num_rows, TOGETHER):
-                    part = batch.slice(k, TOGETHER)
-                    for doc, x in zip(part.column(0).to_pylist(), words.batch([t or "" for t in part.column(1).to_pylist()])):
+                texts = batch.column(1).fill_null("")
+                sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+                cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // TOGETHER, prepend=-1, append=-1)).tolist()
+                for k, end in zip(cuts, cuts[1:]):
+                    for doc, x in zip(batch.column(0)[k:end].to_pylist(), words.batch(texts[k:end].cast(pa.string()))):
                         ids.append(x)
                         docs.append(doc)
                         starts.append(0)
