@@ -36,7 +36,7 @@ BATCH_TOKENS = 1 << 21
 #: Tokens of a step group.
 STEP_TOKENS = 1 << 19
 #: Words (of each of two kinds) whose ids a Python worker remembers, the longest word that is, and bytes of text looked up together.
-CACHE_WORDS, CACHE_LENGTH, TOGETHER = 600_000, 64, 1 << 23
+CACHE_WORDS, CACHE_LENGTH, TOGETHER = 400_000, 64, 1 << 21
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
